@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 from . import common
 
 TREES, SUBSAMPLE = 100, 256
-FALSE_REJECTS = 0.002
+FALSE_REJECTS = 0.005
 BINS = 10_000
 WINDOW = 8
 #: Texts above so many words find repeated windows by ranks, in arrays, instead of a dictionary.
 RANKED_FROM = 50_000
 
-STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_digits", "n_long_words"]
-SYMBOLS, MARKS, DIGITS = b"#*$%&|<>", b"!?", b"0123456789"
+STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_echoes", "n_long_words"]
+SYMBOLS, MARKS = b"#*$%&|<>", b"!?"
 UPPER = bytes(range(65, 91))
 
 
@@ -81,7 +81,7 @@ def statistics(text: bytes) -> tuple[int, ...]:
         len(lines),
         strip(UPPER),
         strip(MARKS),
-        strip(DIGITS),
+        sum(map(bytes.__eq__, words, words[1:])),
         sum(map((30).__lt__, map(len, words))),
     )
 
@@ -100,10 +100,10 @@ def rule_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def features(rows: np.ndarray) -> np.ndarray:
-    """Rates from counts in the order of ``STATS``, so that length alone is one feature among many."""
-    words, chars, symbols, dup, again, lines, upper, marks, digits, long = rows.astype(np.float64).T
+    """Rates from counts in the order of ``STATS``: length alone makes no document anomalous."""
+    words, chars, symbols, dup, again, lines, upper, marks, echoes, long = rows.astype(np.float64).T
     per_char, per_word = np.maximum(chars, 1), np.maximum(words, 1)
-    return np.stack([chars / per_word, symbols / per_char, dup / np.maximum(lines, 1), again / per_word, upper / per_char, marks / per_char, digits / per_char, long / per_word, np.log1p(words)], axis=1)
+    return np.stack([chars / per_word, symbols / per_char, dup / np.maximum(lines, 1), again / per_word, upper / per_char, marks / per_char, echoes / per_word, long / per_word], axis=1)
 
 
 def harmonic_path(n: np.ndarray | float) -> np.ndarray:
