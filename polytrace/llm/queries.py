@@ -53,6 +53,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import main_text
+
+    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_column
 
@@ -77,7 +83,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_pii, op3_simhash, op4_lm, op5_quality, op7_media, op8_bpe, op9_spans, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_pii, op3_simhash, op4_lm, op5_quality, op6_html, op7_media, op8_bpe, op9_spans, op10_toxicity)}
 
 #: DuckDB SQL where it can express a query whole; the rest have brute-force tests.
 ORACLE_SQL: dict[str, str] = {}

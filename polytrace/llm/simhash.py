@@ -294,3 +294,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = common.stored(rooted.join(least, "root").select("fp", "component_id"), "classes")
     return fps.join(classes, "fp").select(id_col, "fp", "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of each component the row with the smallest id stays, once. A row without an id stays."""
+    found = common.stored(near_duplicates(df, id_col, text_col, radius, blocks), "components")
+    first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept_id")).distinct()
+    kept = df.join(first, F.col(id_col) == F.col("kept_id"), "left_semi")
+    again = found.where(F.col(id_col).isNotNull()).groupBy(id_col, "fp").count().where("count > 1")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates([id_col, text_col])
+    return kept.unionByName(df.where(F.col(id_col).isNull()))
