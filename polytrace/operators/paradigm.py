@@ -172,4 +172,4 @@ def sleep_cycles(stages: DataFrame, by: str, minutes: float = 15.0) -> DataFrame
             out.append(cycle if onset else 0)
         return pdf.assign(cycle=out)
 
-    return stages.groupBy(by).applyInPandas(walk, stages.schema.add("cycle", "long"))
+    return stages.groupBy(by).applyInPandas(walk, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in stages.schema] + ["cycle long"]))
