@@ -43,8 +43,9 @@ def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
         return 0
     if len(words) < RANKED_FROM:
         joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = ends - np.fromiter(map(len, words), np.int64, len(words)) - 1
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + 1) - 1
+        starts = ends - sizes
         keys = [joined[a:b] for a, b in zip(starts[:n].tolist(), ends[window - 1 :].tolist(), strict=True)]
         seen = Counter(keys)
         if len(seen) == n:
