@@ -2,10 +2,10 @@
 
 Features are words and word beginnings (4 to 6 letters, for inflected languages) of a text, each with
 log(1 + count). The labelled rows say which matter: for every feature the toxic and clean documents that hold it are
-counted, and those most telling (log odds, at most ``FEATURES``) are kept. Toxic rows get a grade from 1 to
+counted; telling are those too frequent in toxic ones for chance (by a Chernoff bound with two or three false ones to be expected; copies count once), at most ``FEATURES``. Toxic rows get a grade from 1 to
 3 by how many telling words they hold (thirds of the toxic rows), clean rows grade 0. The model
 has one weight vector and ordered thresholds: P(grade >= j) = sigmoid(w x - t_j). The result is the expected severity,
-the sum of these, and a verdict from P(grade >= 1).
+the sum of these, and a verdict from P(grade >= 1), with a threshold set on the labelled rows.
 
 Fitting takes at most ``MAX_LABELLED`` labelled rows, those whose ids hash smallest; all documents are scored.
 
@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from . import common
 
 MAX_LABELLED, FEATURES, GRADES = 12_000, 4096, 3
-#: A telling feature stands in so many toxic documents at least, and is so many times as common in them.
-SUPPORT, TIMES = 3, 6.0
+#: A feature is looked at if it stands in so many toxic documents.
+SUPPORT = 3
 PREFIXES = (4, 5, 6)
-TOXIC_FROM = 0.5
+#: The verdict's threshold is the one of these with the most recall minus so many times the false alarms on labelled rows; else the middle.
+THRESHOLDS, FALSE_ALARM = (0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6), 5.0
 
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
@@ -89,7 +90,7 @@ class Ordinal:
         """P(grade >= j) for each row and j."""
         return sigmoid(z[:, None] - self.thresholds[None, :])
 
-    def fit(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Ordinal:
+    def fit(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, steps: int = 1200, rate: float = 0.05, decay: float = 2e-5) -> Ordinal:
         """Adam on the mean negative log-likelihood of sparse rows (coordinates ``rows``, ``cols``)."""
         n, j = len(grade), len(self.gaps) + 1
         p = np.concatenate([self.w, [self.first], self.gaps])
@@ -116,8 +117,8 @@ class Ordinal:
 class Model:
     """The telling features and the fitted regression."""
 
-    def __init__(self, index: dict[str, int], ordinal: Ordinal | None):
-        self.index, self.ordinal = index, ordinal
+    def __init__(self, index: dict[str, int], ordinal: Ordinal | None, threshold: float = 0.5):
+        self.index, self.ordinal, self.threshold = index, ordinal, threshold
 
     def severity(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Expected severity and P(grade >= 1) of each text."""
@@ -134,7 +135,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     known = labels.where("toxic is not null").select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null")
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    labelled = common.stored(docs.join(F.broadcast(known), "id").select("text", "toxic"), "labelled")  # the side sent out has max_labelled rows at most
+    labelled = common.stored(docs.join(F.broadcast(known), "id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic"), "labelled")  # the side sent out has max_labelled rows at most
     totals = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
@@ -148,10 +149,13 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
             names = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][k] for k in names], pa.int64()), pa.array([seen[0][k] for k in names], pa.int64())], names=["feature", "toxic", "clean"])
 
-    held = labelled.mapInArrow(counts, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    rate = (F.col("toxic") / F.lit(float(toxic))) / ((F.col("clean") + 0.5) / F.lit(float(clean)))
-    told = held.where(F.col("toxic") >= SUPPORT).withColumn("rate", rate).where(F.col("rate") >= TIMES)
-    index = {r[0]: k for k, r in enumerate(told.orderBy(F.col("toxic") * F.log("rate"), "feature", ascending=[False, True]).limit(FEATURES).select("feature").collect())}
+    held = labelled.dropDuplicates(["text", "toxic"]).mapInArrow(counts, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    held = common.stored(held.where(F.col("toxic") >= SUPPORT), "features")
+    tested = max(2, held.count())
+    t, c, share = F.col("toxic").cast("double"), F.col("clean").cast("double"), toxic / (toxic + clean)
+    surprise = t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0)
+    told = held.withColumn("surprise", surprise).where((F.col("surprise") >= float(np.log(tested)) - 1) & (t > share * (t + c)))
+    index = {r[0]: k for k, r in enumerate(told.orderBy(F.col("surprise").desc(), "feature").limit(FEATURES).select("feature").collect())}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,7 +170,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     hits = np.bincount(at, np.expm1(values), minlength=len(rows))
     cuts = np.quantile(hits[y], [1 / 3, 2 / 3])
     grade = np.where(y, 1 + (hits[:, None] > cuts[None, :]).sum(axis=1), 0)
-    return Model(index, Ordinal(len(index), GRADES).fit(at, cols, values, grade))
+    ordinal = Ordinal(len(index), GRADES).fit(at, cols, values, grade)
+    p = ordinal.above(np.bincount(at, values * ordinal.w[cols], minlength=len(rows)))[:, 0]
+    gain = [(p[y] >= t).mean() - FALSE_ALARM * (p[~y] >= t).mean() for t in THRESHOLDS]
+    return Model(index, ordinal, THRESHOLDS[int(np.argmax(gain))])
 
 
 def rate_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -177,7 +184,7 @@ def rate_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         @F.pandas_udf("boolean")
         def fine(text):
             p = model.value.severity(["" if t is None else t for t in text])[1]
-            return text.isna() | (p < TOXIC_FROM)
+            return text.isna() | (p < model.value.threshold)
 
         return df.where(fine(F.col(text_col).cast("string")))
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -185,6 +192,6 @@ def rate_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.sliced(batches, 2000):
             s, p = model.value.severity(common.texts(b, "text"))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(s), pa.array(p), pa.array(p >= TOXIC_FROM)], names=["id", "severity", "p_toxic", "toxic"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(s), pa.array(p), pa.array(p >= model.value.threshold)], names=["id", "severity", "p_toxic", "toxic"])
 
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, severity double, p_toxic double, toxic boolean").withColumnRenamed("id", id_col)
