@@ -2,8 +2,8 @@
 
 A text is cut into sentences at ``.``, ``!`` or ``?`` before white space and at line
 ends. A sentence of over ``LONG`` words is cut further after words whose checksum says so, which depends on the
-words alone and so falls alike in every copy, wherever it stands. Every run of ``RUN`` consecutive sentences with
-at least ``WORDS`` words is hashed (XXH64 of its lower-cased words). Runs are joined over the whole
+words alone and so falls alike in every copy, wherever it stands. From every sentence on, the run of the
+next few (``RUN`` at least, and as many as hold ``WORDS`` words) is hashed (XXH64 of its lower-cased words). Runs are joined over the whole
 table: the document with the smallest id that holds a run keeps it, in all others the sentences it covers go; within one
 document the first occurrence stays.
 
@@ -64,24 +64,30 @@ def sentences(text: bytes, long: int = LONG, cut: int = CUT) -> list[tuple[int,
     return out
 
 
-def run_hashes(parts: list[tuple[int, int, list[bytes]]], run: int = RUN, words: int = WORDS) -> list[int | None]:
-    """The hash of the run that starts at each sentence; None where it is too short."""
-    if len(parts) < run:
-        return []
+def run_hashes(parts: list[tuple[int, int, list[bytes]]], run: int = RUN, words: int = WORDS) -> list[tuple[int, int]]:
+    """(hash, end) of the run that starts at each sentence: the fewest sentences, at least ``run``, with at least ``words`` words.
+    Starts without enough text after them give none."""
     joined = [b" ".join(p[2]) for p in parts]
-    n = [len(p[2]) for p in parts]
+    n, out, end, held = [len(p[2]) for p in parts], [], 0, 0
     xx = xxhash.xxh64_intdigest
-    return [xx(b"\n".join(joined[k : k + run])) - (1 << 63) if sum(n[k : k + run]) >= words else None for k in range(len(parts) - run + 1)]
+    for k in range(len(parts)):
+        while end < len(parts) and (end - k < run or held < words):
+            held += n[end]
+            end += 1
+        if end - k < run or held < words:
+            break
+        out.append((xx(b"\n".join(joined[k:end])) - (1 << 63), end))
+        held -= n[k]
+    return out
 
 
-def covered(hashes: list[int | None], gone: set[int], n: int, run: int = RUN) -> list[bool]:
+def covered(hashes: list[tuple[int, int]], gone: set[int], n: int) -> list[bool]:
     """Which of n sentences lie in a run that is in ``gone`` or occurred before in this text."""
     out, seen = [False] * n, set()
-    for k, h in enumerate(hashes):
-        if h is not None:
-            if h in gone or h in seen:
-                out[k : k + run] = [True] * run
-            seen.add(h)
+    for k, (h, end) in enumerate(hashes):
+        if h in gone or h in seen:
+            out[k:end] = [True] * (end - k)
+        seen.add(h)
     return out
 
 
@@ -89,7 +95,7 @@ def clean(text: bytes, gone: set[int], run: int = RUN, words: int = WORDS) -> tu
     """The text without covered sentences, the number of sentences, and the byte ranges removed."""
     parts = sentences(text)
     hashes = run_hashes(parts, run, words)
-    drop = covered(hashes, gone, len(parts), run)
+    drop = covered(hashes, gone, len(parts))
     if True not in drop:
         return text, len(parts), []
     kept = b"".join([text[a:b] for (a, b, _), d in zip(parts, drop, strict=True) if not d])
@@ -110,7 +116,7 @@ def repeated_runs(df: DataFrame, id_col: str, text_col: str, run: int = RUN, wor
         for b in common.sliced(batches, 500):
             index, values = [], []
             for k, text in enumerate(common.raw(b, "text")):
-                own = {h for h in run_hashes(sentences(text), run, words) if h is not None}
+                own = {h for h, _ in run_hashes(sentences(text), run, words)}
                 index += [k] * len(own)
                 values += own
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(index, pa.int64())), pa.array(np.array(values, np.int64))], names=["id", "h"])

@@ -133,18 +133,17 @@ def brute_repeats(rows):
     first = {}
     cut = [(i, (t or "").encode()) for i, t, _ in rows]
     for i, b in cut:
-        for h in spans.run_hashes(spans.sentences(b)):
-            if h is not None and i is not None:
+        for h, _ in spans.run_hashes(spans.sentences(b)):
+            if i is not None:
                 first[h] = min(first.get(h, i), i)
     out = []
     for (i, b), (_, t, _) in zip(cut, rows, strict=True):
         parts, seen = spans.sentences(b), set()
         drop = [False] * len(parts)
-        for k, h in enumerate(spans.run_hashes(parts)):
-            if h is None:
-                continue
+        for k, (h, end) in enumerate(spans.run_hashes(parts)):
+            assert end - k >= spans.RUN and sum(len(p[2]) for p in parts[k:end]) >= spans.WORDS
             if h in seen or (i is not None and first[h] < i):
-                drop[k : k + spans.RUN] = [True] * spans.RUN
+                drop[k:end] = [True] * (end - k)
             seen.add(h)
         text = b"".join(b[x:y] for (x, y, _), d in zip(parts, drop, strict=True) if not d)
         out.append((i, None if t is None else (text.rstrip(b" \t\n\x0b\x0c\r") if any(drop) else text).decode()))
