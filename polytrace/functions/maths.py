@@ -124,7 +124,7 @@ def student_p(df: Column, t: Column) -> Column:
     def run(df: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series(student_two_sided(df.to_numpy(float), t.to_numpy(float)))
 
-    return F.pandas_udf(run, "double")(df, t)
+    return F.coalesce(F.pandas_udf(run, "double")(df, t), F.lit(NAN))  # Arrow hands NaN back as null
 
 
 def binomial_two_sided(k1: Column, k2: Column) -> Column:
