@@ -43,11 +43,11 @@ def _modulus(re: Column, im: Column) -> Column:
 
 
 def _sigma(x: Column, n: Column) -> Column:
-    return M.root((x[2] - x[1] * x[1] / n) / n)
+    return M.root(M.ratio(x[2] - M.ratio(x[1] * x[1], n), n))
 
 
 def _t(x: Column, n: Column) -> Column:
-    return M.ratio(x[1], n * M.root((x[2] - x[1] * x[1] / n) / (n * (n - 1))))
+    return M.ratio(x[1], n * M.root(M.ratio(x[2] - M.ratio(x[1] * x[1], n), n * (n - 1))))
 
 
 def _replaced(x: Column, **new: Column) -> Column:
@@ -65,7 +65,7 @@ TUPLE = {
     "phase": lambda x, n: _replaced(x, i0=F.atan2(x[1], x[0]), i1=F.lit(0.0)),
     "absandphase": lambda x, n: _replaced(x, i0=_modulus(x[0], x[1]), i1=F.atan2(x[1], x[0])),
     "coherence": lambda x, n: _replaced(x, i0=_modulus(x[0], x[1]), i1=F.pow(1 - _modulus(x[0], x[1]), 2 * F.when(F.size(x) == 3, F.rint(F.get(x, F.lit(2)))).otherwise(n) - 1)),
-    "stddev": lambda x, n: _replaced(x, i1=_sigma(x, n), i2=_sigma(x, n) / M.root(n - 1)),
+    "stddev": lambda x, n: _replaced(x, i1=_sigma(x, n), i2=M.ratio(_sigma(x, n), M.root(n - 1))),
     "ttest": lambda x, n: _replaced(x, i1=_t(x, n), i2=M.student_p(n - 1, F.abs(_t(x, n)))),
 }
 

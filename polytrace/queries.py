@@ -118,10 +118,10 @@ def complex_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 C2 = ", z AS (SELECT epoch_id, 'Z' AS channel, point, max(value) FILTER (channel_idx = 0) AS re, max(value) FILTER (channel_idx = 1) AS im FROM s GROUP BY ALL HAVING count(*) FILTER (channel_idx < 2) > 0)"
 C2 = C2.replace("FROM s GROUP BY ALL HAVING count(*) FILTER (channel_idx < 2) > 0", "FROM s GROUP BY epoch_id, point")
 TUPLES = {
-    "abs2": ("sqrt(re * re + im * im)", "0.0"),
-    "square2": ("re * re + im * im", "0.0"),
+    "abs2": ("sqrt(re * re + im * im)", "0.0::DOUBLE"),
+    "square2": ("re * re + im * im", "0.0::DOUBLE"),
     "norm2": ("re / sqrt(re * re + im * im)", "im / sqrt(re * re + im * im)"),
-    "phase": ("atan2(im, re)", "0.0"),
+    "phase": ("atan2(im, re)", "0.0::DOUBLE"),
     "absandphase": ("sqrt(re * re + im * im)", "atan2(im, re)"),
     "coherence": ("sqrt(re * re + im * im)", "pow(1 - sqrt(re * re + im * im), 5)"),
 }
@@ -353,7 +353,7 @@ register(
 register("swap_fc", lambda spark, d: out(shape.swap_fc(epochs1(spark, d), 100.0, 0.5)), sql4("value", "epoch_id, printf('%.2fHz', point * 0.5) AS channel, 0 AS point", base=S1))
 register("swap_ic", lambda spark, d: out(shape.swap_ic(epochs4(spark, d).withColumn("item", F.lit(0))), "epoch_id", "channel", "point", "item"), sql4("value", "epoch_id, '1' AS channel, point, channel_idx AS item"))
 register("swap_ix", lambda spark, d: out(shape.swap_ix(epochs4(spark, d).withColumn("item", F.lit(0))), "epoch_id", "channel", "point", "item"), sql4("value", "epoch_id, channel, 0 AS point, point AS item"))
-register("change_axes", lambda spark, d: out(shape.change_axes(x_axis(epochs4(spark, d), 100.0, BEFORE), 5.0, 0.5), "epoch_id", "channel", "point", value="x"), f"WITH {S4} SELECT epoch_id, channel, point, round(((point - 4) * 10.0 + 5) * 0.5, 6) + 0.0 AS x FROM s")
+register("change_axes", lambda spark, d: out(shape.change_axes(x_axis(epochs4(spark, d), 100.0, BEFORE), 5.0, 0.5), "epoch_id", "channel", "point", value="x"), f"WITH {S4} SELECT epoch_id, channel, point, round(((point - 4) * 10.0::DOUBLE + 5) * 0.5, 6) + 0.0 AS x FROM s")
 register("add_zero_channel", lambda spark, d: out(shape.add_zero_channel(epochs4(spark, d), "Z")), sql4("value", rest="FROM s UNION ALL SELECT DISTINCT epoch_id, 'Z', point, 0.0 FROM s"))
 register("set_comment", lambda spark, d: shape.set_comment(metadata(spark, d), "; seen", "append").select("epoch_id", "comment"), f"WITH {MD} SELECT epoch_id, comment || '; seen' AS comment FROM m")
 register("set_values", lambda spark, d: shape.set_values(metadata(spark, d), sfreq=250.0, leaveright=1).select("epoch_id", "sfreq", "leaveright"), f"WITH {MD} SELECT epoch_id, 250.0::DOUBLE AS sfreq, 1 AS leaveright FROM m")
