@@ -80,3 +80,30 @@ def samples(df: DataFrame) -> DataFrame:
 def x_axis(df: DataFrame, sfreq: float, beforetrig: int = 0, unit: float = 1e-3) -> DataFrame:
     """The time of each point, in units of so many seconds, 0 at the trigger."""
     return df.withColumn("x", (F.col("point") - F.lit(beforetrig)) / F.lit(sfreq * unit))
+
+
+#: Stretches of ids that a total order is cut into.
+BLOCKS = 1024
+
+
+def running(df: DataFrame, order: str, amount, into: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the sum of ``amount`` over all rows of smaller ``order`` (numbers), within ``by``.
+
+    A single window over everything would put every row into one task. Instead ids are cut into ``BLOCKS`` equal
+    stretches: each is summed on its own, and only the stretches' totals go through one window.
+    """
+    span = df.agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
+    held = df.withColumn("_amount", amount).join(F.broadcast(span))  # one row is sent out
+    width = F.floor((F.col("_high") - F.col("_low")) / BLOCKS) + 1
+    held = held.withColumn("_block", F.floor((F.col(order) - F.col("_low")) / width)).drop("_low", "_high")
+    totals = held.groupBy(*by, "_block").agg(F.sum("_amount").alias("_total"))
+    ahead = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_ahead", F.coalesce(F.sum("_total").over(ahead), F.lit(0))).drop("_total")
+    inside = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = held.join(totals, [*by, "_block"]).withColumn(into, F.coalesce(F.sum("_amount").over(inside), F.lit(0)) + F.col("_ahead"))
+    return out.drop("_amount", "_block", "_ahead")
+
+
+def numbered(df: DataFrame, order: str, into: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the ordinal of each row from 0; ``order`` must not repeat within ``by``."""
+    return running(df, order, F.lit(1).cast("long"), into, by)

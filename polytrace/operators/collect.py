@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..epochs import axes, trace
+from ..epochs import axes, numbered, running, trace
 from ..functions import maths as M
 
 
@@ -60,9 +60,7 @@ def sign_votes(df: DataFrame, beforetrig: int) -> DataFrame:
 def append_points(df: DataFrame) -> DataFrame:
     """Epochs one after another along the points, in the order of their ids: each is moved by the points of those before."""
     size = df.groupBy("epoch_id").agg((F.max("point") + 1).alias("_n"))
-    w = Window.orderBy("epoch_id").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per epoch goes through the single window, not the samples
-    start = size.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    start = running(size, "epoch_id", F.col("_n"), "_start").drop("_n")
     return df.join(start, "epoch_id").withColumn("point", (F.col("point") + F.col("_start")).cast("long")).drop("_start", "epoch_id")
 
 
@@ -73,13 +71,13 @@ def append_channels(df: DataFrame) -> DataFrame:
 
 def append_items(df: DataFrame) -> DataFrame:
     """Epochs as items: one item for each epoch, in the order of their ids."""
-    ids = df.select("epoch_id").distinct().withColumn("item", (F.row_number().over(Window.orderBy("epoch_id")) - 1).cast("int"))
+    ids = numbered(df.select("epoch_id").distinct(), "epoch_id", "item").withColumn("item", F.col("item").cast("int"))
     return df.drop("item").join(ids, "epoch_id").drop("epoch_id")
 
 
 def append_datasets(df: DataFrame) -> DataFrame:
     """Epochs as linked data sets, numbered from 1."""
-    ids = df.select("epoch_id").distinct().withColumn("dataset_no", F.row_number().over(Window.orderBy("epoch_id")))
+    ids = numbered(df.select("epoch_id").distinct(), "epoch_id", "dataset_no").withColumn("dataset_no", (F.col("dataset_no") + 1).cast("int"))
     return df.join(ids, "epoch_id").drop("epoch_id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..epochs import axes
+from ..epochs import axes, numbered
 from ..functions import maths as M
 
 
@@ -82,9 +82,8 @@ def complex_subtract(df: DataFrame, side: DataFrame, how: str = "multiply", recy
 
 def subtract_epochwise(df: DataFrame, side: DataFrame) -> DataFrame:
     """Each epoch minus the side's epoch of the same ordinal; too few of them is an error."""
-    w = Window.orderBy("epoch_id")
-    left = df.select("epoch_id").distinct().withColumn("_no", F.row_number().over(w))
-    right = side.select("epoch_id").distinct().withColumn("_no", F.row_number().over(w)).select(F.col("epoch_id").alias("_side"), "_no")
+    left = numbered(df.select("epoch_id").distinct(), "epoch_id", "_no")
+    right = numbered(side.select("epoch_id").distinct(), "epoch_id", "_no").select(F.col("epoch_id").alias("_side"), "_no")
     pair = left.join(right, "_no", "left").drop("_no")
     other = side.select(F.col("epoch_id").alias("_side"), "channel", "point", F.col("value").alias("_v"))
     met = df.join(pair, "epoch_id").join(other, ["_side", "channel", "point"], "left")

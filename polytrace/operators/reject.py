@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..epochs import axes
+from ..epochs import axes, running
 from ..functions import maths as M
 
 
@@ -67,7 +67,7 @@ def assert_epochs(epochs: DataFrame, variable: str, op: str, value, abort: bool
 
 
 def counters(epochs: DataFrame, accepted: Column) -> DataFrame:
-    """How many epochs were accepted and rejected before each, in the order of their ids: one row per epoch through the window."""
-    w = Window.orderBy("epoch_id").rowsBetween(Window.unboundedPreceding, -1)
+    """How many epochs were accepted and rejected before each, in the order of their ids."""
     ok = accepted.cast("long")
-    return epochs.withColumn("accepted_epochs", F.coalesce(F.sum(ok).over(w), F.lit(0))).withColumn("rejected_epochs", F.coalesce(F.sum(1 - ok).over(w), F.lit(0)))
+    out = running(epochs, "epoch_id", ok, "accepted_epochs")
+    return running(out, "epoch_id", 1 - ok, "rejected_epochs")

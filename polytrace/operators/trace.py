@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..epochs import along, axes, chosen, trace, with_value
+from ..epochs import along, axes, chosen, numbered, running, trace, with_value
 from ..functions import maths as M
 
 
@@ -20,14 +20,14 @@ def _carried(df: DataFrame, epochwise: bool):
 
 def differentiate(df: DataFrame, epochwise: bool = True, channels=None, item: int | None = None) -> DataFrame:
     """Each value minus the one before; the first stays. Without ``epochwise`` the last value of an epoch carries
-    over to the next: only the few edge values go through one window for each channel, traces stay apart."""
+    over to the next: the last value of each trace is joined to the channel's next one by its ordinal, so no window runs over all epochs."""
     if epochwise:
         before = F.lag("value").over(along(df))
         return with_value(df, F.col("value") - F.coalesce(before, F.lit(0.0)), chosen(df, channels, item))
-    ends = df.groupBy(*axes(df, "point")).agg(F.max_by("value", "point").alias("_last"))
-    w = Window.partitionBy(*[c for c in axes(df, "point") if c != "epoch_id"]).orderBy("epoch_id")
-    carry = ends.withColumn("_carry", F.lag("_last").over(w)).drop("_last")
-    out = df.join(carry, axes(df, "point"))
+    by = tuple(c for c in axes(df, "point") if c != "epoch_id")
+    ends = numbered(df.groupBy(*axes(df, "point")).agg(F.max_by("value", "point").alias("_last")), "epoch_id", "_no", by)
+    last = ends.select(*by, (F.col("_no") + 1).alias("_no"), F.col("_last").alias("_carry"))
+    out = df.join(ends.drop("_last"), axes(df, "point")).join(last, [*by, "_no"], "left")
     before = F.coalesce(F.lag("value").over(along(df)), F.col("_carry"), F.lit(0.0))
     return with_value(out, F.col("value") - before, chosen(df, channels, item)).select(*df.columns)
 
@@ -38,9 +38,8 @@ def integrate(df: DataFrame, epochwise: bool = True, channels=None, item: int |
     run = F.sum("value").over(along(df).rowsBetween(Window.unboundedPreceding, 0))
     if epochwise:
         return with_value(df, run, chosen(df, channels, item))
-    totals = df.groupBy(*axes(df, "point")).agg(F.sum("value").alias("_total"))
-    w = Window.partitionBy(*[c for c in axes(df, "point") if c != "epoch_id"]).orderBy("epoch_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.withColumn("_before", F.coalesce(F.sum("_total").over(w), F.lit(0.0))).drop("_total")
+    totals = df.groupBy(*axes(df, "point")).agg(F.sum("value").alias("_sum"))
+    before = running(totals, "epoch_id", F.col("_sum"), "_before", tuple(c for c in axes(df, "point") if c != "epoch_id")).drop("_sum")
     return with_value(df.join(before, axes(df, "point")), run + F.col("_before"), chosen(df, channels, item)).select(*df.columns)
 
 
