@@ -13,23 +13,26 @@ from ..epochs import along, axes, chosen, numbered, running, trace, with_value
 from ..functions import maths as M
 
 
-def _carried(df: DataFrame, epochwise: bool):
-    """The order a running operator follows: within each trace, or one channel through all epochs."""
-    return along(df) if epochwise else Window.partitionBy(*axes(df, "epoch_id", "point")).orderBy("epoch_id", "point")
+def _before(df: DataFrame, epochwise: bool, after: bool = False) -> DataFrame:
+    """``df`` with the value before each (``_a``), and after it (``_b``) if asked. Within a trace a window knows; unless ``epochwise``, the edges of neighbouring
+    epochs of a channel are joined by their ordinals, so no window runs over all epochs."""
+    out = df.withColumn("_a", F.lag("value").over(along(df)))
+    out = out.withColumn("_b", F.lead("value").over(along(df))) if after else out
+    if epochwise:
+        return out
+    by = tuple(c for c in axes(df, "point") if c != "epoch_id")
+    edges = df.groupBy(*axes(df, "point")).agg(F.max_by("value", "point").alias("_last"), F.min_by("value", "point").alias("_first"))
+    edges = numbered(edges, "epoch_id", "_no", by)
+    out = out.join(edges.select(*axes(df, "point"), "_no"), axes(df, "point"))
+    out = out.join(edges.select(*by, (F.col("_no") + 1).alias("_no"), "_last"), [*by, "_no"], "left").withColumn("_a", F.coalesce("_a", "_last"))
+    if after:
+        out = out.join(edges.select(*by, (F.col("_no") - 1).alias("_no"), "_first"), [*by, "_no"], "left").withColumn("_b", F.coalesce("_b", "_first"))
+    return out
 
 
 def differentiate(df: DataFrame, epochwise: bool = True, channels=None, item: int | None = None) -> DataFrame:
-    """Each value minus the one before; the first stays. Without ``epochwise`` the last value of an epoch carries
-    over to the next: the last value of each trace is joined to the channel's next one by its ordinal, so no window runs over all epochs."""
-    if epochwise:
-        before = F.lag("value").over(along(df))
-        return with_value(df, F.col("value") - F.coalesce(before, F.lit(0.0)), chosen(df, channels, item))
-    by = tuple(c for c in axes(df, "point") if c != "epoch_id")
-    ends = numbered(df.groupBy(*axes(df, "point")).agg(F.max_by("value", "point").alias("_last")), "epoch_id", "_no", by)
-    last = ends.select(*by, (F.col("_no") + 1).alias("_no"), F.col("_last").alias("_carry"))
-    out = df.join(ends.drop("_last"), axes(df, "point")).join(last, [*by, "_no"], "left")
-    before = F.coalesce(F.lag("value").over(along(df)), F.col("_carry"), F.lit(0.0))
-    return with_value(out, F.col("value") - before, chosen(df, channels, item)).select(*df.columns)
+    """Each value minus the one before; the first stays. Without ``epochwise`` the last value of an epoch carries over to the next."""
+    return with_value(_before(df, epochwise), F.col("value") - F.coalesce("_a", F.lit(0.0)), chosen(df, channels, item)).select(*df.columns)
 
 
 def integrate(df: DataFrame, epochwise: bool = True, channels=None, item: int | None = None) -> DataFrame:
@@ -128,16 +131,15 @@ def detrend(df: DataFrame, mode: str = "line", omit: list[tuple[int, int]] | Non
 
 def crossings(df: DataFrame, threshold: float, channels=None, epochwise: bool = True) -> DataFrame:
     """Events where the sign of value - threshold changes (0 counts as +): (axes, point, code +1 or -1)."""
-    w = _carried(df, epochwise)
-    sign = F.when(F.col("value") >= F.lit(float(threshold)), 1).otherwise(-1)
-    out = df.where(chosen(df, channels)).withColumn("code", sign)
-    return out.withColumn("_before", F.lag("code").over(w)).where("code != _before").select(*axes(df, "point"), "point", "code")
+    t = F.lit(float(threshold))
+    sign = lambda v: F.when(v >= t, 1).otherwise(-1)
+    out = _before(df.where(chosen(df, channels)), epochwise).where("_a is not null")
+    return out.withColumn("code", sign(F.col("value"))).where(F.col("code") != sign(F.col("_a"))).select(*axes(df, "point"), "point", "code")
 
 
 def extrema(df: DataFrame, threshold: float, channels=None, epochwise: bool = True) -> DataFrame:
     """Events at maxima of at least the threshold (+1) and minima of at most minus the threshold (-1): rising before, not rising after."""
-    w = _carried(df, epochwise)
-    out = df.where(chosen(df, channels)).withColumn("_a", F.lag("value").over(w)).withColumn("_b", F.lead("value").over(w))
+    out = _before(df.where(chosen(df, channels)), epochwise, after=True)
     v, t = F.col("value"), F.lit(float(threshold))
     up = (v >= t) & (F.col("_a") < v) & (F.col("_b") <= v)
     down = (v <= -t) & (F.col("_a") > v) & (F.col("_b") >= v)
