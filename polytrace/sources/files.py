@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from . import formats
 
-DECODERS: dict[str, Callable[..., formats.Recording]] = {"generic": formats.decode_generic, "edf": formats.decode_edf, "simple_binary": formats.decode_simple_binary, "wave": formats.decode_wave}
-ENCODERS: dict[str, Callable[..., bytes]] = {"generic": formats.encode_generic, "edf": formats.encode_edf, "simple_binary": formats.encode_simple_binary, "wave": formats.encode_wave}
-SUFFIXES = {"edf": "*.{edf,rec,bdf}", "wave": "*.wav", "simple_binary": "*.raw", "generic": "*"}
+DECODERS: dict[str, Callable[..., formats.Recording]] = {"generic": formats.decode_generic, "edf": formats.decode_edf, "simple_binary": formats.decode_simple_binary, "wave": formats.decode_wave, "cnt": formats.decode_cnt}
+ENCODERS: dict[str, Callable[..., bytes]] = {"generic": formats.encode_generic, "edf": formats.encode_edf, "simple_binary": formats.encode_simple_binary, "wave": formats.encode_wave, "cnt": formats.encode_cnt}
+SUFFIXES = {"edf": "*.{edf,rec,bdf}", "wave": "*.wav", "simple_binary": "*.raw", "cnt": "*.cnt", "generic": "*"}
 _ROWS = 1 << 18
 
 
@@ -61,14 +61,27 @@ def read_brainvision(spark: SparkSession, path: str) -> DataFrame:
     stem = F.regexp_replace("path", r"\.[^.]+$", "")
     suffix = F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))
     files = _files(spark, path, "*.{vhdr,vmrk,eeg}").select(stem.alias("recording"), suffix.alias("kind"), "content")
+    return _grouped(files, "vhdr", "eeg", lambda by: formats.decode_brainvision(by["vhdr"], by["eeg"], by.get("vmrk", b"")))
+
+
+def read_parameter_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Recordings of a parameter header (.dpa, also .cdt.dpa) and its values (.cdt)."""
+    stem = F.regexp_replace("path", r"(\.cdt)?(\.dpa)?$", "")
+    suffix = F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))
+    files = _files(spark, path, "*.{cdt,dpa}").select(stem.alias("recording"), suffix.alias("kind"), "content")
+    return _grouped(files, "dpa", "cdt", lambda by: formats.decode_parameter_pair(by["dpa"], by["cdt"]))
+
+
+def _grouped(files: DataFrame, header: str, data: str, decode: Callable[[dict[str, bytes]], formats.Recording]) -> DataFrame:
+    """Samples of recordings that consist of several files (recording, kind, content); those without header or data give none."""
 
     def run(pdf):
         import pandas as pd
 
         by = dict(zip(pdf["kind"], pdf["content"], strict=True))
-        if "vhdr" not in by or "eeg" not in by:
+        if header not in by or data not in by:
             return pd.DataFrame({c: [] for c in ("recording", "sfreq", "channel_idx", "channel", "pos", "value")})
-        r = formats.decode_brainvision(by["vhdr"], by["eeg"], by.get("vmrk", b""))
+        r = decode(by)
         n, points = r.values.shape
         return pd.DataFrame({"recording": pdf["recording"].iloc[0], "sfreq": r.sfreq, "channel_idx": np.repeat(np.arange(n), points), "channel": np.repeat(r.channels, points), "pos": np.tile(np.arange(points), n), "value": r.values.ravel()})
 

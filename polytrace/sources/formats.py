@@ -304,3 +304,91 @@ def decode_triggers(text: str, sfreq: float) -> list[tuple[int, int, str | None]
             break
         out.append((at, code, f[2] if len(f) > 2 else None))
     return out
+
+
+# ------------------------------------------------------------------ continuous files with a 900-byte header
+
+#: Fixed places in the header and in each channel's record, their types, and the scale of one unit.
+CNT_HEADER, CNT_CHANNEL, CNT_UNIT = 900, 75, 204.8
+CNT_AT = {"type": (20, "<B"), "nchannels": (370, "<H"), "rate": (376, "<H"), "samples": (864, "<I"), "events": (886, "<I"), "block": (890, "<I")}
+CNT_CHANNEL_AT = {"baseline": (47, "<h"), "sensitivity": (59, "<f"), "calibration": (71, "<f")}
+
+
+def decode_cnt(data: bytes) -> Recording:
+    """Continuous 16-bit recordings: header, channel records, values (channels fastest, or in blocks), event table with 8- or 19-byte events."""
+    head = {k: struct.unpack_from(t, data, at)[0] for k, (at, t) in CNT_AT.items()}
+    n = head["nchannels"]
+    start = CNT_HEADER + CNT_CHANNEL * n
+    names, factors, bases = [], [], []
+    for k in range(n):
+        at = CNT_HEADER + CNT_CHANNEL * k
+        one = {f: struct.unpack_from(t, data, at + o)[0] for f, (o, t) in CNT_CHANNEL_AT.items()}
+        names.append(data[at : at + 10].split(b"\0")[0].decode("latin-1"))
+        factors.append(one["sensitivity"] * one["calibration"] / CNT_UNIT)
+        bases.append(one["baseline"])
+    end = head["events"] if start < head["events"] <= len(data) else len(data)
+    block = head["block"] // 2 if head["block"] > 1 else 1
+    x = np.frombuffer(data, "<i2", offset=start, count=(end - start) // (2 * n * block) * n * block).astype(np.float64)
+    x = x.reshape(-1, n, block).transpose(1, 0, 2).reshape(n, -1)
+    triggers = []
+    if end + 9 <= len(data):
+        kind, size = struct.unpack_from("<BI", data, end)
+        width = {1: 8, 2: 19, 3: 19}.get(kind, 8)
+        for at in range(end + 9, min(end + 9 + size, len(data)) - width + 1, width):
+            code, keyboard, keypad, offset = struct.unpack_from("<HBBI", data, at)
+            pos = offset if kind == 3 else (offset - start) // (2 * n)
+            # key presses and rejection marks have codes of their own: negative
+            triggers.append((pos, code if code else -max(1, (keypad & 15) or keyboard), None))
+    return Recording(float(head["rate"]), names, (x - np.array(bases)[:, None]) * np.array(factors)[:, None], sorted(triggers, key=lambda t: t[0]))
+
+
+def encode_cnt(r: Recording) -> bytes:
+    """Values in full 16-bit range of each channel, 8-byte events."""
+    n, points = r.values.shape
+    start = CNT_HEADER + CNT_CHANNEL * n
+    end = start + 2 * n * points
+    head = bytearray(CNT_HEADER)
+    head[:12] = b"Version 3.0\0"
+    for k, v in {"type": 1, "nchannels": n, "rate": round(r.sfreq), "samples": points, "events": end, "block": 0}.items():
+        struct.pack_into(CNT_AT[k][1], head, CNT_AT[k][0], v)
+    rows, digital = [], np.zeros((n, points))
+    for k, name in enumerate(r.channels):
+        top = float(np.abs(r.values[k]).max(initial=0)) or 1.0
+        scale = np.float32(top / 32767 * CNT_UNIT)
+        one = bytearray(CNT_CHANNEL)
+        one[:9] = name.encode("latin-1", "replace")[:9].ljust(9, b"\0")
+        struct.pack_into("<f", one, CNT_CHANNEL_AT["sensitivity"][0], scale)
+        struct.pack_into("<f", one, CNT_CHANNEL_AT["calibration"][0], 1.0)
+        digital[k] = np.clip(np.rint(r.values[k] / (float(scale) / CNT_UNIT)), -32768, 32767)
+        rows.append(bytes(one))
+    events = b"".join(struct.pack("<HBBI", max(0, code), 0, max(0, -code), start + 2 * n * at) for at, code, _ in r.triggers)
+    return bytes(head) + b"".join(rows) + digital.T.astype("<i2").tobytes() + struct.pack("<BII", 1, len(events), 0) + events
+
+
+# ------------------------------------------------------------------ float files with a text header of parameters
+
+
+def decode_parameter_pair(header: bytes, data: bytes) -> Recording:
+    """A text header of ``key = value`` lines and label lists between START_LIST and END_LIST, with 32-bit floats (channels fastest) in a second file."""
+    values, labels, inside = {}, [], False
+    for line in header.decode("utf-8", "replace").splitlines():
+        word = line.strip()
+        if "START_LIST" in word:
+            inside = word.startswith("LABELS")
+        elif "END_LIST" in word:
+            inside = False
+        elif inside and word:
+            labels.append(word)
+        elif "=" in word:
+            k, _, v = word.partition("=")
+            values[k.strip()] = v.strip()
+    n = int(values["NumChannels"])
+    x = np.frombuffer(data, "<f4", count=len(data) // (4 * n) * n).astype(np.float64).reshape(-1, n).T
+    names = (labels + named(n)[len(labels) :])[:n]
+    return Recording(float(values["SampleFreqHz"]), names, x)
+
+
+def encode_parameter_pair(r: Recording) -> dict[str, bytes]:
+    n, points = r.values.shape
+    lines = ["DATA_PARAMETERS START", f"   NumSamples = {points}", f"   NumChannels = {n}", f"   SampleFreqHz = {r.sfreq:.10g}", "DATA_PARAMETERS END", "LABELS START_LIST", *r.channels, "LABELS END_LIST"]
+    return {".dpa": ("\n".join(lines) + "\n").encode(), ".cdt": np.ascontiguousarray(r.values.T).astype("<f4").tobytes()}

@@ -57,6 +57,21 @@ def test_wave(size):
     assert back.sfreq == 100.0 and np.abs(back.values - r.values).max() < 2.0 ** (2 - 8 * size) + 1e-6
 
 
+def test_cnt():
+    r = recording(triggers=[(5, 3, None), (90, 12, None), (95, -2, None)])
+    back = formats.decode_cnt(formats.encode_cnt(r))
+    assert back.channels == r.channels and back.sfreq == 100.0 and np.abs(back.values - r.values).max() < 0.01
+    assert [t[:2] for t in back.triggers] == [(5, 3), (90, 12), (95, -2)]
+
+
+def test_parameter_pair(spark, tmp_path):
+    r = recording(2, 40)
+    for suffix, content in formats.encode_parameter_pair(r).items():
+        (tmp_path / f"x{suffix}").write_bytes(content)
+    got = files.read_parameter_pairs(spark, str(tmp_path)).where("channel = 'C1'").orderBy("pos").collect()
+    assert np.allclose([g.value for g in got], r.values[1], atol=1e-4) and got[0].sfreq == 100.0
+
+
 def test_text_epochs():
     rng = np.random.default_rng(0)
     make = lambda n, p, i: {"sfreq": 100.0, "comment": "test", "x_label": "Lat[ms]", "channels": [f"A{k}" for k in range(n)], "positions": rng.random((n, 3)).round(4), "x": np.arange(p) * 10.0, "values": rng.normal(size=(n, p, i))}
