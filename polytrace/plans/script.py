@@ -14,8 +14,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from ..epochs import samples, traces
 from ..functions import units
-from ..operators import collect, elementwise, reject, shape, trace
+from ..operators import collect, elementwise, joins, reject, shape, spectral, trace
 from .pipeline import Pipeline
 
 
@@ -25,6 +26,7 @@ class Options:
 
     flags: dict[str, str | bool]
     args: list[str]
+    side: DataFrame | None = None
 
     def on(self, name: str) -> bool:
         return bool(self.flags.get(name))
@@ -47,6 +49,8 @@ class Method:
     least: int
     most: int
     build: Callable[[Options, float, int], tuple[Callable, tuple, dict]]
+    #: The last argument names a table that is joined to the epochs.
+    side: bool = False
 
 
 def _numbers(o: Options) -> list[float]:
@@ -82,6 +86,27 @@ def _how(o: Options, names: dict[str, str], otherwise: str | None) -> str | None
     return next((v for k, v in names.items() if o.on(k)), otherwise)
 
 
+def _blocks(o: Options, sfreq: float) -> list[tuple[float, ...]]:
+    """Blocks of a filter: four frequencies each, before each a factor if it starts with ``x`` (else 0)."""
+    out, factor, held = [], 0.0, []
+    for a in o.args:
+        if a.startswith("x"):
+            factor = units.real(a[1:])
+        else:
+            held.append(units.fraction(a, sfreq))
+        if len(held) == 4:
+            out.append((*held, factor))
+            factor, held = 0.0, []
+    if held:
+        raise ValueError("fftfilter takes blocks of four frequencies")
+    return out
+
+
+def _kernel(f: Callable, *args, **options) -> tuple[Callable, tuple, dict]:
+    """A step that packs traces, applies a kernel and unpacks them again."""
+    return lambda df: samples(f(traces(df), *args, **options)), (), {}
+
+
 _MANY = 10_000
 _AGG = {"s": "sum", "h": "max", "l": "min", "a": "mean", "M": "quantile"}
 METHODS: dict[str, Method] = {
@@ -103,6 +128,13 @@ METHODS: dict[str, Method] = {
     "change_axes": Method("", "", 2, 6, lambda o, f, b: (shape.change_axes, (units.real(o.args[0]), units.real(o.args[1])), {})),
     "add_zerochannel": Method("", "", 1, 4, lambda o, f, b: (shape.add_zero_channel, (o.args[0],), {})),
     "reject_bandwidth": Method("i", "m C I", 1, 1, lambda o, f, b: (reject.reject_bandwidth, (units.real(o.args[0]),), {"peak_only": o.on("m"), "channels_only": o.on("C"), "invert": o.on("I")})),
+    "fftfilter": Method("", "", 4, _MANY, lambda o, f, b: _kernel(spectral.fftfilter, _blocks(o, f))),
+    "fftspect": Method("p", "", 3, 3, lambda o, f, b: _kernel(spectral.fftspect, units.points(o.args[0], f), units.points(o.text("p"), f) if o.text("p") else 0, int(o.args[2]), int(o.args[1]))),
+    "svdecomp": Method("", "m", 1, 1, lambda o, f, b: _kernel(spectral.svdecomp, int(o.args[0]), maps=o.on("m"))),
+    "orthogonalize": Method("", "m", 0, 0, lambda o, f, b: _kernel(spectral.orthogonalize, maps=o.on("m"))),
+    "invert": Method("", "", 0, 0, lambda o, f, b: _kernel(spectral.invert)),
+    "subtract": Method("", "C P a s m d mean", 1, 1, lambda o, f, b: (joins.subtract, (o.side, _how(o, {"a": "add", "mean": "mean", "m": "multiply", "d": "divide"}, "subtract"), o.on("C"), o.on("P")), {}), side=True),
+    "add_channels": Method("", "c p i", 1, 1, lambda o, f, b: (joins.add_channels, (o.side, "point" if o.on("p") else "item" if o.on("i") else "channel"), {}), side=True),
     "reject_flor": Method("", "", 0, 0, lambda o, f, b: (reject.reject_overflow, (), {})),
 }
 COLLECT: dict[str, Method] = {
@@ -178,7 +210,12 @@ def compile_script(text: str, sources: dict[str, DataFrame], sfreq: float, befor
         elif name in METHODS:
             if collected and not post:
                 raise ValueError(f"line {number}: what follows a collection stands under Post:")
-            f, args, options = METHODS[name].build(parse_line(words, METHODS[name], name), sfreq, beforetrig)
+            line_options = parse_line(words, METHODS[name], name)
+            if METHODS[name].side:
+                if line_options.args[-1] not in sources:
+                    raise ValueError(f"line {number}: no source {line_options.args[-1]!r} here")
+                line_options.side = sources[line_options.args[-1]]
+            f, args, options = METHODS[name].build(line_options, sfreq, beforetrig)
             (pipeline.branch if own else pipeline.then)(f, *args, **options)
         else:
             raise ValueError(f"line {number}: unknown method {name!r}")

@@ -335,6 +335,14 @@ def test_script_variables_and_parts(spark):
     assert sorted(r.value for r in got) == [4.0, 6.0]
 
 
+def test_scripts_with_kernels_and_sides(spark):
+    t = np.arange(64)
+    df = frame(spark, [{"A": np.sin(2 * np.pi * 4 * t / 64) + np.sin(2 * np.pi * 24 * t / 64) + 1}])
+    side = frame(spark, [{"A": np.ones(64)}]).drop("epoch_id")
+    got = compile_script("source d\nsubtract side\nfftfilter 25Hz 25Hz 50Hz 50Hz\naverage", {"d": df, "side": side}, 100.0).frame().collect()
+    assert np.allclose([r.value for r in sorted(got, key=lambda r: r.point)], np.sin(2 * np.pi * 4 * t / 64), atol=1e-9)
+
+
 def test_pipeline_order(spark):
     with pytest.raises(ValueError):
         Pipeline().branch("calc", "abs")
