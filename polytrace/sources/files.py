@@ -88,15 +88,15 @@ def _grouped(files: DataFrame, header: str, data: str, decode: Callable[[dict[st
     return files.groupBy("recording").applyInPandas(run, "recording string, sfreq double, channel_idx int, channel string, pos long, value double")
 
 
-def read_text_epochs(spark: SparkSession, path: str, pattern: str = "*.asc") -> DataFrame:
-    """Samples of text epoch files: (recording, epoch_no, comment, sfreq, channel_idx, channel, point, item, x, value)."""
+def read_epochs(spark: SparkSession, path: str, pattern: str = "*.asc") -> DataFrame:
+    """Samples of epoch files, text or binary: (recording, epoch_no, comment, sfreq, channel_idx, channel, point, item, x, value)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
         names = ["recording", "epoch_no", "comment", "sfreq", "channel_idx", "channel", "point", "item", "x", "value"]
         for b in batches:
             for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                for no, e in enumerate(formats.decode_text_epochs(c)):
+                for no, e in enumerate(formats.decode_epochs(c)):
                     rows = [(p, no, e["comment"], e["sfreq"], k, name, t, i, float(e["x"][t]), float(v)) for k, name in enumerate(e["channels"]) for t in range(len(e["x"])) for i, v in enumerate(e["values"][k, t])]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 

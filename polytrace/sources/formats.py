@@ -253,6 +253,63 @@ def encode_wave(r: Recording, size: int = 2) -> bytes:
 # ------------------------------------------------------------------ the self-describing text format
 
 
+#: Fixed values of the binary variant: first two bytes for each element type, and what parts a comment from its z axis.
+BINARY_MAGIC = {0xBFFB: "f4", 0xBDDB: "f8"}
+Z_AXIS = ";Zaxis:"
+
+
+def parted(comment: str) -> tuple[str, str | None, float | None]:
+    """Comment, z label and z value."""
+    text, found, z = comment.partition(Z_AXIS)
+    label, _, value = z.rpartition("=")
+    return (text, label, float(value)) if found else (text, None, None)
+
+
+def decode_epochs(data: bytes) -> list[dict]:
+    """Epochs of a file in the self-describing format, binary or text."""
+    for order in "<>":
+        kind = BINARY_MAGIC.get(struct.unpack_from(order + "H", data)[0]) if len(data) > 4 else None
+        if kind:
+            break
+    else:
+        return decode_text_epochs(data)
+    size = struct.unpack_from(order + "h", data, 2)[0]
+    head = dict(line.partition("=")[::2] for line in data[4 : 4 + size].rstrip(b"\0").decode().splitlines() if "=" in line)
+    at, out = 4 + size, []
+
+    def take(code: str, n: int) -> np.ndarray:
+        nonlocal at
+        v = np.frombuffer(data, order + code, n, at).astype(np.float64)
+        at += v.size * np.dtype(code).itemsize
+        return v
+
+    while at + 20 <= len(data):
+        n, points, items, mixed, strings = struct.unpack_from(order + "5i", data, at)
+        at += 20
+        comment, x_label, *names = data[at : at + strings].decode().split("\0")[: n + 2]
+        at += strings
+        places, x, v = take("f8", 3 * n).reshape(n, 3), take(kind, points), take(kind, points * n * items)
+        values = v.reshape(points, n, items).transpose(1, 0, 2) if mixed else v.reshape(n, points, items)
+        at += 4  # the length of this epoch, for reading backwards
+        text, z_label, z_value = parted(comment)
+        out.append({"sfreq": float(head.get("Sfreq", 0) or 0), "comment": text, "z_label": z_label, "z_value": z_value, "x_label": x_label, "channels": names, "positions": places, "x": x, "values": values})
+    return out
+
+
+def encode_binary_epochs(epochs: list[dict], kind: str = "f8") -> bytes:
+    """The binary variant, little-endian, channels adjacent."""
+    head = (f"Sfreq={epochs[0]['sfreq']:.10g}\n" if epochs else "").encode()
+    out = [struct.pack("<Hh", {v: k for k, v in BINARY_MAGIC.items()}[kind], len(head)), head]
+    for e in epochs:
+        n, points, items = e["values"].shape
+        z = f"{Z_AXIS}{e['z_label']}={e['z_value']:.17g}" if e.get("z_label") is not None else ""
+        strings = "".join(x + "\0" for x in (e.get("comment", "") + z, e.get("x_label", "x"), *e["channels"])).encode()
+        one = struct.pack("<5i", n, points, items, 1, len(strings)) + strings + np.asarray(e["positions"]).astype("<f8").tobytes()
+        one += np.asarray(e["x"]).astype("<" + kind).tobytes() + np.ascontiguousarray(e["values"].transpose(1, 0, 2)).astype("<" + kind).tobytes()
+        out.append(one + struct.pack("<i", len(one) + 4))
+    return b"".join(out)
+
+
 def decode_text_epochs(data: bytes) -> list[dict]:
     """Epochs of a text file: header lines keyword=value, then for each epoch a comment, its sizes, channel names, three lines of places, and rows of x and values (tuples in braces)."""
     lines = data.decode().split("\n")
@@ -271,7 +328,7 @@ def decode_text_epochs(data: bytes) -> list[dict]:
         places = np.array([re.split(r"\s+", lines[at + 3 + k].strip())[1:] for k in range(3)], np.float64).T
         rows = [[float(v) for v in re.sub(r"[{}]", " ", lines[at + 6 + p]).split()] for p in range(points)]
         x = np.array(rows, np.float64).reshape(points, 1 + n * items)
-        out.append({"sfreq": float(head.get("Sfreq", 0) or 0), "comment": lines[at], "x_label": names[0], "channels": names[1 : n + 1], "positions": places, "x": x[:, 0], "values": x[:, 1:].reshape(points, n, items).transpose(1, 0, 2)})
+        out.append({"sfreq": float(head.get("Sfreq", 0) or 0), "comment": parted(lines[at])[0], "z_label": parted(lines[at])[1], "z_value": parted(lines[at])[2], "x_label": names[0], "channels": names[1 : n + 1], "positions": places, "x": x[:, 0], "values": x[:, 1:].reshape(points, n, items).transpose(1, 0, 2)})
         at += 6 + points
     return out
 

@@ -82,6 +82,19 @@ def test_text_epochs():
         assert a["channels"] == b["channels"] and np.allclose(a["values"], b["values"]) and np.allclose(a["positions"], b["positions"]) and b["sfreq"] == 100.0
 
 
+@pytest.mark.parametrize("kind", ["f4", "f8"])
+def test_binary_epochs(spark, tmp_path, kind):
+    rng = np.random.default_rng(0)
+    epochs = [{"sfreq": 250.0, "comment": "two words", "z_label": "Nr", "z_value": 4.5, "x_label": "Lat[ms]", "channels": [f"A{k}" for k in range(n)], "positions": rng.random((n, 3)), "x": np.arange(5) * 4.0, "values": rng.normal(size=(n, 5, 2))} for n in (3, 2)]
+    data = formats.encode_binary_epochs(epochs, kind)
+    back = formats.decode_epochs(data)
+    for a, b in zip(epochs, back, strict=True):
+        assert a["channels"] == b["channels"] and np.allclose(a["values"], b["values"], atol=1e-6) and (b["comment"], b["z_label"], b["z_value"]) == ("two words", "Nr", 4.5)
+    (tmp_path / "x.asc").write_bytes(data)
+    (tmp_path / "y.asc").write_bytes(formats.encode_text_epochs(epochs))
+    assert files.read_epochs(spark, str(tmp_path)).groupBy("recording").count().collect()[0]["count"] == 50
+
+
 def test_trigger_text():
     assert formats.decode_triggers("# head\n10 3 first one\n0.5s\n20ms 4\n99 0\n100 1", 100.0) == [(10, 3, "first one"), (50, 1, None), (2, 4, None)]
     with pytest.raises(ValueError):
