@@ -73,6 +73,15 @@ def sliding_average(df: DataFrame, size: int, step: float, q: float | None = Non
         met = spread.join(df.select(*keys, "point", value), [*keys, "point"])
         # past the last point there is nothing to interpolate towards: the weights present are made whole
         return met.groupBy(*keys, F.col("k").alias("point")).agg((F.sum(F.col(value) * weight) / F.sum(weight)).alias("value"))
+    if q is None and step == 1:
+        # every point stays: one window pass over each trace, differences of its running sums
+        w, n, at = along(df), F.count("*").over(trace(df)), F.row_number().over(along(df)) - 1
+        held = df.withColumn("_sum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", n).withColumn("_i", at)
+        held = held.withColumn("_all", F.sum(value).over(trace(df)))
+        up_to = F.coalesce(F.lead("_sum", right - 1).over(w), F.col("_all"))
+        total = up_to - F.coalesce(F.lag("_sum", left + 1).over(w), F.lit(0.0))
+        count = F.least(F.col("_i") + right - 1, F.col("_n") - 1) - F.greatest(F.col("_i") - left, F.lit(0)) + 1
+        return with_value(held, total / count).select(*df.columns)
     if q is None:
         run = along(df).rowsBetween(Window.unboundedPreceding, 0)
         sums = df.select(*keys, "point", F.sum(value).over(run).alias("_sum"))
