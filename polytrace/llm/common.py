@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The six ASCII white-space bytes ``[\x20\x09-\x0D]``; ``bytes.split()`` cuts at exactly these.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -59,3 +60,15 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def hash_sample(df: DataFrame, h: Column, n: int, total: int) -> DataFrame:
+    """The ``n`` rows of about ``total`` whose hashes ``h`` (64 bits, signed) are smallest.
+
+    Rows beyond twice the expected hash are put aside first, so that no task hands over more than its share.
+    """
+    share = min(1.0, (2 * n + 100) / max(1, total))
+    out = df.withColumn("_hash", h)
+    if share < 1:
+        out = out.where(F.col("_hash") <= int(share * 2**64) - 2**63)
+    return out.orderBy("_hash", *[c for c in df.columns]).limit(n).drop("_hash")

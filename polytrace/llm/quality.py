@@ -176,7 +176,7 @@ def assess(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     spark = df.sparkSession
     stats = common.stored(rule_statistics(df, id_col, text_col), "statistics")
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    picked = stats.orderBy(F.xxhash64(F.col(id_col), *STATS), F.col(id_col)).limit(trees * subsample).select(*STATS).toPandas()
+    picked = common.hash_sample(stats, F.xxhash64(F.col(id_col), *STATS), trees * subsample, stats.count()).select(*STATS).toPandas()
     forest = spark.sparkContext.broadcast(Forest(features(picked.to_numpy(np.int64).reshape(-1, len(STATS))), trees, subsample))
     kind = stats.schema[id_col].dataType.simpleString()
 
