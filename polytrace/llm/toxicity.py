@@ -133,7 +133,8 @@ class Model:
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
     """The model from labelled documents; ``labels`` has ``id_col`` and toxic (0 or 1)."""
     known = labels.where("toxic is not null").select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null")
-    known = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
+    known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    known = common.hash_sample(known, F.xxhash64("id"), max_labelled, known.count())
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     labelled = common.stored(docs.join(F.broadcast(known), "id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic"), "labelled")  # the side sent out has max_labelled rows at most
     totals = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
