@@ -70,7 +70,7 @@ class Vocabulary:
         self.symbol = np.array([1 + GROUPS + k if k < len(known) else 1 + own[k] for k in range(len(head))], np.int32)
         self.log = np.log10(count + 1.0)
         self.extra = np.array([0.0 if k < len(known) else self.log[k] - self.group_log[own[k]] for k in range(len(head))])
-        self.end_log, self.end_known = math.log10(ends + 1), int(ends > 0)
+        self.ends, self.end_log, self.end_known = ends, math.log10(ends + 1), int(ends > 0)
         self.total, self.base_log = total, math.log10(total + distinct + 1)
         self.frequency = np.zeros(classes * gru.CLASS)
         self.frequency[: 1 + GROUPS + len(known)] = [ends, *mass, *(n for _, n in known)]
@@ -132,7 +132,7 @@ def warmed(rows: DataFrame, vocab: Vocabulary, classes: int, hidden: int) -> gru
     model = gru.GRU(classes, hidden)
     model.start_from(vocab.frequency)
     fit = rows.where(~F.col("held_out") & (F.length("text") > 0) & (F.length("text") <= WARM_CHARS))
-    docs = [vocab.read(r[0].encode())[0] for r in fit.orderBy(F.xxhash64("text"), "text").limit(WARM_DOCS).select("text").collect()]
+    docs = [vocab.read(r[0].encode())[0] for r in common.hash_sample(fit.select("text"), F.xxhash64("text"), WARM_DOCS, vocab.ends).collect()]
     memory = np.full_like(model.p, 0.1)
     for _ in range(WARM_PASSES):
         gru.train(model, docs, memory, lanes=32)
