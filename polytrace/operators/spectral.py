@@ -38,13 +38,22 @@ def map_epochs(df: DataFrame, kernel: Callable[[np.ndarray, list[str]], list[tup
     """A kernel on each epoch: channels x points and their names in; (name, values) of new channels out."""
     order = "channel_idx" if "channel_idx" in df.columns else "channel"
     schema = T.StructType([df.schema[by], T.StructField("channel_idx", T.IntegerType()), T.StructField("channel", T.StringType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
+    # epochs are small, so many of them travel in one batch
+    held = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "channel", "values"))).alias("rows"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        made = kernel(np.array(pdf["values"].tolist(), np.float64), pdf["channel"].tolist())
-        return pd.DataFrame({by: pdf[by].iloc[0], "channel_idx": range(len(made)), "channel": [n for n, _ in made], "values": [v.tolist() for _, v in made]})
-
-    return df.groupBy(by).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            index, numbers, names, values = [], [], [], []
+            for k, rows in enumerate(b.column("rows").to_pylist()):
+                made = kernel(np.array([r["values"] for r in rows], np.float64), [r["channel"] for r in rows])
+                index += [k] * len(made)
+                numbers += range(len(made))
+                names += [n for n, _ in made]
+                values += [v for _, v in made]
+            columns = [b.column(by).take(pa.array(index, pa.int64())), pa.array(numbers, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[by, "channel_idx", "channel", "values"])
+
+    return held.mapInArrow(run, schema)
 
 
 # ------------------------------------------------------------------ Fourier kernels
