@@ -226,9 +226,13 @@ def train(model: GRU, docs: list[np.ndarray], memory: np.ndarray, lanes: int = 1
     if not docs:
         return 0.0
     line, met = Lanes(docs, lanes), 0.0
+    share = np.float32(1 / max(1, min(window, line.steps) * line.x.shape[1]) ** 0.5)  # of a full window: the last lanes' tokens weigh no more than others
     flat = np.zeros_like(model.p)
     grads_of = GRU(model.classes, model.hidden, flat=flat)
     grads = {k: grads_of[k] for k in model.at}
+    rest = model.at["e"][1]  # only the rows of "e" that a window reads have gradients: the others stay as they are
+    own, had, got = model["e"], memory[:rest].reshape(model["e"].shape), grads["e"]
+    dense, dense_memory, dense_own = flat[rest:], memory[rest:], model.p[rest:]
     h = np.zeros((line.x.shape[1], model.hidden), np.float32)
     for a, b, n in line.windows(window):
         x, keep, y = line.x[a:b, :n], line.keep[a:b, :n], line.y[a:b, :n]
@@ -239,9 +243,15 @@ def train(model: GRU, docs: list[np.ndarray], memory: np.ndarray, lanes: int = 1
         dout = np.zeros_like(out)
         dout[on] = dh
         model.backward(x, keep, tape, dout, grads)
-        flat *= np.float32(1 / max(1, int(on.sum())) ** 0.5)
-        memory += flat * flat
-        model.p -= np.float32(rate) * flat / np.sqrt(memory)
-        flat[:] = 0
+        rows = np.unique(x)
+        g = got[rows] * share
+        m = had[rows] + g * g
+        had[rows] = m
+        own[rows] -= np.float32(rate) * g / np.sqrt(m)
+        got[rows] = 0
+        dense *= share
+        dense_memory += dense * dense
+        dense_own -= np.float32(rate) * dense / np.sqrt(dense_memory)
+        dense[:] = 0
     model.tame()
     return met

@@ -9,7 +9,7 @@ The network's symbols are the end, the most frequent words, and six groups for a
 whether they leave ASCII). P(word) of a grouped word is P(group) times its add-one share of the group,
 with one place for words never seen, so that the probabilities of all words sum to at most 1. Output biases come from the
 counts. The weights are warmed up on ``WARM_DOCS`` documents on the driver; then every task trains its own copy
-on one in ``TRAIN_ONE_IN`` of its training documents, and the copies are averaged by tokens. Documents are then scored whole,
+on all of its training documents (one in ``TRAIN_ONE_IN``, for trials), and the copies are averaged by tokens. Documents are then scored whole,
 in lanes that carry their state from window to window.
 
 Defined results: null or empty text is the end alone; a null id counts as training; without training documents all counts are 0;
@@ -34,7 +34,7 @@ from . import common, gru
 
 HEAD, CLASSES, GROUPS = 65_536, 64, 6
 WARM_DOCS, WARM_CHARS, WARM_PASSES = 300, 20_000, 2
-TRAIN_ONE_IN = 8
+TRAIN_ONE_IN = 1
 #: Tokens that a task holds at once, and distinct words that it counts at once.
 BLOCK_TOKENS, BLOCK_WORDS = 3_000_000, 400_000
 CHUNKS = 128
