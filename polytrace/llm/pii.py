@@ -45,7 +45,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SPACED_CARD = re.compile(r"(?<![0-9.])[0-9]{4}([./\u00a0\u2009\u202f])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?![0-9.])")
 _NATIONAL = re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|key)\b)\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9_+/=-]{16,256})(?![A-Za-z0-9])")
+_SECRET = re.compile(r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|key)\b)\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9_+/=-]{16,}+)")
 _WORDS = {
     "email": re.compile(r"(?i)e-?mail|contact|write|mailto"),
     "ip": re.compile(r"(?i)\bip\b|server|host|address|adresse"),
@@ -105,6 +105,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], ORDER[s[2]]))
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers passing mod-97: of each start the longest, as capitals that follow may match the pattern too."""
+    m = _IBAN.search(text)
+    while m:
+        at, end = m.start() + 1, m.end()
+        while end > m.start() and len(account := text[m.start() : end].replace(" ", "")) >= 15:
+            if mod97(account):
+                yield m.start(), end
+                at = end
+                break
+            end = text.rfind(" ", m.start(), end)
+        m = _IBAN.search(text, at)
+
+
 def further_spans(text: str) -> Iterator[tuple[int, int, str, bool]]:
     """Proposals beyond the base kinds, with whether a checksum confirms each."""
     for m in _SPACED_CARD.finditer(text):
@@ -113,9 +127,7 @@ def further_spans(text: str) -> Iterator[tuple[int, int, str, bool]]:
     for m in _NATIONAL.finditer(text):
         if 9 <= len(digits_of(m[0])) <= 12:
             yield *m.span(), "phone", False
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield *m.span(), "iban", True
+    yield from ((*s, "iban", True) for s in ibans(text))
     for m in _SECRET.finditer(text):
         yield *m.span(1), "secret", False
 
