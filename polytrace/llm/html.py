@@ -1,7 +1,7 @@
 """Main text of web pages: a recurrent labeller reads a page's blocks in order and says which belong to the article.
 
 A page is cut into leaf blocks: text between the starts and ends of block-level
-elements; inline elements and line breaks stay inside a block; scripts, styles, comments and heads give none. A block's
+elements; inline elements and line breaks stay inside a block; scripts, styles, comments, titles and choice lists give none. A block's
 input is the sum of learned vectors of its tag path (tags, and the words in their classes, ids and roles, hashed),
 the mean of learned vectors of its hashed words, and a few measures. A bidirectional LSTM in numpy reads all
 blocks of the page from both ends, so each is judged by the whole document.
@@ -11,7 +11,9 @@ with known blocks: articles of many shapes between menus, headers, footers, side
 reader comments, under names common on the web, with unclosed tags as they occur. Training takes
 seconds, always gives the same weights and is done once for each driver.
 
-Defined results: null or empty html gives an empty text; broken markup is read as far as it goes (an unclosed tag at the end is text); rows are
+Defined results: null or empty html gives an empty text; broken markup is read as far as it goes (an unclosed tag at the end is text, an unclosed
+script or style goes to the end of the page, other unclosed elements are read as they stand); reading takes time in proportion to the page, so very long pages
+need no limit; a block at exactly 0.5 belongs to the article; rows are
 independent, so repeated rows agree; an empty table gives no rows; other columns are not read.
 """
 
@@ -21,6 +23,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,20 +33,25 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Names of elements, by how they are read.
+#: Names of elements, by how they are read. RAW ones hold no text of the page; everything else that is not INLINE starts a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template title svg math iframe object select textarea canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img button input".split())
+RAW = frozenset("script style title iframe select textarea template".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mi mn mo q s samp small span strike strong sub sup time tt u var wbr img input".split())
 CLOSED_BY_START = {"p": frozenset("p"), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"])}
 HOLDERS = frozenset("html body table ul ol dl div section article main nav aside header footer form blockquote figure".split())
+LANDMARKS = frozenset("article main nav aside header footer form section".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
+# a quoted value stands after = only; a tag cut short by the end of the page does not match
+_REST = re.compile(r"(?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+>")
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+_NAMES = re.compile(r"\b(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))", re.I)
 _PARTS = re.compile(r"[a-z]+")
+_SENTENCES = re.compile(r"[.!?…](?=\s|$)")
 
-PATHS, WORDS, DIM, HIDDEN, MEASURES = 2048, 1024, 16, 16, 4
-#: Tags of a path that count, from the block outwards.
-DEPTH = 8
+PATHS, WORDS, DIM, HIDDEN, MEASURES = 16384, 4096, 16, 16, 9
+#: What the labeller sees of a path: the innermost elements, and the innermost ones above them that are landmarks or carry names. Names of one element.
+DEPTH, ABOVE, NAMED = 8, 8, 12
 
 
 class Block:
@@ -55,78 +63,117 @@ class Block:
         self.text, self.path, self.linked = text, path, linked
 
 
+class _Reader:
+    """The state of reading one page. Every character is looked at a bounded number of times, whatever the markup."""
+
+    def __init__(self) -> None:
+        self.out: list[Block] = []
+        self.stack: list[tuple[str, str, tuple[str, ...]]] = []  # tag, tag with names, landmarks above
+        self.open: Counter = Counter()
+        self.held: list[str] = []
+        self.linked = self.anchors = 0
+
+    def text(self, piece: str) -> None:
+        if piece:
+            self.held.append(piece)
+            if self.anchors:
+                self.linked += len(piece)
+
+    def flush(self) -> None:
+        if self.held:
+            text = " ".join(html.unescape("".join(self.held)).split())
+            if text:
+                inner = [n for _, n, _ in self.stack[-DEPTH:]]
+                above = self.stack[-DEPTH][2] if len(self.stack) >= DEPTH else ()
+                self.out.append(Block(text, (*above, *inner), min(1.0, self.linked / max(sum(map(len, self.held)), 1))))
+            self.held.clear()
+        self.linked = 0
+
+    def pop(self) -> None:
+        self.open[self.stack.pop()[0]] -= 1
+
+    def start(self, tag: str, attributes: str) -> None:
+        self.flush()
+        while self.stack and self.stack[-1][0] in CLOSED_BY_START.get(tag, ()):
+            self.pop()
+        if tag in HOLDERS or tag[0] == "h":
+            while self.stack and self.stack[-1][0] == "p":
+                self.pop()
+        names = [p for a in _NAMES.finditer(attributes) for p in _PARTS.findall((a[2] or a[3] or a[4] or "").lower())] if "=" in attributes else []
+        above: tuple[str, ...] = ()
+        if self.stack:
+            last = self.stack[-1]
+            above = (*last[2], last[1])[-ABOVE:] if last[0] in LANDMARKS or " " in last[1] else last[2]
+        self.stack.append((tag, " ".join([tag, *(f".{n}" for n in names[:NAMED])]), above))
+        self.open[tag] += 1
+
+    def end(self, tag: str) -> None:
+        self.flush()
+        self.anchors = 0
+        if self.open[tag]:
+            for k in range(len(self.stack) - 1, -1, -1):
+                if self.stack[k][0] == tag:
+                    while len(self.stack) > k:
+                        self.pop()
+                    return
+                if self.stack[k][0] in HOLDERS and tag not in HOLDERS:
+                    return
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order; character references decoded, white space made one space, no empty ones."""
-    out: list[Block] = []
-    stack: list[tuple[str, str]] = []
-    held: list[str] = []
-    linked = at = anchors = 0
-    silent = ""
-
-    def flush() -> None:
-        nonlocal linked
-        if held:
-            text = " ".join(html.unescape("".join(held)).split())
-            if text:
-                raw = sum(map(len, held))
-                out.append(Block(text, tuple(n for _, n in stack[-DEPTH:]), min(1.0, linked / max(raw, 1))))
-            held.clear()
-        linked = 0
-
-    def close(tag: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                del stack[k:]
-                return
-            if stack[k][0] in HOLDERS and tag not in HOLDERS:
-                return
-
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        if not silent and m.start() > at:
-            held.append(page[at : m.start()])
-            if anchors:
-                linked += m.start() - at
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
+    read, at, strict = _Reader(), 0, True
+    endless: set[str] = set()  # RAW elements whose end does not come any more
+    while True:
+        mark = page.find("<", at)
+        if mark < 0:
+            break
+        after = page[mark + 1 : mark + 2]
+        if page.startswith("<!--", mark):
+            read.text(page[at:mark])
+            end = page.find("-->", mark + 4)
+            at = len(page) if end < 0 else end + 3
             continue
-        tag, ends = tag.lower(), bool(m[1] or m[4])
-        if silent:
-            if ends and tag == silent:
-                silent = ""
+        name = _NAME.match(page, mark + 1) if after == "/" or after.isascii() and after.isalpha() else None
+        if name is None and after not in ("!", "?"):
+            read.text(page[at : mark + 1])
+            at = mark + 1
             continue
-        if tag in SILENT:
-            if not ends:
-                attributes = m[3] if m[2] else m[6]
-                if not (attributes or "").endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                    at = end.end() if end else len(page)
+        whole = _REST.match(page, name.end()) if name and strict else None
+        strict &= whole is not None or name is None  # one tag that never ends well, and the rest is cut at the next >
+        end = whole.end() if whole else page.find(">", mark) + 1
+        if not end:
+            break
+        read.text(page[at:mark])
+        at = end
+        if name is None:
             continue
-        if tag == "br":
-            held.append(" ")
+        tag, ends, attributes = name[1].lower(), after == "/", page[name.end() : end - 1]
+        if tag in RAW:
+            if not ends and not attributes.endswith("/") and tag not in endless:
+                close = _ENDS[tag].search(page, at)
+                end = page.find(">", close.end()) + 1 if close else 0
+                if end:
+                    at = end
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:
+                    endless.add(tag)
+        elif tag == "br":
+            read.text(" ")
         elif tag in INLINE:
             if tag == "a":
-                anchors = 0 if ends else 1
-        elif tag not in VOID or tag == "hr":
-            flush()
+                read.anchors = 0 if ends else 1
+        elif tag == "hr":
+            read.flush()
+        elif tag not in VOID:
             if ends:
-                close(tag)
-                anchors = 0
-            elif tag != "hr":
-                while stack and stack[-1][0] in CLOSED_BY_START.get(tag, ()):
-                    stack.pop()
-                if tag in HOLDERS or tag[0] == "h":
-                    while stack and stack[-1][0] == "p":
-                        stack.pop()
-                attributes = (m[3] if m[2] else m[6]) or ""
-                names = [p for a in _NAMES.finditer(attributes) for p in _PARTS.findall((a[2] or a[3] or a[4] or "").lower())] if "=" in attributes else []
-                stack.append((tag, " ".join([tag, *(f".{n}" for n in names[:12])])))
-    if not silent and at < len(page):
-        held.append(page[at:])
-    flush()
-    return out
+                read.end(tag)
+            elif not (read.open["svg"] and attributes.endswith("/")):
+                read.start(tag, attributes)
+    read.text(page[at:])
+    read.flush()
+    return read.out
 
 
 # ------------------------------------------------------------------ inputs
@@ -144,6 +191,22 @@ def path_ids(path: tuple[str, ...]) -> list[int]:
     return [zlib.crc32(t.encode()) % PATHS for t in tokens]
 
 
+def measured(b: Block, words: int, place: float) -> tuple[float, ...]:
+    """What is measured of a block: its length, links, place on the page, and signs of prose."""
+    text, n = b.text, max(words, 1)
+    return (
+        min(words, 400) ** 0.5 / 10,
+        b.linked,
+        place,
+        text[-1] in ".!?…\"'”",
+        min(len(_SENTENCES.findall(text)), 8) / 8,
+        min(text.count(",") / n, 0.3),
+        sum(map(str.isdigit, text)) / len(text),
+        words < 4,
+        "©" in text,
+    )
+
+
 class Inputs:
     """What the labeller reads of many pages: flat arrays over all blocks."""
 
@@ -162,7 +225,7 @@ class Inputs:
                 words += own
                 path_n.append(len(ids))
                 word_n.append(len(own))
-                measures.append((min(len(own), 400) ** 0.5 / 10, b.linked, k / max(1, len(page) - 1), b.text[-1] in ".!?…\"'”"))
+                measures.append(measured(b, len(own), k / max(1, len(page) - 1)))
         self.paths, self.words = np.array(paths, np.int32), np.array(words, np.int32)
         self.path_n, self.word_n = np.array(path_n, np.int64), np.array(word_n, np.int64)
         self.measures = np.array(measures, np.float32).reshape(-1, MEASURES)
@@ -192,7 +255,9 @@ class Labeller:
 
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.w = {k: rng.normal(0, 0.1 if k in ("path", "word") else 0.3 / np.sqrt(s[0]), s).astype(np.float32) for k, s in self.SHAPES.items()}
+        self.w = {k: rng.normal(0, 0.3 / np.sqrt(s[0]), s).astype(np.float32) for k, s in self.SHAPES.items()}
+        for k in ("path", "word"):
+            self.w[k][:] = 0  # names and words that no training page holds say nothing
         for k in ("fb", "bb"):
             self.w[k][HIDDEN : 2 * HIDDEN] = 1.0
 
@@ -272,7 +337,7 @@ class Labeller:
         np.add.at(grad["word"], x.words, np.repeat(dv[:, DIM : 2 * DIM] / np.maximum(x.word_n, 1)[:, None], x.word_n, axis=0))
         return float(-np.mean(np.where(y > 0, np.log(p + 1e-9), np.log(1 - p + 1e-9))))
 
-    def fit(self, pages: list[tuple[list[Block], np.ndarray]], passes: int = 4, batch: int = 24, rate: float = 0.01, seed: int = 11) -> Labeller:
+    def fit(self, pages: list[tuple[list[Block], np.ndarray]], passes: int = 5, batch: int = 20, rate: float = 0.01, seed: int = 11) -> Labeller:
         rng, known = np.random.default_rng(seed), {}
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -300,125 +365,214 @@ OTHER = {
     "header": ["header", "div.header", "div#header", "header.site-header", "div.masthead", "div.topbar", "div.site-title"],
     "footer": ["footer", "div.footer", "div#footer", "footer.site-footer", "div.colophon", "div.copyright"],
     "sidebar": ["aside", "div.sidebar", "div#sidebar", "aside.widget", "div.related", "div.widget", "section.related-posts", "div.recommended", "aside.sidebar"],
-    "notice": ["div.cookie-notice", "div.notice", "div#cookie-banner", "div.consent", "div.alert", "div.newsletter", "div.subscribe", "div.banner", "div.gdpr", "section.notice", "div.popup"],
-    "advert": ["div.ad", "div.ads", "div.advert", "div.advertisement", "div.sponsored", "div.promo", "div#ad", "aside.ad", "section.sponsor", "ins.adsbygoogle"],
+    "notice": ["div.cookie-notice", "div.notice", "div#cookie-banner", "div.consent", "div.alert", "div.newsletter", "div.subscribe", "div.banner", "div.gdpr", "section.notice", "div.popup", "noscript"],
+    "advert": ["div.ad", "div.ads", "div.advert", "div.advertisement", "div.sponsored", "div.promo", "div#ad", "aside.ad", "section.sponsor"],
     "form": ["form", "form.search", "form.login", "div.form", "form.subscribe", "form#comment-form"],
     "comments": ["div.comments", "section.comments", "div#comments", "ol.comment-list", "div.comment", "section#respond", "div.responses", "ul.comments", "div.reader-comments", "aside.comments"],
     "share": ["div.share", "ul.social", "div.social-links", "div.tags", "div.meta", "div.byline"],
 }
+#: Containers that name nothing; a question mark becomes an invented name. What stands in them is told from its text alone.
+PLAIN = ["", "", "div", "div", "div>div", "div>div>div", "section", "td", "div.?", "div#?", "div.?>div.?", "section.?", "center", "?-?", "font>div", "table>tr>td"]
+PLAIN_OTHER = ["div", "div", "div>div", "section", "div.?", "div#?", "p", "td", ""]
 TELLING = {
-    "menu": "home about contact news products blog services login".split(),
-    "header": "welcome menu search sign in".split(),
-    "footer": "&copy; copyright all rights reserved privacy terms imprint &middot; contact".split(),
-    "sidebar": "related popular recent posts more read also archives".split(),
-    "notice": "cookies we use accept privacy policy agree subscribe newsletter".split(),
-    "advert": "sponsored advertisement buy now offer sale discount".split(),
-    "form": "name email password submit search send login".split(),
-    "comments": "reply says comment wrote posted thanks great".split(),
-    "share": "share tweet tags posted by".split(),
+    "menu": "home about contact news products blog services login startseite kontakt accueil inicio contacto noticias aktuelles über produits servicios archiv".split(),
+    "header": "welcome menu search sign in willkommen bienvenue bienvenido suche".split(),
+    "footer": "&copy; copyright all rights reserved privacy terms imprint &middot; contact impressum datenschutz mentions légales derechos reservados alle rechte vorbehalten".split(),
+    "sidebar": "related popular recent posts more read also archives verwandte artikel articles liés artículos relacionados".split(),
+    "notice": "cookies we use accept privacy policy agree subscribe newsletter javascript enable akzeptieren accepter aceptar browser".split(),
+    "advert": "sponsored advertisement buy now offer sale discount anzeige publicité publicidad angebot".split(),
+    "form": "name email password submit search send login absenden envoyer enviar".split(),
+    "comments": "reply says comment wrote posted thanks great kommentar antworten commentaire répondre comentario responder".split(),
+    "share": "share tweet tags posted by teilen partager compartir".split(),
 }
 
 
-def training_pages(n: int = 420, seed: int = 17) -> list[tuple[list[Block], np.ndarray]]:
-    """Pages with a label for each block (1: in the article), written by a fixed random recipe."""
-    rng = random.Random(seed)
-    syllables = [a + b for a in "b c d f g l m n p r s t v w th sh".split() for b in "a e i o u an en er on".split()]
+class _Writer:
+    """Writes pieces of pages by a fixed random recipe."""
+
+    SYLLABLES = [a + b for a in "b c d f g k l m n p r s t v w z th sh st".split() for b in "a e i o u an en er on ie au el".split()]
+
+    def __init__(self, rng: random.Random):
+        self.rng = rng
 
-    def word() -> str:
-        return "".join(rng.choices(syllables, k=rng.choice((1, 1, 2, 2, 3))))
+    def word(self) -> str:
+        return "".join(self.rng.choices(self.SYLLABLES, k=self.rng.choice((1, 1, 2, 2, 3))))
 
-    def sentence(k: int) -> str:
-        return " ".join(word() for _ in range(k)).capitalize() + rng.choice((".", ".", ".", "!", "?"))
+    def sentence(self, k: int) -> str:
+        words = [self.word() + ("," if self.rng.random() < 0.06 else "") for _ in range(k)]
+        if self.rng.random() < 0.1:
+            words[self.rng.randrange(k)] = str(self.rng.randint(1, 2100))
+        if self.rng.random() < 0.08:
+            words[-1] = f"<a href='/x'>{words[-1].rstrip(',')}</a>"
+        out = " ".join(words).rstrip(",")
+        return out[:1].upper() + out[1:] + self.rng.choice((".", ".", ".", "!", "?"))
 
-    def prose(short: bool = False) -> str:
-        if short or rng.random() < 0.2:
-            return sentence(rng.randint(1, 9))
-        return " ".join(sentence(rng.randint(3, 16)) for _ in range(rng.randint(1, 5)))
+    def heading(self) -> str:
+        return " ".join(self.word() for _ in range(self.rng.randint(1, 9))).capitalize() + self.rng.choice(("", "", ".", "?"))
 
-    def wrap(spec: str, inner: str) -> str:
+    def prose(self, short: bool = False) -> str:
+        if short or self.rng.random() < 0.2:
+            return self.sentence(self.rng.randint(1, 9))
+        return " ".join(self.sentence(self.rng.randint(3, 16)) for _ in range(self.rng.randint(1, 5)))
+
+    def wrap(self, spec: str, inner: str) -> str:
         for one in reversed(spec.split(">")):
-            if one == "body":
+            while "?" in one:
+                one = one.replace("?", self.word() + self.word(), 1)
+            if one in ("", "body"):
                 continue
             tag, _, name = one.replace("#", ".#").partition(".")
             label = "" if not name else f' id="{name[1:]}"' if name[0] == "#" else f' class="{name}"'
             inner = f"<{tag}{label}>{inner}</{tag}>"
         return inner
 
-    def paragraph(text: str) -> str:
-        r = rng.random()
+    def paragraph(self, text: str) -> str:
+        r = self.rng.random()
         if r < 0.12:
             return f"<p><b>{text}<br>"
         if r < 0.2:
             return f"<p>{text}"
         if r < 0.3:
-            return f"<p>{sentence(2)} <a href='/x'>{word()}</a> {text}</p>"
+            return f"<p>{self.sentence(2)} <a href='/x'>{self.word()}</a> {text}</p>"
         return f"<p>{text}</p>"
 
-    def article() -> str:
-        out = [f"<h1>{sentence(rng.randint(3, 10))}</h1>"] if rng.random() < 0.85 else []
+    def article(self) -> str:
+        rng = self.rng
+        out = [f"<h1>{self.sentence(rng.randint(3, 10)) if rng.random() < 0.5 else self.heading()}</h1>"] if rng.random() < 0.85 else []
+        style = rng.choice(("p", "p", "p", "p", "p", "p", "div", "br", "section"))
         for _ in range(rng.choice((0, 1, 1, 2, 3, 4, 6, 9, 14))):
             r = rng.random()
             if r < 0.72:
-                out.append(paragraph(prose()))
+                text = self.prose()
+                out.append({"p": self.paragraph(text), "div": f"<div>{text}</div>", "br": f"{text}<br><br>{self.prose()}<p>", "section": f"<section><h2>{self.heading()}</h2><p>{text}</p></section>"}[style])
             elif r < 0.79:
-                out.append(f"<h{rng.choice('23')}>{sentence(rng.randint(2, 6))}</h2>")
+                k = rng.choice("23")
+                out.append(f"<h{k}>{self.heading()}</h{k}>")
             elif r < 0.85:
-                out.append("<ul>" + "".join(f"<li>{prose(True)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
-            elif r < 0.9:
-                out.append(f"<blockquote><p>{prose()}</p></blockquote>")
-            elif r < 0.93:
-                out.append("<table><tr>" + "".join(f"<td>{word()}</td>" for _ in range(4)) + "</tr></table>")
-            elif r < 0.96:
-                out.append(f"<pre>{prose(True)}</pre>")
+                out.append("<ul>" + "".join(f"<li>{self.prose(True)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
+            elif r < 0.89:
+                out.append(f"<blockquote><p>{self.prose()}</p></blockquote>")
+            elif r < 0.91:
+                out.append(f"<dl><dt>{self.word()}</dt><dd>{self.prose(True)}</dd><dt>{self.word()}</dt><dd>{self.prose()}</dd></dl>")
+            elif r < 0.94:
+                out.append("<table>" + "".join("<tr>" + "".join(f"<td>{self.word()}</td>" for _ in range(4)) + "</tr>" for _ in range(rng.randint(1, 3))) + "</table>")
+            elif r < 0.97:
+                out.append(f"<pre>{self.prose(True)}</pre>")
             else:
-                out.append(f"<figure><img src='x'><figcaption>{prose(True)}</figcaption></figure>")
-        return "".join(out) or paragraph(prose(True))
-
-    def other(kind: str) -> str:
-        def text(k: int) -> str:
-            told = TELLING[kind]
-            return " ".join(rng.choice(told) if rng.random() < 0.3 else word() for _ in range(k))
-
+                out.append(f"<figure><img src='x'><figcaption>{self.prose(True)}</figcaption></figure>")
+        return "".join(out) or self.paragraph(self.prose(True))
+
+    def disguised(self, body: str) -> str:
+        """The same page with invented names on its elements, or with invented elements."""
+        rng, named = self.rng, {}
+        if rng.random() < 0.6:
+            share = rng.choice((0.3, 1.0))
+
+            def name(m: re.Match) -> str:
+                return f"<{m[1]} class='{' '.join(self.word() + rng.choice(('', '-x', '9')) for _ in range(rng.randint(1, 3)))}'" if rng.random() < share else m[0]
+
+            return re.sub(r"<(div|p|h[1-6]|section|li|ul|td)(?=>)", name, body)
+        for tag in rng.sample(("div", "p", "h1", "section", "center"), rng.randint(1, 4)):
+            named[tag] = f"{self.word()}-{self.word()}"
+        return re.sub(r"(</?)(div|p|h1|section|center)(?=[ >])", lambda m: m[1] + named.get(m[2], m[2]), body)
+
+    def told(self, kind: str, k: int, share: float = 0.3) -> str:
+        return " ".join(self.rng.choice(TELLING[kind]) if self.rng.random() < share else self.word() for _ in range(k))
+
+    def links(self, kind: str) -> str:
+        rng = self.rng
+        n, most = rng.randint(2, 8), 2 if kind == "menu" else 6
+        one = [f"<a href='/{k}'>{self.told(kind, rng.randint(1, most)).capitalize()}</a>" for k in range(n)]
+        return rng.choice(("<ul>" + "".join(f"<li>{x}</li>" for x in one) + "</ul>", rng.choice((" | ", " ", " &middot; ", " &raquo; ")).join(one), "".join(f"<div>{x}</div>" for x in one), "<br>".join(one)))
+
+    def other(self, kind: str) -> str:
+        """Something that is not the article, in a container that says so."""
+        rng = self.rng
         if kind == "menu":
-            inner = "<ul>" + "".join(f"<li><a href='/{k}'>{text(rng.randint(1, 2))}</a></li>" for k in range(rng.randint(2, 8))) + "</ul>"
+            inner = self.links(kind)
         elif kind == "form":
-            inner = f"<label>{text(1)}</label><input type=text><p>{text(4)}</p><button>{text(1)}</button>"
+            inner = f"<label>{self.told(kind, 1)}</label><input type=text><p>{self.told(kind, 4)}</p><button>{self.told(kind, 1)}</button>"
         elif kind == "comments":
             one = rng.choice(("<div class='comment'><p>{}</p></div>", "<li><b>{}</b></li>", "<p>{}</p>", "<article class='comment'><header>{}</header><p>{}</p></article>"))
-            inner = rng.choice(("", f"<h3>{text(2)}</h3>")) + "".join(one.replace("{}", prose(rng.random() < 0.5)) for _ in range(rng.randint(1, 6)))
+            inner = rng.choice(("", f"<h3>{self.told(kind, 2)}</h3>")) + "".join(one.replace("{}", self.prose(rng.random() < 0.5)) for _ in range(rng.randint(1, 6)))
         elif kind == "sidebar":
-            inner = f"<h3>{text(2)}</h3>" + rng.choice(("<ul>" + "".join(f"<li><a href='/r'>{text(4)}</a></li>" for _ in range(4)) + "</ul>", f"<p>{prose()}</p>", f"<div>{prose(True)}</div>"))
+            inner = rng.choice((f"<h3>{self.told(kind, 2)}</h3>", "")) + rng.choice((self.links(kind), f"<p>{self.prose()}</p>", f"<div>{self.prose(True)}</div>"))
         elif kind == "header":
-            inner = rng.choice((f"<h1>{text(2)}</h1>", f"<div>{text(3)}</div>", f"<p>{prose(True)}</p>", f"<a href='/'>{text(2)}</a>"))
+            inner = rng.choice((f"<h1>{self.told(kind, 2)}</h1>", f"<div>{self.told(kind, 3)}</div>", f"<p>{self.prose(True)}</p>", f"<a href='/'>{self.told(kind, 2)}</a>", self.heading()))
         elif kind == "footer":
-            inner = rng.choice((f"&copy; {word()} &middot; {prose(True)}", f"<p>{text(6)}</p>", f"<p>{prose()}</p>", f"&copy; {word()}.example &middot; {prose()}"))
+            inner = rng.choice((f"&copy; {self.word()} &middot; {self.prose(True)}", f"<p>{self.told(kind, 6)}</p>", f"<p>{self.prose()}</p>", f"&copy; {self.word()}.example &middot; {self.prose()}", self.links(kind), self.heading()))
         else:
-            inner = rng.choice((prose(), prose(True), f"<p>{text(8)}</p>", f"<p>{prose()}</p>", f"<h4>{text(2)}</h4><p>{prose(True)}</p>"))
-        return wrap(rng.choice(OTHER[kind]), inner)
+            inner = rng.choice((self.prose(), self.prose(True), f"<p>{self.told(kind, 8)}</p>", f"<p>{self.prose()}</p>", f"<h4>{self.told(kind, 2)}</h4><p>{self.prose(True)}</p>"))
+        return self.wrap(rng.choice(OTHER[kind]), inner)
+
+    def plain_other(self, kind: str) -> str:
+        """The same where only the text tells: lists of links, legal lines, forms."""
+        rng = self.rng
+        inner = {
+            "menu": lambda: self.links(kind),
+            "header": lambda: f"<a href='/'>{self.told(kind, rng.randint(1, 4)).title()}</a>",
+            "footer": lambda: rng.choice((f"&copy; {rng.randint(1999, 2030)} {self.told(kind, rng.randint(2, 8), 0.6)}", self.links(kind))),
+            "sidebar": lambda: rng.choice((f"<h4>{self.told(kind, 2, 0.8)}</h4>", f"<b>{self.told(kind, 2, 0.8)}</b>")) + self.links(kind),
+            "notice": lambda: f"{self.told(kind, rng.randint(6, 20), 0.6).capitalize()}. <button>{self.told(kind, 1, 0.8)}</button>",
+            "advert": lambda: f"{rng.choice(('Sponsored', 'Advertisement', 'Anzeige', 'Publicité', 'Publicidad'))}{rng.choice((': ', ' ', ' - '))}{self.told(kind, rng.randint(3, 12), 0.5)}",
+            "share": lambda: " ".join(f"<a href='#'>{x}</a>" for x in rng.sample(("Share", "Tweet", "Email", "Teilen", "Partager", "Print"), 3)),
+        }
+        if kind in inner:
+            return self.wrap(rng.choice(PLAIN_OTHER), inner[kind]())
+        return self.wrap("form", f"{self.told('form', 2, 0.8)} <input type=text> <button>{self.told('form', 1, 0.8)}</button>")
+
+
+def training_pages(n: int = 1400, seed: int = 17) -> list[tuple[list[Block], np.ndarray]]:
+    """Pages with a label for each block (1: in the article), written by a fixed random recipe.
+
+    Half of the pages name all their containers; in a quarter the article's has no name or an invented one; in a quarter no
+    container has, and what is not article tells by its text. Some pages are tables with the article in one cell, some hold the article alone.
+    """
+    rng = random.Random(seed)
+    w, mark = _Writer(rng), {0: "\u0001", 1: "\u0002"}
+
+    def marked(piece: tuple[str, int]) -> str:
+        text = piece[0] if piece[0].startswith("<") else "<!>" + piece[0]
+        return re.sub(r">([^<]*\w[^<]*)(?=<|$)", lambda m: ">" + mark[piece[1]] + m[1], text)
 
     out = []
     for _ in range(n):
-        parts: list[tuple[str, int]] = []
+        r, parts, tail = rng.random(), [], []
+        other = w.plain_other if r > 0.75 else w.other if r < 0.6 else lambda kind: rng.choice((w.other, w.plain_other))(kind)
+        spec = rng.choice(ARTICLE) if r < 0.5 else rng.choice(PLAIN)
+        alone = rng.random() < 0.08
         for kind in ("notice", "header", "menu", "advert", "notice", "share"):
-            if rng.random() < (0.7 if kind in ("menu", "header") else 0.3):
+            if not alone and rng.random() < (0.7 if kind in ("menu", "header") else 0.3):
                 parts.append((other(kind), 0))
-        spec = rng.choice(ARTICLE)
-        inner: list[tuple[str, int]] = [(article(), 1)]
-        if rng.random() < 0.25:  # something foreign inside the article's container
-            inner.insert(rng.randint(0, 1), (other(rng.choice(("advert", "comments", "share", "sidebar", "notice", "form"))), 0))
-            inner.append((article().replace("h1>", "h2>"), 1))
-        mark = {0: "\u0001", 1: "\u0002"}
-        tail: list[tuple[str, int]] = []
+        inner: list[tuple[str, int]] = [(w.article(), 1)]
+        if rng.random() < 0.25 and not alone:  # something foreign inside the article's container
+            kind = rng.choice(("advert", "comments", "share", "sidebar", "notice", "form"))
+            inner.insert(rng.randint(0, 1), (w.other(kind) if kind == "comments" else other(kind), 0))
+            inner.append((w.article().replace("h1>", "h2>"), 1))
         for kind in ("share", "comments", "sidebar", "advert", "form", "footer"):
-            if rng.random() < (0.85 if kind == "footer" else 0.35):
-                tail.append((other(kind), 0))
+            if not alone and rng.random() < (0.85 if kind == "footer" else 0.35) * (0.7 if r > 0.75 else 1):
+                tail.append((w.other(kind) if kind == "comments" else other(kind), 0))
         if rng.random() < 0.3:
             k = next((k for k, p in enumerate(tail) if "aside" in p[0] or "sidebar" in p[0]), None)
             if k is not None:
                 parts.append(tail.pop(k))
-        marked = lambda piece: re.sub(r">([^<]*\w[^<]*)(?=<|$)", lambda m: ">" + mark[piece[1]] + m[1], piece[0] if piece[0].startswith("<") else ">" + piece[0])
-        body = "".join(map(marked, parts)) + wrap(spec, "".join(map(marked, inner))) + "".join(map(marked, tail))
-        page = f"<!DOCTYPE html><html><head><title>{sentence(3)}</title><style>p{{margin:0}}</style></head><body>{body}" + rng.choice(("</body></html>", ""))
+        main = w.wrap(spec, "".join(map(marked, inner)))
+        if rng.random() < (0.08 if r < 0.5 else 0.4):  # cells side by side, what is above and below in rows of their own or outside
+            left, right = "".join(map(marked, parts[1:])), "".join(map(marked, tail[:-1]))
+            cells = [f"<td>{x}</td>" for x in (left, main, right) if x]
+            top, end = "".join(map(marked, parts[:1])), "".join(map(marked, tail[-1:]))
+            if rng.random() < 0.6:
+                top, end = ("<table>" + (f"<tr><td colspan=3>{x}</td></tr>" if x else "") for x in (top, end))
+                body = f"{top}<tr>{''.join(cells)}</tr>{end.removeprefix('<table>')}</table>"
+            else:
+                body = f"{top}<table><tr>{''.join(cells)}</tr></table>{end}"
+        else:
+            body = "".join(map(marked, parts)) + main + "".join(map(marked, tail))
+        if rng.random() < 0.25:
+            body = w.wrap(rng.choice(("div", "div.?", "div#wrapper", "div.container", "div.page", "div>div", "center")), body)
+        if r > 0.75 and rng.random() < 0.5:
+            body = w.disguised(body)
+        page = f"<!DOCTYPE html><html><head><title>{w.heading()}</title><style>p{{margin:0}}</style></head><body>{body}" + rng.choice(("</body></html>", ""))
         blocks, labels = [], []
         for b in blocks_of(page):
             label = b.text.count(mark[1]) >= b.text.count(mark[0])
