@@ -82,20 +82,23 @@ def x_axis(df: DataFrame, sfreq: float, beforetrig: int = 0, unit: float = 1e-3)
     return df.withColumn("x", (F.col("point") - F.lit(beforetrig)) / F.lit(sfreq * unit))
 
 
-#: Stretches of ids that a total order is cut into.
-BLOCKS = 1024
+#: Stretches that a total order is cut into: so many, each of so many finer ones.
+COARSE = 32
 
 
 def running(df: DataFrame, order: str, amount, into: str, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the sum of ``amount`` over all rows of smaller ``order`` (numbers), within ``by``.
 
-    A single window over everything would put every row into one task. Instead ids are cut into ``BLOCKS`` equal
-    stretches: each is summed on its own, and only the stretches' totals go through one window.
+    A single window over everything would put every row into one task. Instead the order is cut at approximate quantiles into stretches of about as many
+    rows, whatever its values: each is summed on its own, and only the stretches' totals go through one window. Where the cuts lie
+    changes nothing in the result.
     """
-    span = df.agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
-    held = df.withColumn("_amount", amount).join(F.broadcast(span))  # one row is sent out
-    width = F.floor((F.col("_high") - F.col("_low")) / BLOCKS) + 1
-    held = held.withColumn("_block", F.floor((F.col(order) - F.col("_low")) / width)).drop("_low", "_high")
+    at = [k / COARSE**2 for k in range(1, COARSE**2)]
+    cuts = df.agg(F.percentile_approx(order, at, 10 * COARSE**2).alias("_cuts"))
+    held = df.withColumn("_amount", amount).join(F.broadcast(cuts))  # one row is sent out
+    top = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda k: F.get("_cuts", k * COARSE - 1)), lambda c: c <= F.col(order)))
+    held = held.withColumn("_block", top * COARSE)
+    held = held.withColumn("_block", F.col("_block") + F.size(F.filter(F.slice("_cuts", F.col("_block") + 1, F.lit(COARSE - 1)), lambda c: c <= F.col(order)))).drop("_cuts")
     totals = held.groupBy(*by, "_block").agg(F.sum("_amount").alias("_total"))
     ahead = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_ahead", F.coalesce(F.sum("_total").over(ahead), F.lit(0))).drop("_total")

@@ -53,6 +53,12 @@ def quantile_of_sorted(values: Column, q: float) -> Column:
     return (F.get(values, low) + F.get(values, F.when(high >= n, low).otherwise(high))) / 2
 
 
+def sorted_quantile(x: np.ndarray, q: float) -> float:
+    """The same quantile of an ascending numpy array."""
+    low, high = int((len(x) - 1) * q), int(len(x) * q)
+    return (x[low] + x[high if high < len(x) else low]) / 2
+
+
 def group_quantile(v: Column, q: float) -> Column:
     """Aggregate: the quantile of a group, whose values must fit into one array."""
     return quantile_of_sorted(F.array_sort(F.collect_list(v)), q)

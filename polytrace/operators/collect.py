@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..epochs import axes, numbered, running, trace
+from ..epochs import axes, numbered, running, samples, trace, traces
 from ..functions import maths as M
+from .spectral import map_traces
 
 
 def average(df: DataFrame, by: list[str] | None = None, weight: str | None = None, sums_only: bool = False, t_test: bool = False, leave_sums: bool = False, sign_test: bool = False, beforetrig: int = 0, leaveright: int = 0) -> DataFrame:
     """Means over epochs of each channel, point and item, or of the groups ``by`` as well.
 
-    ``weight``: a column that counts the epochs behind each value. ``t_test`` adds t and its two-sided p (``leave_sums``: the raw sums instead);
+    ``weight``: a column that counts the epochs behind each value (1 where it is null). ``t_test`` adds t and its two-sided p (``leave_sums``: the raw sums instead);
     ``sign_test`` counts values above and not above the trace's baseline mean. Items at the right that are only
     summed are neither weighted nor divided. A channel is divided by the epochs that have it.
     """
     keys = [*(by or []), *axes(df, "epoch_id")]
     v = F.col("value")
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
     kept: Column = F.lit(False)
     if "item" in df.columns and leaveright:
         top = F.max("item").over(Window.partitionBy(*axes(df, "item")))
@@ -50,11 +52,18 @@ def average(df: DataFrame, by: list[str] | None = None, weight: str | None = Non
 
 
 def sign_votes(df: DataFrame, beforetrig: int) -> DataFrame:
-    """For each value the mean vote against every single baseline value of its trace but itself (+1 above, -1 not above), averaged over epochs."""
-    base = df.where(F.col("point") < beforetrig).select(*axes(df, "point"), F.col("point").alias("_bp"), F.col("value").alias("_bv"))
-    met = df.join(base, axes(df, "point")).where("point != _bp")
-    vote = met.groupBy(*axes(df)).agg(F.avg(F.when(F.col("value") > F.col("_bv"), 1.0).otherwise(-1.0)).alias("_vote"))
-    return vote.groupBy(*axes(df, "epoch_id")).agg(F.avg("_vote").alias("value"), F.count("*").alias("n"))
+    """For each value the mean vote against every single baseline value of its trace but itself (+1 above, -1 not above), averaged over epochs.
+    The baseline is sorted once for each trace and asked by rank. Points count from 0."""
+
+    def votes(x: np.ndarray) -> np.ndarray:
+        base = np.sort(x[:beforetrig])
+        above = np.searchsorted(base, x, "left")
+        against = len(base) - (np.arange(len(x)) < beforetrig)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(against > 0, (2 * above - against) / against, np.nan)
+
+    vote = samples(map_traces(traces(df), votes)).where(~F.isnan("value"))
+    return vote.groupBy(*axes(df, "epoch_id")).agg(F.avg("value").alias("value"), F.count("*").alias("n"))
 
 
 def append_points(df: DataFrame) -> DataFrame:

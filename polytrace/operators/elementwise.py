@@ -198,7 +198,9 @@ def zero_phase(df: DataFrame, channel: str) -> DataFrame:
     if channel == "NYQUIST":
         angle = F.atan(F.regr_slope(x[1], x[0]).over(w))
     elif channel == "MAXAMP":
-        angle = F.max(F.struct(F.hypot(x[0], x[1]), F.atan2(x[1], x[0]).alias("a"))).over(w)["a"]
+        first = F.col("channel_idx") if "channel_idx" in df.columns else F.col("channel")  # of equal moduli the first channel's counts
+        largest = F.struct((-F.hypot(x[0], x[1])).alias("m"), first.alias("c"), F.atan2(x[1], x[0]).alias("a"))
+        angle = F.min(largest).over(w)["a"]
     else:
         angle = F.max(F.when(F.col("channel") == channel, F.atan2(x[1], x[0]))).over(w)
     out = df.withColumn("_a", F.coalesce(angle, F.lit(0.0)))
@@ -206,14 +208,18 @@ def zero_phase(df: DataFrame, channel: str) -> DataFrame:
     return out.withColumn("items", _replaced(x, i0=x[0] * c + x[1] * s, i1=x[1] * c - x[0] * s)).drop("_a")
 
 
+#: The smallest normal single-precision number: logarithms of probabilities stop there.
+LEAST = 2.0**-126
+
+
 def binomial_items(df: DataFrame) -> DataFrame:
     """From counts of two outcomes (the last two items) three more: p, its signed logarithm (positive if the first
     outcome leads) and the relative difference."""
     x, n = F.col("items"), F.size("items")
     k1, k2 = F.get(x, n - 2), F.get(x, n - 1)
-    p = M.binomial_two_sided(k1, k2)
-    out = df.withColumn("_p", p)
-    signed = F.when(k1 >= k2, -M.log10(F.col("_p"))).otherwise(M.log10(F.col("_p")))
+    out = df.withColumn("_p", M.binomial_two_sided(k1, k2))
+    log = M.log10(F.greatest(F.col("_p"), F.lit(LEAST)))
+    signed = F.when(k1 > k2, -log).when(k1 < k2, log).otherwise(0.0)
     return out.withColumn("items", F.concat(x, F.array(F.col("_p"), signed, M.ratio(k1 - k2, k1 + k2)))).drop("_p")
 
 

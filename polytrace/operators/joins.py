@@ -9,30 +9,36 @@ from ..epochs import axes, numbered
 from ..functions import maths as M
 
 
-def trigger_windows(recording: DataFrame, triggers: DataFrame, before: int, after: int, codes: list[int] | None = None, offset: int = 0, first: int = 1, most: int | None = None, by: str = "recording") -> DataFrame:
-    """Epochs of before + after points around triggers: samples of (by, channel, pos, value) with epoch_id in trigger order.
-
-    A window that starts before 0 or ends past the recording is left out. Windows may overlap. Each trigger is
-    spread to its positions, so that samples are met by an equality and no nested loop; ``first`` (from 1) and
-    ``most`` count windows that qualify.
-    """
+def windows_of(recording: DataFrame, triggers: DataFrame, before: int, after: int, codes: list[int] | None = None, offset: int = 0, first: int = 1, most: int | None = None, by: str = "recording") -> DataFrame:
+    """(by, position, code ..., _start, epoch_no): the windows around triggers that lie inside their recording, numbered in trigger order. ``first`` (from 1) and
+    ``most`` count windows that qualify."""
     n = before + after
     marks = triggers if codes is None else triggers.where(F.col("code").isin(codes))
     end = recording.groupBy(by).agg((F.max("pos") + 1).alias("_end"))
     start = F.col("position") - F.lit(before) + F.lit(offset)
     marks = marks.join(end, by).withColumn("_start", start).where((F.col("_start") >= 0) & (F.col("_start") + n <= F.col("_end")))
     marks = marks.withColumn("epoch_no", F.row_number().over(Window.partitionBy(by).orderBy("position", "code")))
-    marks = marks.where((F.col("epoch_no") >= first) & (F.lit(True) if most is None else F.col("epoch_no") < first + most))
-    spread = marks.select(by, "epoch_no", F.col("code").alias("condition"), "_start", F.explode(F.sequence(F.col("_start"), F.col("_start") + n - 1)).alias("pos"))
+    return marks.where((F.col("epoch_no") >= first) & (F.lit(True) if most is None else F.col("epoch_no") < first + most)).drop("_end")
+
+
+def trigger_windows(recording: DataFrame, triggers: DataFrame, before: int, after: int, codes: list[int] | None = None, offset: int = 0, first: int = 1, most: int | None = None, by: str = "recording") -> DataFrame:
+    """Epochs of before + after points around triggers: samples of (by, channel, pos, value) with epoch_no in trigger order.
+
+    A window that starts before 0 or ends past the recording is left out. Windows may overlap. Each trigger is
+    spread to its positions, so that samples are met by an equality and no nested loop.
+    """
+    marks = windows_of(recording, triggers, before, after, codes, offset, first, most, by)
+    spread = marks.select(by, "epoch_no", F.col("code").alias("condition"), "_start", F.explode(F.sequence(F.col("_start"), F.col("_start") + before + after - 1)).alias("pos"))
     out = spread.join(recording, [by, "pos"])
     return out.withColumn("point", (F.col("pos") - F.col("_start")).cast("int")).drop("_start", "pos")
 
 
-def continuous_windows(recording: DataFrame, n: int, offset: int = 0, by: str = "recording") -> DataFrame:
-    """Epochs of n points, one after another; the last one goes if it is not whole."""
+def continuous_windows(recording: DataFrame, n: int, offset: int = 0, by: str = "recording", first: int = 1, most: int | None = None) -> DataFrame:
+    """Epochs of n points, one after another; the last one goes if it is not whole. ``first`` (from 1) and ``most`` count epochs."""
     at = F.col("pos") - F.lit(offset)
     end = recording.groupBy(by).agg((F.max("pos") + 1 - offset).alias("_end"))
-    out = recording.where(at >= 0).withColumn("epoch_no", F.floor(at / n).cast("int") + 1).withColumn("point", F.pmod(at, F.lit(n)).cast("int"))
+    out = recording.where((at >= (first - 1) * n) & (F.lit(True) if most is None else at < (first - 1 + most) * n))
+    out = out.withColumn("epoch_no", F.floor(at / n).cast("int") + 1).withColumn("point", F.pmod(at, F.lit(n)).cast("int"))
     return out.join(end, by).where(F.col("epoch_no") * n <= F.col("_end")).drop("_end", "pos")
 
 
@@ -118,24 +124,68 @@ def add_channels(df: DataFrame, side: DataFrame, along: str = "channel") -> Data
     return df.unionByName(more.select(*df.columns))
 
 
-def project(df: DataFrame, vectors: DataFrame, unit: bool = True) -> DataFrame:
-    """Dot products of every map with vectors (k, channel, weight), of unit norm if asked: (epoch_id, point, k, value)."""
-    w = F.col("weight")
+def prepared(vectors: DataFrame, axis: str, unit: bool = True, centred: bool = False, orthogonal: bool = False, only=None, zero_others: bool = False) -> DataFrame:
+    """Vectors (k, ``axis``, weight) made ready to project on: of mean 0 (``centred``), orthogonal to those before them, of unit norm, in this order. ``only``, a condition on the axis, says which
+    elements count in means and norms; ``zero_others`` sets the rest to 0. They are a handful of maps or time courses and go through one task each time."""
+    counts = F.lit(True) if only is None else only
+    v = vectors.select("k", axis, F.col("weight").cast("double").alias("weight")).withColumn("_on", counts)
+    if zero_others:
+        v = v.withColumn("weight", F.when(F.col("_on"), F.col("weight")).otherwise(0.0))
+    w, on = F.col("weight"), Window.partitionBy("k")
+    if centred:
+        v = v.withColumn("weight", F.when(F.col("_on") | F.lit(not zero_others), w - F.avg(F.when(F.col("_on"), w)).over(on)).otherwise(w))
+    if orthogonal:
+
+        def run(pdf):
+            table = pdf.pivot(index="k", columns=axis, values="weight").sort_index()
+            x = table.to_numpy(float).copy()
+            for i in range(len(x)):
+                for j in range(i):
+                    below = x[j] @ x[j]
+                    x[i] -= (x[i] @ x[j] / below if below else 0) * x[j]
+            table[:] = x
+            return pdf.drop(columns="weight").merge(table.stack().rename("weight").reset_index(), on=["k", axis])[["k", axis, "weight", "_on"]]
+
+        v = v.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: run(pdf.drop(columns="_all")), v.schema)
     if unit:
-        norm = F.sqrt(F.sum(w * w).over(Window.partitionBy("k")))
-        vectors = vectors.withColumn("weight", w / F.when(norm == 0, F.raise_error(F.lit("a vector of norm 0")).cast("double")).otherwise(norm))
-    met = df.join(vectors, "channel")
-    return met.groupBy("epoch_id", "point", "k").agg(F.sum(F.col("value") * w).alias("value"))
+        norm = F.sqrt(F.sum(F.when(F.col("_on"), w * w)).over(on))
+        v = v.withColumn("weight", w / F.when(F.coalesce(norm, F.lit(0.0)) == 0, F.raise_error(F.lit("a vector of norm 0")).cast("double")).otherwise(norm))
+    return v
+
+
+def project(df: DataFrame, vectors: DataFrame, unit: bool = True, centred: bool = False, orthogonal: bool = False, only: str | None = None, into: str = "k") -> DataFrame:
+    """Dot products of every map with vectors (k, channel, weight) over the channels ``only`` (a list; all by default): (epoch_id, point, k, value), or with ``into`` channel or item the
+    scalars as channels or items."""
+    from ..functions.channels import selected
 
+    ready = prepared(vectors, "channel", unit, centred, orthogonal, selected(vectors, only) if only else None).where("_on").drop("_on")
+    out = df.join(ready, "channel").groupBy("epoch_id", "point", "k").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
+    return _scalars(out, into, "point")
 
-def correlate(df: DataFrame, templates: DataFrame, unit: bool = True) -> DataFrame:
+
+def _scalars(out: DataFrame, into: str, axis: str) -> DataFrame:
+    if into == "k":
+        return out
+    if into == "item":
+        return out.withColumn("item", F.col("k").cast("int")).withColumn("channel", F.lit("projected")).withColumn("channel_idx", F.lit(0)).drop("k")
+    return out.withColumn("channel", F.concat(F.lit("projected"), (F.col("k") + 1).cast("string"))).withColumn("channel_idx", F.col("k").cast("int")).drop("k")
+
+
+def correlate(df: DataFrame, templates: DataFrame, unit: bool = True, centred: bool = False, orthogonal: bool = False) -> DataFrame:
     """Dot products of every trace with templates (k, point, weight): (epoch_id, channel, k, value)."""
-    w = F.col("weight")
-    if unit:
-        norm = F.sqrt(F.sum(w * w).over(Window.partitionBy("k")))
-        templates = templates.withColumn("weight", w / F.when(norm == 0, F.raise_error(F.lit("a template of norm 0")).cast("double")).otherwise(norm))
-    met = df.join(templates, "point")
-    return met.groupBy(*[c for c in axes(df, "point")], "k").agg(F.sum(F.col("value") * w).alias("value"))
+    met = df.join(prepared(templates, "point", unit, centred, orthogonal).drop("_on"), "point")
+    return met.groupBy(*[c for c in axes(df, "point")], "k").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
+
+
+def multiplied(weights: DataFrame, vectors: DataFrame, across: str = "channel", unit: bool = True, centred: bool = False, orthogonal: bool = False) -> DataFrame:
+    """The reverse of scalars: epochs whose channels (or, of one channel, items) are the weights of vectors (k, ``across``, weight) become the sums of weights times vectors. With
+    ``across`` point the vectors are time courses and each channel's items their weights."""
+    by_item = across == "point" or "item" in weights.columns
+    other = "channel" if across == "point" else "point"
+    w = weights.select("epoch_id", *([other] if other in weights.columns else []), F.col("item" if by_item else "channel_idx").alias("k"), F.col("value").alias("_w"))
+    ready = prepared(vectors, across, unit, centred, orthogonal).drop("_on")
+    keys = [c for c in ("epoch_id", other) if c in w.columns]
+    return w.join(ready, "k").groupBy(*keys, across).agg(F.sum(F.col("_w") * F.col("weight")).alias("value"))
 
 
 def subspace(df: DataFrame, vectors: DataFrame, across: str = "channel", remove: bool = False) -> DataFrame:

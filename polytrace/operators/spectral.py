@@ -34,6 +34,18 @@ def map_traces(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], column
     return df.mapInArrow(run, schema)
 
 
+def map_pairs(df: DataFrame, other: str, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """A kernel on each trace and the array in another column, which goes."""
+    rest = [c for c in df.columns if c not in ("values", other)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [kernel(np.array(v, np.float64), np.array(t, np.float64)) for v, t in zip(b.column("values").to_pylist(), b.column(other).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(made, pa.list_(pa.float64()))], names=[*rest, "values"])
+
+    return df.mapInArrow(run, T.StructType([df.schema[c] for c in rest] + [T.StructField("values", T.ArrayType(T.DoubleType()))]))
+
+
 def map_epochs(df: DataFrame, kernel: Callable[[np.ndarray, list[str]], list[tuple[str, np.ndarray]]], by: str = "epoch_id") -> DataFrame:
     """A kernel on each epoch: channels x points and their names in; (name, values) of new channels out."""
     order = "channel_idx" if "channel_idx" in df.columns else "channel"
@@ -113,7 +125,11 @@ def power(x: np.ndarray, freqs: int, overlaps: int, window: int) -> np.ndarray:
 
 
 def fftspect(df: DataFrame, window: int, pad: int = 0, overlaps: int = 1, shifts: int = 1) -> DataFrame:
-    """Power spectra of traces; with ``shifts`` windows a spectrogram: one row for each trace and shift. Point k is the frequency k * sfreq / (2 freqs)."""
+    """Power spectra of traces; with ``shifts`` windows a spectrogram: one row for each trace and shift. Point k is the frequency k * sfreq / (2 freqs). Window 0 takes whole traces."""
+    if not window:
+        if shifts > 1:
+            raise ValueError("a spectrogram needs a window")
+        return map_traces(df, lambda x: power(x, *spectrum_shape(len(x), pad, overlaps, shifts)))
     freqs, over, size = spectrum_shape(window, pad, overlaps, shifts)
     if shifts <= 1:
         return map_traces(df, lambda x: power(x, freqs, over, size))

@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..epochs import along, axes, chosen, numbered, running, trace, with_value
+from ..epochs import along, axes, chosen, numbered, running, samples, trace, traces, with_value
 from ..functions import maths as M
+from .spectral import map_pairs, map_traces
 
 
 def _before(df: DataFrame, epochwise: bool, after: bool = False) -> DataFrame:
@@ -90,25 +91,56 @@ def sliding_average(df: DataFrame, size: int, step: float, q: float | None = Non
         spread = ends.withColumn("_side", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("point", F.when(F.col("_side") < 0, F.col("_a")).otherwise(F.col("_b")))
         met = spread.join(sums, [*keys, "point"], "left").withColumn("_s", F.col("_side") * F.coalesce("_sum", F.lit(0.0)))
         return met.groupBy(*keys, F.col("k").alias("point")).agg((F.sum("_s") / F.first(F.col("_b") - F.col("_a"))).alias("value"))
-    wide = _resampled(df, step, True).withColumn("point", F.explode(F.sequence(F.greatest(F.col("m") - left, F.lit(0)), F.least(F.col("m") + right - 1, F.col("_n") - 1))))
-    met = wide.join(df.select(*keys, "point", value), [*keys, "point"])
-    return met.groupBy(*keys, F.col("k").alias("point")).agg(M.group_quantile(F.col(value), q).alias("value"))
 
+    def quantiles(x: np.ndarray) -> np.ndarray:
+        middle = _centres(len(x), step, True)
+        windows = [np.sort(x[max(0, m - left) : min(m + right, len(x))]) for m in middle.tolist()]
+        return np.array([M.sorted_quantile(w, q) for w in windows if len(w)])
 
-def convolve(df: DataFrame, template: list[float], step: float = 1) -> DataFrame:
-    """The sliding product with a template, centred as the sliding average is, always divided by the template's size; at the start the
-    template's beginning meets the first points. The result has floor(n / step) points."""
-    size = len(template)
+    return samples(map_traces(traces(df), quantiles)).select(*keys, "point", "value")
+
+
+def _centres(n: int, step: float, rounded: bool) -> np.ndarray:
+    """The points of a trace of n that the result's points are centred on."""
+    count = int(np.rint(n / step)) if rounded else int(n / step)
+    return np.floor(np.arange(count, dtype=np.float32) * np.float32(step)).astype(np.int64)
+
+
+def convolved(x: np.ndarray, template: np.ndarray, step: float) -> np.ndarray:
+    """The sliding product of one trace with one template; a template longer than the trace is cut."""
+    template = template[: len(x)]
+    size, n = len(template), len(x)
+    if not size:
+        return np.zeros(0)
     right = (size - 1) // 2 + 1
     left = size - right
+    middle = _centres(n, step, False)
+    inside = np.correlate(np.concatenate([x, np.zeros(size)]), template, "valid")  # from each start, zeros past the end
+    begin = np.cumsum(x[:size] * template)
+    return np.where(middle >= left, inside[np.maximum(middle - left, 0)], begin[np.minimum(middle + right, size) - 1]) / size
+
+
+def convolve(df: DataFrame, template: list[float] | dict[str, list[float]], step: float = 1) -> DataFrame:
+    """The sliding product with a template, or with one for each channel ({channel: template}; others go), centred as the sliding average is, always divided by the template's size; at the start the
+    template's beginning meets the first points. The result has floor(n / step) points."""
     keys = axes(df, "point")
-    wide = _resampled(df, step, False)
-    first = F.greatest(F.col("m") - left, F.lit(0))
-    last = F.least(F.col("m") + right - 1, F.col("_n") - 1)
-    wide = wide.withColumn("_first", first).withColumn("point", F.explode(F.sequence(first, last)))
-    weights = F.array(*[F.lit(float(w)) for w in template])
-    met = wide.join(df.select(*keys, "point", "value"), [*keys, "point"]).withColumn("_w", F.get(weights, F.col("point") - F.col("_first")))
-    return met.groupBy(*keys, F.col("k").alias("point")).agg((F.sum(F.col("value") * F.col("_w")) / size).alias("value"))
+    if isinstance(template, dict):
+        held = traces(df.where(F.col("channel").isin(list(template)))).withColumn("template", F.create_map(*[x for c, t in template.items() for x in (F.lit(c), F.array(*[F.lit(float(v)) for v in t]))])[F.col("channel")])
+        return samples(map_pairs(held, "template", lambda x, t: convolved(x, t, step))).select(*keys, "point", "value")
+    one = np.array(template, np.float64)
+    return samples(map_traces(traces(df), lambda x: convolved(x, one, step))).select(*keys, "point", "value")
+
+
+def convolve_epochwise(df: DataFrame, side: DataFrame, step: float = 1, every: bool = True) -> DataFrame:
+    """Each epoch with the templates of the side's epoch of the same ordinal (or all with its first epoch, unless ``every``), by channel, or the side's only channel for all. Epochs beyond the side's are rejected."""
+    left = numbered(df.select("epoch_id").distinct(), "epoch_id", "_no").withColumn("_no", F.col("_no") if every else F.lit(0).cast("long"))
+    right = numbered(side.select("epoch_id").distinct(), "epoch_id", "_no").withColumnRenamed("epoch_id", "_side")
+    other = traces(side.select("epoch_id", "channel", "point", "value")).select(F.col("epoch_id").alias("_side"), "channel", F.col("values").alias("template"))
+    count = other.groupBy("_side").agg(F.count("*").alias("_channels"), F.first("template").alias("_only"))
+    pairs = left.join(right, "_no").drop("_no").join(count, "_side")
+    held = traces(df).join(pairs, "epoch_id").join(other, ["_side", "channel"], "left")
+    held = held.withColumn("template", F.when(F.col("_channels") == 1, F.col("_only")).otherwise(F.col("template"))).where("template is not null").drop("_side", "_channels", "_only")
+    return samples(map_pairs(held, "template", lambda x, t: convolved(x, t, step))).select(*axes(df, "point"), "point", "value")
 
 
 def detrend(df: DataFrame, mode: str = "line", omit: list[tuple[int, int]] | None = None, at: int | None = None, channels=None, item: int | None = None) -> DataFrame:
@@ -170,7 +202,3 @@ def refractory(events: DataFrame, period: int) -> DataFrame:
         return pdf[np.array(kept, bool)]
 
     return events.groupBy(*keys).applyInPandas(walk, events.schema)
-
-
-def between(v: Column, low: float, high: float) -> Column:
-    return v.between(low, high)

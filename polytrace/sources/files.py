@@ -1,4 +1,5 @@
-"""Files as tables: Spark lists, distributes and reads them, so any store it knows will do.
+"""Files as tables: Spark lists, distributes and reads them, so any store it knows will do. Written files go out from the tasks that
+make them, through the store's own file system; a task that is run again puts the same file in place.
 
 A file is one task's work and must fit into that task's memory; recordings are read in parallel across files. For data that is read
 again, write the samples as Parquet, partitioned by recording and sorted by position: scans then skip what a query doesn't need.
@@ -6,13 +7,17 @@ again, write the samples as Parquet, partitioned by recording and sorted by posi
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import units
+from ..operators import joins
 from . import formats
 
 DECODERS: dict[str, Callable[..., formats.Recording]] = {"generic": formats.decode_generic, "edf": formats.decode_edf, "simple_binary": formats.decode_simple_binary, "wave": formats.decode_wave, "cnt": formats.decode_cnt}
@@ -25,8 +30,9 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
 
-def read_recordings(spark: SparkSession, path: str, kind: str, channels: list[str] | None = None, pattern: str | None = None, **options) -> DataFrame:
-    """(recording, sfreq, channel_idx, channel, pos, value) of all files under a path. With ``channels`` only those leave the decoder."""
+def read_recordings(spark: SparkSession, path: str, kind: str, channels: list[str] | None = None, pattern: str | None = None, decoding: dict | None = None, **options) -> DataFrame:
+    """(recording, sfreq, channel_idx, channel, pos, value) of all files under a path. With ``channels`` only those leave the decoder, whose own options may stand in ``decoding``."""
+    options = options | (decoding or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -45,7 +51,7 @@ def read_recordings(spark: SparkSession, path: str, kind: str, channels: list[st
     return _files(spark, path, pattern or SUFFIXES[kind]).mapInArrow(run, "recording string, sfreq double, channel_idx int, channel string, pos long, value double")
 
 
-def read_triggers(spark: SparkSession, path: str, kind: str, pattern: str | None = None, **options) -> DataFrame:
+def read_triggers(spark: SparkSession, path: str, kind: str, pattern: str | None = None, /, **options) -> DataFrame:
     """(recording, position, code, description) of all files under a path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,6 +62,86 @@ def read_triggers(spark: SparkSession, path: str, kind: str, pattern: str | None
     return _files(spark, path, pattern or SUFFIXES[kind]).mapInArrow(run, "recording string, position long, code int, description string")
 
 
+def _pair(kind: str) -> tuple[str, str, str, Callable[[dict[str, bytes]], formats.Recording]] | None:
+    """Of kinds that keep a recording in several files: their suffixes, header and data, and the decoder."""
+    return {
+        "brainvision": ("vhdr,vmrk,eeg", "vhdr", "eeg", lambda by: formats.decode_brainvision(by["vhdr"], by["eeg"], by.get("vmrk", b""))),
+        "parameter_pair": ("cdt,dpa", "dpa", "cdt", lambda by: formats.decode_parameter_pair(by["dpa"], by["cdt"])),
+    }.get(kind)
+
+
+def samples_of(spark: SparkSession, path: str, kind: str, names: list[str] | None = None, pattern: str | None = None, /, **options) -> DataFrame:
+    """Samples of recordings of any kind, single files or groups of files; of the channels ``names`` if given, as the decoder may have options of its own."""
+    if kind == "brainvision":
+        out = read_brainvision(spark, path)
+    elif kind == "parameter_pair":
+        out = read_parameter_pairs(spark, path)
+    else:
+        out = read_recordings(spark, path, kind, None, pattern, decoding=options)
+    return out if names is None else out.where(F.col("channel").isin(names))
+
+
+def triggers_of(spark: SparkSession, path: str, kind: str, pattern: str | None = None, /, **options) -> DataFrame:
+    """(recording, position, code, description) of recordings of any kind."""
+    group = _pair(kind)
+    if not group:
+        return read_triggers(spark, path, kind, pattern, **options)
+    suffixes, header, data, decode = group
+
+    def run(pdf):
+        import pandas as pd
+
+        by = dict(zip(pdf["kind"], pdf["content"], strict=True))
+        found = decode(by).triggers if header in by and data in by else []
+        return pd.DataFrame([(pdf["recording"].iloc[0], *t) for t in found], columns=["recording", "position", "code", "description"])
+
+    stem = F.regexp_replace("path", r"(\.cdt)?\.[^.]+$", "")
+    files = _files(spark, path, f"*.{{{suffixes}}}").select(stem.alias("recording"), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("kind"), "content")
+    return files.groupBy("recording").applyInPandas(run, "recording string, position long, code int, description string")
+
+
+def triggers_in(spark: SparkSession, path: str, sfreq: float, recordings: DataFrame | None = None) -> DataFrame:
+    """Triggers of a text file of positions, codes and descriptions. They belong to every recording of ``recordings`` (column recording), or to none."""
+    lines = b"".join(r[0] for r in _files(spark, path, "*").select("content").collect()).decode()  # one list of triggers, as one writes it
+    rows = spark.createDataFrame(formats.decode_triggers(lines, sfreq), "position long, code int, description string")
+    return rows if recordings is None else recordings.select("recording").distinct().join(F.broadcast(rows))
+
+
+def sampling_rate(spark: SparkSession, path: str, kind: str, /, **options) -> float:
+    """Of the first recording found; only its first rows are asked for."""
+    found = samples_of(spark, path, kind, **options).select("sfreq").first()
+    if found is None:
+        raise ValueError(f"no samples under {path}")
+    return found[0]
+
+
+def read_windows(spark: SparkSession, path: str, kind: str, before: str | int, after: str | int, continuous: bool = False, codes: list[int] | None = None, first: int = 1, most: int | None = None, offset: str | int = 0, trigger_file: str | None = None, channels: list[str] | None = None, sfreq: float | None = None, decoding: dict | None = None) -> DataFrame:
+    """Epochs of recordings: (epoch_id, recording, epoch_no, condition, channel_idx, channel, point, value), around triggers or one after another (``continuous``). Durations are
+    points, or have a unit; ``first`` (from 1) and ``most`` count the epochs of each recording. Ids count from 0 within a recording, and recordings lie 2^32 apart, by path."""
+    options = decoding or {}
+    rate = sfreq or sampling_rate(spark, path, kind, **options)
+    a, b, o = (units.points(x, rate) for x in (before, after, offset))
+    data = samples_of(spark, path, kind, channels, **options).drop("sfreq")
+    if continuous:
+        out = joins.continuous_windows(data, a + b, o, "recording", first, most).withColumn("condition", F.lit(0))
+    else:
+        marks = triggers_in(spark, trigger_file, rate, data) if trigger_file else triggers_of(spark, path, kind, **options)
+        out = joins.trigger_windows(data, marks, a, b, codes, o, first, most, "recording")
+    place = data.select("recording").distinct().withColumn("_r", F.row_number().over(Window.orderBy("recording")) - 1)  # one row for each file
+    ids = (F.col("_r").cast("long") * 2**32 + F.col("epoch_no") - first).alias("epoch_id")
+    return out.join(place, "recording").select(ids, "recording", "epoch_no", "condition", "channel_idx", "channel", "point", "value")
+
+
+def transferred(spark: SparkSession, path: str, kind: str, before: str | int, after: str | int, codes: list[int] | None = None, offset: str | int = 0, **options) -> DataFrame:
+    """(recording, epoch_no, position, code): all triggers inside each window that ``read_windows`` would read, with positions in the epoch."""
+    rate = sampling_rate(spark, path, kind, **options)
+    a, b, o = (units.points(x, rate) for x in (before, after, offset))
+    marks = triggers_of(spark, path, kind, **options)
+    ends = samples_of(spark, path, kind, **options)
+    windows = joins.windows_of(ends, marks, a, b, codes, o, by="recording").select("recording", "epoch_no", F.col("_start").alias("start"))
+    return joins.transferred_triggers(windows, marks, a + b, "recording")
+
+
 def read_brainvision(spark: SparkSession, path: str) -> DataFrame:
     """Recordings of header, data and marker files with equal names: the three meet by name, then each recording is decoded alone."""
     stem = F.regexp_replace("path", r"\.[^.]+$", "")
@@ -103,18 +189,94 @@ def read_epochs(spark: SparkSession, path: str, pattern: str = "*.asc") -> DataF
     return _files(spark, path, pattern).mapInArrow(run, "recording string, epoch_no long, comment string, sfreq double, channel_idx int, channel string, point int, item int, x double, value double")
 
 
-def encoded(recordings: DataFrame, kind: str, **options) -> DataFrame:
-    """(recording, content): the bytes of one file for each recording of (recording, sfreq, channel_idx, channel, pos, value). A recording goes through one task."""
+def encoded(recordings: DataFrame, kind: str, triggers: DataFrame | None = None, encoding: dict | None = None) -> DataFrame:
+    """(recording, suffix, content): the bytes of the files of each recording of (recording, sfreq, channel_idx, channel, pos, value), with its triggers
+    (recording, position, code); ``encoding`` are the encoder's own options. A recording goes through one task."""
+    import pandas as pd
 
-    def run(pdf):
-        import pandas as pd
+    options = encoding or {}
 
+    def made(pdf: pd.DataFrame, marks: list[tuple[int, int, str | None]]) -> pd.DataFrame:
         pdf = pdf.sort_values(["channel_idx", "pos"])
-        names = pdf.drop_duplicates("channel_idx")["channel"].tolist()
-        r = formats.Recording(float(pdf["sfreq"].iloc[0]), names, pdf["value"].to_numpy(float).reshape(len(names), -1))
-        return pd.DataFrame({"recording": [pdf["recording"].iloc[0]], "content": [ENCODERS[kind](r, **options)]})
+        names, key = pdf.drop_duplicates("channel_idx")["channel"].tolist(), pdf["recording"].iloc[0]
+        r = formats.Recording(float(pdf["sfreq"].iloc[0]), names, pdf["value"].to_numpy(float).reshape(len(names), -1), marks)
+        if kind == "brainvision":
+            parts = formats.encode_brainvision(r, file_name(key), **options)
+        elif kind == "parameter_pair":
+            parts = formats.encode_parameter_pair(r, **options)
+        else:
+            parts = {WRITTEN.get(kind, ""): ENCODERS[kind](r, **options)}
+        return pd.DataFrame([(key, suffix, content) for suffix, content in parts.items()], columns=["recording", "suffix", "content"])
+
+    schema = "recording string, suffix string, content binary"
+    if triggers is None:
+        return recordings.groupBy("recording").applyInPandas(lambda pdf: made(pdf, []), schema)
+
+    def together(pdf: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame({"recording": [], "suffix": [], "content": []})
+        marks = marks.sort_values(["position", "code"])
+        return made(pdf, [(int(p), int(c), None) for p, c in zip(marks["position"], marks["code"], strict=True)])
+
+    marks = triggers.select(*[F.col(c).alias(c) for c in ("recording", "position", "code")])  # columns of their own, should both sides come from one table
+    return recordings.groupBy("recording").cogroup(marks.groupBy("recording")).applyInPandas(together, schema)
+
+
+WRITTEN = {"edf": ".edf", "wave": ".wav", "simple_binary": ".raw", "cnt": ".cnt", "generic": ".dat"}
+
+
+def file_name(recording: str) -> str:
+    """A name for a recording's files: its last part without suffix, and only letters, digits and ``._-``."""
+    last = re.sub(r"\.[^.]*$", "", recording.rstrip("/").rsplit("/", 1)[-1])
+    return re.sub(r"[^\w.-]", "_", last) or "recording"
+
+
+def store(contents: DataFrame, path: str) -> list[str]:
+    """Files of (recording, suffix, content) under a folder. Each is written beside its place and then moved there, so no reader meets half a file. The names written come back; they must differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"/{path}")
+        system.create_dir(base, recursive=True)
+        for b in batches:
+            names = []
+            for recording, suffix, content in zip(*(b.column(c).to_pylist() for c in ("recording", "suffix", "content")), strict=True):
+                names.append(file_name(recording) + suffix)
+                aside = f"{base}/.{names[-1]}-{uuid.uuid4().hex}"
+                with system.open_output_stream(aside) as f:
+                    f.write(content)
+                system.move(aside, f"{base}/{names[-1]}")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+
+    return sorted(r[0] for r in contents.mapInArrow(run, "name string").collect())  # one name for each file
+
+
+def write_recordings(recordings: DataFrame, path: str, kind: str, triggers: DataFrame | None = None, encoding: dict | None = None) -> list[str]:
+    """One file (or group of files) for each recording."""
+    return store(encoded(recordings, kind, triggers, encoding), path)
+
+
+def encoded_epochs(samples: DataFrame, sfreq: float, by: str = "recording", binary: bool = False) -> DataFrame:
+    """(recording, suffix, content): for each value of ``by`` a file of its epochs (epoch_id, channel_idx, channel, point, value; item and x where there are), in the order of their ids. A file goes through one task."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        epochs = []
+        for _, e in pdf.groupby("epoch_id", sort=True):
+            e = e.sort_values(["channel_idx", "point", *(["item"] if "item" in e else [])], kind="stable")
+            names, points = e.drop_duplicates("channel_idx")["channel"].tolist(), e["point"].nunique()
+            x = e.drop_duplicates("point").sort_values("point")["x"].to_numpy(float) if "x" in e else np.arange(points) * 1000 / sfreq
+            epochs.append({"sfreq": sfreq, "channels": names, "positions": np.zeros((len(names), 3)), "x": x, "values": e["value"].to_numpy(float).reshape(len(names), points, -1)})
+        content = formats.encode_binary_epochs(epochs) if binary else formats.encode_text_epochs(epochs)
+        return pd.DataFrame({"recording": [str(pdf[by].iloc[0])], "suffix": [".asc"], "content": [content]})
+
+    return samples.groupBy(by).applyInPandas(run, "recording string, suffix string, content binary")
+
 
-    return recordings.groupBy("recording").applyInPandas(run, "recording string, content binary")
+def write_epochs(samples: DataFrame, path: str, sfreq: float, by: str = "recording", binary: bool = False) -> list[str]:
+    """Epoch files, text or binary."""
+    return store(encoded_epochs(samples, sfreq, by, binary), path)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:

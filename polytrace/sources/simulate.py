@@ -28,16 +28,16 @@ def null_source(spark: SparkSession, sfreq: float, n_epochs: int, n_channels: in
 
 
 def sensors(n: int) -> np.ndarray:
-    """Places spread evenly over the upper half of a sphere of radius 9: a spiral of golden angles."""
+    """Places spread evenly over the upper half of a sphere of radius 12: a spiral of golden angles."""
     k = np.arange(n)
     z = 1 - (k + 0.5) / n
     turn = math.pi * (3 - math.sqrt(5)) * k
     r = np.sqrt(1 - z * z)
-    return 9 * np.stack([r * np.cos(turn), r * np.sin(turn), z], axis=1)
+    return 12 * np.stack([r * np.cos(turn), r * np.sin(turn), z], axis=1)
 
 
-#: Fixed values of the simulated sources: place, moment and phase step of each sample (None: uniform noise).
-SOURCES = [((-3.0, 2.0, 4.0), (0.0, 1.0, 0.5), 0.5), ((3.0, 1.0, 4.0), (1.0, 0.0, 0.5), 0.2), ((0.0, -4.0, 4.0), (0.0, 0.5, 1.0), None)]
+#: Fixed values of the simulated sources: place, moment, phase at the start and phase step of each sample (None: uniform noise from 0 to 1).
+SOURCES = [((1.0, 1.0, 9.0), (1.0, 0.0, 0.0), 0.0, 0.5), ((-3.0, -1.0, 8.0), (1.0, 0.0, 0.0), 3.0, 0.2), ((-3.0, -1.0, 9.0), (1.0, 0.0, 0.0), 3.0, None)]
 
 
 def dip_simulate(spark: SparkSession, sfreq: float, n_epochs: int, before: int, after: int, n_channels: int = 37, seed: int = 1, ramp: bool = False) -> DataFrame:
@@ -45,9 +45,9 @@ def dip_simulate(spark: SparkSession, sfreq: float, n_epochs: int, before: int,
     of constants and goes into the plan as literals."""
     n = before + after
     at = sensors(n_channels)
-    gain = [lead_field(at, np.array(p)) @ np.array(m) for p, m, _ in SOURCES]
+    gain = [lead_field(at, np.array(p)) @ np.array(m) for p, m, _, _ in SOURCES]
     times = spark.range(n_epochs * n).select(F.floor(F.col("id") / n).cast("long").alias("epoch_id"), (F.col("id") % n).cast("int").alias("point"), F.col("id").alias("_t"))
-    courses = [F.cos(F.col("_t") * F.lit(step)) if step is not None else F.rand(seed) * 2 - 1 for _, _, step in SOURCES]
+    courses = [F.cos(F.lit(phase) + F.col("_t") * F.lit(step)) if step is not None else F.rand(seed) for _, _, phase, step in SOURCES]
     scale = (F.col("point") + 1) / F.lit(float(n)) if ramp else F.lit(1.0)
     times = times.select("epoch_id", "point", *[(c * scale).alias(f"_s{k}") for k, c in enumerate(courses)])
     rows = F.array(*[F.struct(F.lit(c).alias("c"), *[F.lit(float(g[c])).alias(f"g{k}") for k, g in enumerate(gain)]) for c in range(n_channels)])
