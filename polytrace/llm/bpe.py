@@ -8,10 +8,12 @@ and skipped. Decoding concatenates vocabulary strings.
 Text is cut at ASCII white space first. The vocabulary's normaliser and its
 word pattern never look across white space, so a chunk always has the same ids,
 and each worker remembers the chunks it has met (at most ``CACHE`` of them, which
-bounds its memory; later ones are encoded each time).
+bounds its memory; later ones are encoded each time). Chunks beyond ASCII are lowered and cut into words by the
+library's own normaliser and pre-tokenizer, as Unicode tables differ between libraries; merging is done here for all.
 
-Defined results: null or empty text has no ids and decodes to the empty string;
-rows are independent, so repeated rows give repeated results.
+Defined results: null or empty text has no ids and decodes to the empty string; of equal ranks the leftmost pair merges first;
+very long texts and words are encoded whole; rows are independent, so repeated rows give repeated results; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ import hashlib
 import heapq
 import json
 import struct
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,8 +51,12 @@ class WordBPE:
     """The vocabulary in a tokenizer file whose words end in a suffix."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        whole = Tokenizer.from_file(path)
+        self.normalize, self.cut = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -67,6 +72,7 @@ class WordBPE:
         self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.marks = {x[:2].encode() for x in self.special}
         letters = byte_letters()
+        self.byte = {c: b for b, c in enumerate(letters)}
         self.inner = [self.vocab[c] for c in letters]
         self.final = [self.vocab[c + self.suffix] for c in letters]
         self.known: dict[bytes, tuple[bytes, bytes]] = {}
@@ -117,10 +123,10 @@ class WordBPE:
 
     def split(self, text: str) -> list[bytes]:
         """The words of a text without special tokens, as UTF-8."""
-        text = unicodedata.normalize("NFC", text)
-        # letter by letter: str.lower() would choose the final sigma by context
-        text = text.lower() if text.isascii() or "Σ" not in text else "".join(c.lower() for c in text)
-        return [w.encode() for w in self.words.findall(text)]
+        if text.isascii():
+            return [w.encode() for w in self.words.findall(text.lower())]
+        byte = self.byte
+        return [bytes([byte[c] for c in w]) for w, _ in self.cut(self.normalize(text))]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, special tokens in it included; nothing is remembered."""
@@ -136,7 +142,7 @@ class WordBPE:
         return " ".join([self.strings[i] for i in ids])
 
     def chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
-        """Ids and decoded text of lower-case text without ASCII white space."""
+        """Ids and decoded text of text without ASCII white space; ASCII letters are lower-case unless others stand beside them."""
         if chunk.isalpha():
             words = [chunk]
         elif chunk[:-1].isalpha() and chunk[-1:] in (b".", b","):
@@ -155,7 +161,7 @@ class WordBPE:
             ids = self.encode(text.decode())
             return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids).encode()
         known = self.known
-        chunks = text.lower().split()
+        chunks = lowered(text)
         found = list(map(known.get, chunks))
         if None in found:
             for k, got in enumerate(found):
@@ -170,6 +176,11 @@ class WordBPE:
         return b"".join([x[0] for x in found]), b" ".join([x[1] for x in found if x[1]])
 
 
+def lowered(text: bytes) -> list[bytes]:
+    """The chunks of a text between ASCII white space, lower-case where they are ASCII: beyond, case and composition depend on each other."""
+    return text.lower().split() if text.isascii() else [c.lower() if c.isascii() else c for c in text.split()]
+
+
 _LOADED: dict[str, WordBPE] = {}
 
 

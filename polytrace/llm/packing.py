@@ -15,11 +15,13 @@ slack is left, one document is cut to fill it. So all windows are full but for t
 whose rest is cut at powers of two, which need no padding.
 
 Defined results: null or empty text is the end token alone; an empty table gives no rows;
-repeated rows are packed as separate documents; other columns are not read.
+repeated rows are packed as separate documents; of equal lengths the one read first is placed first; very long texts fill whole windows from
+their start; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from bisect import bisect_left, insort
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import CACHE, byte_letters
+from .bpe import CACHE, lowered
 
 CAPACITY = 4096
 END_ID = 2
@@ -52,12 +54,11 @@ class ChunkTokenizer:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.merge = self.whole.model.tokenize
-        self.normalize = self.whole.normalizer.normalize_str
-        spec = __import__("json").loads(self.whole.to_str())
+        self.normalize, self.cut = self.whole.normalizer.normalize_str, self.whole.pre_tokenizer.pre_tokenize_str
+        spec = json.loads(self.whole.to_str())
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
         self.marks = {t["content"][:2].encode() for t in spec["added_tokens"]}
-        self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
 
     def chunk(self, chunk: bytes) -> bytes:
@@ -68,9 +69,10 @@ class ChunkTokenizer:
             if left and right:
                 return left + right
             words = [chunk[:-1].decode(), chunk[-1:].decode()]
+        elif chunk.isascii() and (text := chunk.decode()).isprintable():
+            words = self.words.findall(text)
         else:
-            words = self.words.findall(self.normalize(chunk.decode()))
-            words = [w if w.isascii() and w.isprintable() else "".join([self.letters[b] for b in w.encode()]) for w in words]
+            words = [w for w, _ in self.cut(self.normalize(chunk.decode()))]
         ids = [t.id for w in words for t in self.merge(w)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -80,7 +82,7 @@ class ChunkTokenizer:
             ids = self.whole.encode(text.decode(), add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         known = self.known
-        chunks = text.lower().split()
+        chunks = lowered(text)
         found = list(map(known.get, chunks))
         if None in found:
             for k, got in enumerate(found):

@@ -185,3 +185,20 @@ def test_media_column(docs, empty, rows):
     same = {r.feature for r in got if r.doc_id in (1, 2)}
     assert len(same) == 1
     assert media.media_column(empty).count() == 0
+
+
+def test_ids_equal_the_library_on_every_code_point(tokenizer):
+    """Each code point inside a word, alone, and after a digit and capitals that may compose with it."""
+    library = Tokenizer.from_file(tokenizer)
+    library.no_truncation()
+    library.no_padding()
+    own, packer = bpe.WordBPE(tokenizer), packing.ChunkTokenizer(tokenizer)
+    points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x32400), *range(0xE0000, 0xE0200))]
+    texts = [f"ab{c}cd {c} H{d}I{d} 1{d}" for c, d in zip(points[::2], points[1::2], strict=True)]
+    for at in range(0, len(texts), 10_000):
+        part = texts[at : at + 10_000]
+        for text, e in zip(part, library.encode_batch(part, add_special_tokens=False), strict=True):
+            want, raw = struct.pack(f"<{len(e.ids)}I", *e.ids), text.encode()
+            assert own.both(raw)[0] == want and packer.ids(raw) == want, ascii(text)
+        own.known.clear()
+        packer.known.clear()
