@@ -4,7 +4,7 @@ Each proposed span gets a score: what its pattern is worth alone, more where a
 checksum confirms it (Luhn for cards, mod-97 for account numbers), more where a
 word that announces such data stands shortly before it. The base kinds (email, ip,
 card, phone) are reported whatever their score; further spans need
-``THRESHOLD`` and may not overlap a base span:
+``THRESHOLD`` and may not overlap a base span or an earlier one:
 
 * card: four groups of digits with dots, slashes or no-break spaces between, passing Luhn;
 * phone: a national number without ``+`` whose context speaks of a telephone;
@@ -12,14 +12,16 @@ card, phone) are reported whatever their score; further spans need
 * secret: a long token after a word such as ``token`` or ``password`` and ``=`` or ``:``.
 
 Offsets count code points, the end is exclusive. Defined results: null or empty text has no spans;
-rows are independent; an empty table gives no rows; other columns are not read.
-All patterns run in linear time, so very long texts need no limit.
+spans of one start stand in the order of ``KINDS``; rows are independent, so repeated rows agree; an empty table gives no rows; other columns are not read.
+Patterns and the check for overlaps take time in proportion to the text, so very long texts need no limit.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -143,11 +145,13 @@ def spans(text: str) -> list[tuple[str, int, int, float, bool]]:
 
     base = base_spans(text)
     out = [(k, a, b, score(a, k, k == "card"), True) for a, b, k in base]
-    taken = sorted((a, b) for a, b, _ in base)
+    starts, ends = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))  # by start, so a later one's end so far is the largest
+    done = 0
     for a, b, kind, confirmed in sorted(further_spans(text), key=lambda s: (s[0], ORDER[s[2]])):
-        if (s := score(a, kind, confirmed)) >= THRESHOLD and not any(x < b and a < y for x, y in taken):
+        before = bisect_left(starts, b)
+        if a >= done and not (before and ends[before - 1] > a) and (s := score(a, kind, confirmed)) >= THRESHOLD:
             out.append((kind, a, b, s, False))
-            taken.append((a, b))
+            done = b
     return sorted(out, key=lambda s: (s[1], ORDER[s[0]]))
 
 
