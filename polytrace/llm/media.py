@@ -114,7 +114,7 @@ def png_encode(payload: bytes, width: int = WIDTH, filter: str = "auto", level:
         raise ValueError("the payload must be a positive multiple of the width")
     pixels = np.frombuffer(payload, np.uint8).reshape(-1, width)
     if filter == "auto":
-        kind = min((0, 1, 2), key=lambda k: entropy(filtered(pixels[:256], k)))
+        kind = min((0, 1, 2), key=lambda k: entropy(filtered(pixels, k)))
     else:
         kind = FILTERS[filter]
     rows = np.empty((len(pixels), width + 1), np.uint8)
