@@ -4,12 +4,18 @@ The statistics are counted over each whole text. The forest isolates documents b
 splits of the statistics: a document that few splits set apart is anomalous (score near
 1). Each of ``TREES`` trees grows from ``SUBSAMPLE`` rows, which is the
 method itself; the rows are those with the smallest hashes, so the forest depends only on the table.
-All documents are scored. The threshold comes from all labelled rows: the lowest score at which at most
-``FALSE_REJECTS`` of the good documents that pass the base rules would be rejected.
+All documents are scored.
+
+Labels say twice what an anomaly means. The forest splits only on statistics by which some bad documents stand out: of at least ``TELLING`` of them they lie
+outside the range that holds 99 % of the good ones (of ``MAX_LABELLED`` labelled rows at most, those whose hashes are smallest); else rare but
+harmless things, such as a repeated line, hide them. And the threshold is the one with the most recall on all bad rows minus ``FALSE_ALARM`` times the
+rejected share of all good ones, among those that pass the base rules.
 
 Defined results: null or empty text has no words (and fails the base rules); a document
-whose ``id_col`` has no label counts for the forest only; without good labelled
-rows only the base rules reject; rows are independent, repeated rows get equal results; an empty table gives no rows.
+whose ``id_col`` has no label counts for the forest only; one that is labelled twice is bad if either says so; without bad labelled rows the forest takes
+all statistics, and the threshold rejects ``FALSE_REJECTS`` of the good rows at most; without good labelled
+rows only the base rules reject; a score equal to the threshold rejects; very long texts are counted whole; rows are independent, repeated rows get equal
+results; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 TREES, SUBSAMPLE = 100, 256
-FALSE_REJECTS = 0.005
+FALSE_REJECTS, FALSE_ALARM = 0.005, 5.0
+MAX_LABELLED, TELLING = 12_000, 0.03
 BINS = 10_000
 WINDOW = 8
 #: Texts above so many words find repeated windows by ranks, in arrays, instead of a dictionary.
@@ -114,6 +121,35 @@ def harmonic_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(big - 1) + 0.5772156649015329) - 2 * (big - 1) / big, np.where(n == 2, 1.0, 0.0))
 
 
+def telling(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Which features tell bad rows: those that lay ``TELLING`` of them outside the middle 99 % of good rows; without such a one, all."""
+    if not len(good) or not len(bad):
+        return np.arange(good.shape[1])
+    low, high = np.quantile(good, [0.005, 0.995], axis=0)
+    out = ((bad < low) | (bad > high)).mean(axis=0)
+    return np.flatnonzero(out >= TELLING) if (out >= TELLING).any() else np.arange(good.shape[1])
+
+
+def best_threshold(bins: list[tuple[int, int, int]], false_rejects: float) -> float | None:
+    """The score from which on documents are rejected, from (bin of scores, quality, count)."""
+    good, bad = (sum(n for _, q, n in bins if q == k) for k in (1, 0))
+    if not good:
+        return None
+    best, at, above = None, None, [0, 0]
+    for k in sorted({k for k, _, _ in bins}, reverse=True):
+        for kind in (0, 1):
+            above[kind] += sum(n for i, q, n in bins if i == k and q == kind)
+        if bad:
+            gain = above[0] / bad - FALSE_ALARM * above[1] / good
+        else:
+            gain = above[1] if above[1] <= false_rejects * good else -1
+        if gain > 0 and (best is None or gain > best):
+            best, at = gain, k
+    if at is None:
+        at = max(k for k, _, _ in bins) + 1
+    return at / BINS
+
+
 class Forest:
     """Isolation trees in flat arrays: feature (-1: leaf), cut, left child (the right one follows), path length of leaves."""
 
@@ -171,31 +207,31 @@ class Forest:
 def assess(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, subsample: int = SUBSAMPLE, false_rejects: float = FALSE_REJECTS) -> DataFrame:
     """One row per row: ``id_col``, ``STATS``, base_failed, score (of anomaly), threshold and kept.
 
-    ``labels`` has ``id_col`` and quality (1: good); null labels are not used.
+    ``labels`` has ``id_col`` and quality (1: good, 0: bad); null labels are not used.
     """
     spark = df.sparkSession
     stats = common.stored(rule_statistics(df, id_col, text_col), "statistics")
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    known = labels.where("quality in (0, 1)").groupBy(F.col(id_col).alias("labelled")).agg(F.min("quality").cast("int").alias("quality"))
+    rated = stats.where(~base_failed).join(known, F.col(id_col) == F.col("labelled")).select(*STATS, "quality")
+    rated = common.stored(rated, "rated")
+    fit = common.hash_sample(rated, F.xxhash64(*STATS, "quality"), MAX_LABELLED, rated.count()).toPandas()
+    seen, bad = features(fit[STATS].to_numpy(np.int64).reshape(-1, len(STATS))), fit["quality"].to_numpy() == 0
+    use = telling(seen[~bad], seen[bad])
     picked = common.hash_sample(stats, F.xxhash64(F.col(id_col), *STATS), trees * subsample, stats.count()).select(*STATS).toPandas()
-    forest = spark.sparkContext.broadcast(Forest(features(picked.to_numpy(np.int64).reshape(-1, len(STATS))), trees, subsample))
+    forest = spark.sparkContext.broadcast(Forest(features(picked.to_numpy(np.int64).reshape(-1, len(STATS)))[:, use], trees, subsample))
     kind = stats.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = np.stack([b.column(1 + k).to_numpy() for k in range(len(STATS))], axis=1).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forest.value.score(features(rows)))], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forest.value.score(features(rows)[:, use]))], names=[*b.schema.names, "score"])
 
     schema = f"`{id_col}` {kind}, " + ", ".join(f"{s} long" for s in STATS) + ", score double"
     scored = common.stored(stats.mapInArrow(run, schema).withColumn("base_failed", base_failed), "scored")
-    good = labels.where("quality = 1").select(F.col(id_col).alias("labelled")).distinct()
-    seen = scored.where(~F.col("base_failed")).join(good, F.col(id_col) == F.col("labelled"))
-    bins = sorted((r[0], r[1]) for r in seen.groupBy(F.floor(F.col("score") * BINS).alias("bin")).count().collect())
-    allowed, threshold = false_rejects * sum(n for _, n in bins), None
-    for at, n in reversed(bins):
-        if n > allowed:
-            threshold = (at + 1) / BINS
-            break
-        allowed -= n
+    judged = scored.where(~F.col("base_failed")).join(known, F.col(id_col) == F.col("labelled"))
+    bins = [tuple(r) for r in judged.groupBy(F.floor(F.col("score") * BINS).alias("bin"), "quality").count().collect()]
+    threshold = best_threshold(bins, false_rejects)
     limit = F.lit(threshold).cast("double")
     kept = ~F.col("base_failed") & (F.lit(threshold is None) | F.coalesce(F.col("score") < limit, F.lit(True)))
     return scored.withColumn("threshold", limit).withColumn("kept", kept)
