@@ -1,16 +1,19 @@
 """Toxicity as ordered severity grades: cumulative-link regression on sparse text features.
 
 Features are words and word beginnings (4 to 6 letters, for inflected languages) of a text, each with
-log(1 + count). The labelled rows say which matter: for every feature the toxic and clean documents that hold it are
-counted; telling are those too frequent in toxic ones for chance (by a Chernoff bound with two or three false ones to be expected; copies count once), at most ``FEATURES``. Toxic rows get a grade from 1 to
-3 by how many telling words they hold (thirds of the toxic rows), clean rows grade 0. The model
+log(1 + how many of 100 words it is): what counts is how dense a text is, not how long. The labelled rows say which matter: for every feature the toxic and clean documents that hold it are
+counted; telling are those too frequent in toxic ones for chance (by a Chernoff bound with two or three false ones to be expected; copies count once), at most ``FEATURES``.
+
+Labels are 0 or 1, so toxic rows get a grade from 1 to 3 by thirds of a density that the model does not see: the share of their words that tell toxic rows in the
+other half of the labelled rows (halves by the text's hash, so copies stay together). Clean rows grade 0. The model
 has one weight vector and ordered thresholds: P(grade >= j) = sigmoid(w x - t_j). The result is the expected severity,
-the sum of these, and a verdict from P(grade >= 1), with a threshold set on the labelled rows.
+the sum of these, and a verdict from P(grade >= 1), with a threshold set on labelled rows by models that were fitted on other ones (``FOLDS``).
 
 Fitting takes at most ``MAX_LABELLED`` labelled rows, those whose ids hash smallest; all documents are scored.
 
-Defined results: null or empty text has severity of the intercept alone and is never toxic; without labelled rows of
+Defined results: null or empty text has severity 0 and is never toxic; without labelled rows of
 both classes nothing is toxic and severity is 0; a row labelled twice is toxic if either says so; rows with null labels or ids aren't used in fitting;
+a probability equal to the threshold is toxic; of features equally telling the first in the alphabet is taken; very long texts are read whole;
 repeated rows get equal results; an empty table gives no rows; other columns are not read.
 """
 
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_LABELLED, FEATURES, GRADES = 12_000, 4096, 3
+MAX_LABELLED, FEATURES, GRADES, FOLDS = 12_000, 4096, 3, 3
 #: A feature is looked at if it stands in so many toxic documents.
 SUPPORT = 3
 PREFIXES = (4, 5, 6)
@@ -72,6 +75,11 @@ def vector(text: str, index: dict[str, int]) -> list[tuple[int, int]]:
     return sorted(out.items())
 
 
+def dense(counts: np.ndarray, words: np.ndarray | int) -> np.ndarray:
+    """The value of a feature that is met so many times among so many words."""
+    return np.log1p(100 * counts / np.maximum(words, 1))
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
@@ -125,9 +133,13 @@ class Model:
         if self.ordinal is None:
             return np.zeros(len(texts)), np.zeros(len(texts))
         w = self.ordinal.w
-        z = np.array([sum(w[k] * np.log1p(n) for k, n in vector(t, self.index)) if t else -np.inf for t in texts], np.float64)
-        p = self.ordinal.above(np.maximum(z, -60))
-        return p.sum(axis=1), np.where(np.isinf(z), 0.0, p[:, 0])
+        z, known = np.zeros(len(texts)), [vector(t, self.index) if t else [] for t in texts]
+        for k, v in enumerate(known):
+            if v:
+                at, n = np.array(v).T
+                z[k] = w[at] @ dense(n, len(texts[k].split()))
+        p = np.where(np.array([bool(t) for t in texts])[:, None], self.ordinal.above(z), 0.0)
+        return p.sum(axis=1), p[:, 0]
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
@@ -142,39 +154,65 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     if not toxic or not clean:
         return Model({}, None)
 
+    labelled = labelled.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, y in zip(common.texts(b, "text"), b.column("toxic").to_pylist(), strict=True):
-                seen[y > 0].update(features_in(text).keys())
-            names = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][k] for k in names], pa.int64()), pa.array([seen[0][k] for k in names], pa.int64())], names=["feature", "toxic", "clean"])
-
-    held = labelled.dropDuplicates(["text", "toxic"]).mapInArrow(counts, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    held = common.stored(held.where(F.col("toxic") >= SUPPORT), "features")
-    tested = max(2, held.count())
-    t, c, share = F.col("toxic").cast("double"), F.col("clean").cast("double"), toxic / (toxic + clean)
-    surprise = t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0)
-    told = held.withColumn("surprise", surprise).where((F.col("surprise") >= float(np.log(tested)) - 1) & (t > share * (t + c)))
-    index = {r[0]: k for k, r in enumerate(told.orderBy(F.col("surprise").desc(), "feature").limit(FEATURES).select("feature").collect())}
+            seen: dict[tuple[int, bool], Counter] = {(h, y): Counter() for h in (0, 1) for y in (False, True)}
+            for text, y, h in zip(common.texts(b, "text"), b.column("toxic").to_pylist(), b.column("half").to_pylist(), strict=True):
+                seen[h, y > 0].update(features_in(text).keys())
+            for h in (0, 1):
+                names = list(seen[h, False].keys() | seen[h, True].keys())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([h] * len(names), pa.int32()), *(pa.array([seen[h, y][k] for k in names], pa.int64()) for y in (True, False))], names=["feature", "half", "toxic", "clean"])
+
+    met = labelled.dropDuplicates(["text", "toxic"]).mapInArrow(counts, "feature string, half int, toxic long, clean long")
+    by_half = [F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("toxic", "clean")]
+    each = common.stored(met.groupBy("feature").agg(*by_half).where(F.col("toxic0") + F.col("toxic1") >= SUPPORT), "features")
+
+    def part(*halves: int) -> DataFrame:
+        return each.select("feature", *[sum((F.col(f"{c}{h}") for h in halves), F.lit(0)).alias(c) for c in ("toxic", "clean")])
+
+    def telling(held: DataFrame) -> list[str]:
+        held = held.where(F.col("toxic") >= SUPPORT)
+        tested = max(2, held.count())
+        t, c, share = F.col("toxic").cast("double"), F.col("clean").cast("double"), toxic / (toxic + clean)
+        surprise = t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0)
+        told = held.withColumn("surprise", surprise).where((F.col("surprise") >= float(np.log(tested)) - 1) & (t > share * (t + c)))
+        return [r[0] for r in told.orderBy(F.col("surprise").desc(), "feature").limit(FEATURES).select("feature").collect()]
+
+    index = {f: k for k, f in enumerate(telling(part(0, 1)))}
+    others = [frozenset(f for f in telling(part(1 - h)) if f[-1] != "*") for h in (0, 1)]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [vector(t, index) for t in common.texts(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([[k for k, _ in v] for v in x], pa.list_(pa.int32())), pa.array([[n for _, n in v] for v in x], pa.list_(pa.int32()))], names=["toxic", "cols", "counts"])
-
-    rows = sorted(((r[0], tuple(r[1]), tuple(r[2])) for r in labelled.mapInArrow(vectors, "toxic int, cols array<int>, counts array<int>").collect()))
-    y = np.array([r[0] for r in rows]) > 0
-    at = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    cols = np.array([k for r in rows for k in r[1]], np.int64)
-    values = np.log1p(np.array([n for r in rows for n in r[2]], np.float64))
-    hits = np.bincount(at, np.expm1(values), minlength=len(rows))
-    cuts = np.quantile(hits[y], [1 / 3, 2 / 3])
-    grade = np.where(y, 1 + (hits[:, None] > cuts[None, :]).sum(axis=1), 0)
-    ordinal = Ordinal(len(index), GRADES).fit(at, cols, values, grade)
-    p = ordinal.above(np.bincount(at, values * ordinal.w[cols], minlength=len(rows)))[:, 0]
+            own, half = common.texts(b, "text"), b.column("half").to_pylist()
+            x, n = [vector(t, index) for t in own], [len(t.split()) for t in own]
+            share = [sum(c for w, c in words_in(t).items() if w in others[h]) / max(1, m) for t, h, m in zip(own, half, n, strict=True)]
+            columns = [b.column("toxic"), b.column("fold"), pa.array(n, pa.int64()), pa.array(share, pa.float64()), pa.array([[k for k, _ in v] for v in x], pa.list_(pa.int32())), pa.array([[c for _, c in v] for v in x], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "fold", "words", "share", "cols", "counts"])
+
+    folded = labelled.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(FOLDS)).cast("int"))
+    rows = folded.mapInArrow(vectors, "toxic int, fold int, words long, share double, cols array<int>, counts array<int>").collect()  # MAX_LABELLED at most
+    rows = sorted((r[0], r[1], r[2], r[3], tuple(r[4]), tuple(r[5])) for r in rows)
+    y, fold, n, share = (np.array([r[k] for r in rows]) for k in range(4))
+    y = y > 0
+    at = np.repeat(np.arange(len(rows)), [len(r[4]) for r in rows])
+    cols = np.array([k for r in rows for k in r[4]], np.int64)
+    values = dense(np.array([c for r in rows for c in r[5]], np.float64), n[at])
+    cuts = np.quantile(share[y], [1 / 3, 2 / 3])
+    grade = np.where(y, 1 + (share[:, None] > cuts[None, :]).sum(axis=1), 0)
+
+    def model(on: np.ndarray) -> Ordinal:
+        place, inside = np.cumsum(on) - 1, on[at]
+        return Ordinal(len(index), GRADES).fit(place[at[inside]], cols[inside], values[inside], grade[on])
+
+    p = np.zeros(len(rows))
+    for k in range(FOLDS):
+        if (fold != k).any() and (fold == k).any():
+            o = model(fold != k)
+            p[fold == k] = o.above(np.bincount(at, values * o.w[cols], minlength=len(rows)))[fold == k, 0]
     gain = [(p[y] >= t).mean() - FALSE_ALARM * (p[~y] >= t).mean() for t in THRESHOLDS]
-    return Model(index, ordinal, THRESHOLDS[int(np.argmax(gain))])
+    return Model(index, model(np.ones(len(rows), bool)), THRESHOLDS[int(np.argmax(gain))])
 
 
 def rate_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, max_labelled: int = MAX_LABELLED) -> DataFrame:

@@ -225,7 +225,34 @@ def test_quality_verdicts_agree_with_labels(spark):
     got = quality.assess(spark.read.parquet(f"{d}/documents.parquet"), labels).join(labels, "doc_id").select("quality", "kept").collect()
     good = [r.kept for r in got if r.quality == 1]
     bad = [r.kept for r in got if r.quality == 0]
-    assert np.mean(good) > 0.95 and np.mean(bad) < 0.6
+    assert np.mean(good) > 0.95 and np.mean(bad) < 0.1
+
+
+def test_quality_verdicts_on_held_out_labels(spark):
+    """Statistics and threshold chosen on two thirds of the labels, judged by the rest."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    got = quality.assess(spark.read.parquet(f"{d}/documents.parquet"), labels.where("doc_id % 3 != 0")).join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
+    passed = [r for r in got if not r.base_failed]
+    bad, good = ([r.kept for r in passed if r.quality == k] for k in (0, 1))
+    assert len(bad) > 50 and np.mean(bad) < 0.1 and np.mean(good) > 0.98
+    assert np.mean([r.kept for r in got if r.quality == 0]) < 0.06
+
+
+def test_best_threshold():
+    bins = [(10, 1, 90), (20, 1, 9), (30, 0, 1), (40, 0, 9), (40, 1, 1)]
+    assert quality.best_threshold(bins, 0.01) == 30 / quality.BINS  # all bad rows for 1 % of good ones
+    assert quality.best_threshold([(10, 1, 98), (20, 1, 1), (30, 1, 1)], 0.011) == 30 / quality.BINS
+    assert quality.best_threshold([(10, 1, 50), (10, 0, 50)], 0.01) == 11 / quality.BINS  # nothing to be told apart
+    assert quality.best_threshold([(10, 0, 5)], 0.01) is None and quality.best_threshold([], 0.01) is None
+
+
+def test_telling_statistics():
+    rng = np.random.default_rng(1)
+    good, bad = rng.normal(size=(1000, 3)), rng.normal(size=(100, 3))
+    bad[:20, 1] += 9
+    assert quality.telling(good, bad).tolist() == [1]
+    assert quality.telling(good, bad[:0]).tolist() == [0, 1, 2]
 
 
 # ------------------------------------------------------------------ toxicity
@@ -240,6 +267,39 @@ def test_toxicity_on_held_out_labels(spark):
     assert hit[truth == 1].mean() > 0.9 and hit[truth == 0].mean() < 0.015
 
 
+def test_severity_equals_a_plain_reading(spark):
+    """Severities from the fitted weights by the definition, one document and one feature at a time."""
+    d = "/root/testdata/sf0.01"
+    labels, df = spark.read.parquet(f"{d}/labels.parquet"), spark.read.parquet(f"{d}/documents.parquet")
+    m = toxicity.fit(df, labels)
+    got = {r.doc_id: r for r in toxicity.rate_toxicity(df, labels).collect()}
+    for r in df.collect():
+        words = [toxicity._EDGES.sub("", w) for w in (r.text or "").lower().split()]
+        z = 0.0
+        for feature, k in m.index.items():
+            stem = feature.rstrip("*")
+            n = sum(w == feature if feature[-1] != "*" else w.startswith(stem) and len(w) > len(stem) for w in words if w[: len(stem)] == stem)
+            z += m.ordinal.w[k] * np.log(1 + 100 * n / max(1, len(words)))
+        p = [1 / (1 + np.exp(-(z - t))) if r.text else 0.0 for t in m.ordinal.thresholds]
+        assert np.isclose(got[r.doc_id].severity, sum(p)) and np.isclose(got[r.doc_id].p_toxic, p[0])
+        assert got[r.doc_id].toxic == (got[r.doc_id].p_toxic >= m.threshold)
+
+
+def test_severity_is_no_length(spark):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    m = toxicity.fit(spark.read.parquet(f"{d}/documents.parquet"), labels)
+    severity = m.severity([*texts.values()])[0]
+    rank = lambda v: np.argsort(np.argsort(v))
+    length = np.array([len(t.split()) for t in texts.values()])
+    told = np.array([sum(c for w, c in toxicity.words_in(t).items() if w in m.index) for t in texts.values()])
+    on = told > 0
+    assert np.corrcoef(rank(severity[on]), rank(length[on]))[0, 1] < 0.2
+    assert np.corrcoef(rank(severity[on]), rank((told / length)[on]))[0, 1] > 0.6
+
+
 def test_ordinal_gradients_and_order():
     rng = np.random.default_rng(1)
     x = rng.random(600) * 4
