@@ -280,7 +280,13 @@ register(
     f"""WITH {S4}, l AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM s WINDOW w AS (PARTITION BY epoch_id, channel ORDER BY point)),
  c AS (SELECT *, CASE WHEN value >= 0.1 AND a < value AND b <= value THEN 1 WHEN value <= -0.1 AND a > value AND b >= value THEN -1 END AS code FROM l) SELECT epoch_id, channel, point, code FROM c WHERE code IS NOT NULL""",
 )
-register("crossings_refractory", lambda spark, d: trace.refractory(trace.crossings(epochs1(spark, d), 0.0), 6).select("epoch_id", "channel", "point", "code"))
+register(
+    "crossings_refractory",
+    lambda spark, d: trace.refractory(trace.crossings(epochs1(spark, d), 0.0), 6).select("epoch_id", "channel", "point", "code"),
+    f"""WITH RECURSIVE {S1}, l AS (SELECT *, lag(value) OVER (PARTITION BY epoch_id ORDER BY point) AS a FROM s), c AS MATERIALIZED (SELECT epoch_id, channel, point, CASE WHEN value >= 0 THEN 1 ELSE -1 END AS code FROM l WHERE a IS NOT NULL AND (value >= 0) <> (a >= 0)),
+ k(epoch_id, point) AS (SELECT epoch_id, min(point) FROM c GROUP BY 1 UNION ALL SELECT k.epoch_id, (SELECT min(c.point) FROM c WHERE c.epoch_id = k.epoch_id AND c.point >= k.point + 6) FROM k WHERE k.point IS NOT NULL)
+ SELECT c.epoch_id, c.channel, c.point, c.code FROM c JOIN k USING (epoch_id, point)""",
+)
 
 # ------------------------------------------------------------------ rejection
 

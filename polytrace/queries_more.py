@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +48,14 @@ register(
  x AS (SELECT epoch_id, seg, k, pow(sum(v * cos(2 * pi() * k * i / 32)), 2) + pow(sum(v * sin(2 * pi() * k * i / 32)), 2) AS pw FROM w, range(16) t(k) GROUP BY 1, 2, 3), d AS (SELECT sum(pow(1 - pow((i + 1 - 16.5) / 16.5, 2), 2)) AS d FROM range(32) t(i))
  SELECT epoch_id, 'E' AS channel, CAST(k AS INTEGER) AS point, round(sum(pw) * (CASE WHEN k = 0 THEN 1 ELSE 2 END) / (any_value(d) * 64), 5) + 0.0 AS value FROM x, d GROUP BY epoch_id, k""",
 )
-register("spectrogram", lambda spark, d: samples(spectral.fftspect(traces(epochs1(spark, d).drop("condition")), 24, shifts=5)).select("epoch_id", "shift", "point", plain(F.col("value"), 5).alias("value")))
+register(
+    "spectrogram",
+    lambda spark, d: samples(spectral.fftspect(traces(epochs1(spark, d).drop("condition")), 24, shifts=5)).select("epoch_id", "shift", "point", plain(F.col("value"), 5).alias("value")),
+    f"""WITH {S1}, p AS (SELECT epoch_id, sh, seg, point - 10 * sh - 8 * seg AS i, value AS v FROM s, range(5) a(sh), range(2) t(seg) WHERE point BETWEEN 10 * sh + 8 * seg AND 10 * sh + 8 * seg + 15),
+ l AS (SELECT epoch_id, sh, seg, regr_slope(v, i) AS a, regr_intercept(v, i) AS b FROM p GROUP BY ALL), w AS (SELECT epoch_id, sh, seg, i, (v - b - a * i) * (1 - pow((i + 1 - 8.5) / 8.5, 2)) AS v FROM p JOIN l USING (epoch_id, sh, seg)),
+ x AS (SELECT epoch_id, sh, seg, k, pow(sum(v * cos(2 * pi() * k * i / 16)), 2) + pow(sum(v * sin(2 * pi() * k * i / 16)), 2) AS pw FROM w, range(8) t(k) GROUP BY ALL), d AS (SELECT sum(pow(1 - pow((i + 1 - 8.5) / 8.5, 2), 2)) AS d FROM range(16) t(i))
+ SELECT epoch_id, CAST(sh AS INTEGER) AS shift, CAST(k AS INTEGER) AS point, round(sum(pw) * (CASE WHEN k = 0 THEN 1 ELSE 2 END) / (any_value(d) * 32), 5) + 0.0 AS value FROM x, d GROUP BY epoch_id, sh, k""",
+)
 
 
 def _cross(spark: SparkSession, d: str, mode: str) -> DataFrame:
@@ -54,8 +63,14 @@ def _cross(spark: SparkSession, d: str, mode: str) -> DataFrame:
     return df.select("epoch_id", "reference", "channel", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z")).select("epoch_id", "reference", "channel", "bin", plain(F.col("z.re"), 5).alias("re"), plain(F.col("z.im"), 5).alias("im"))
 
 
-for _mode in ("cross", "phase", "coherence"):
-    register(f"spectra_{_mode}", lambda spark, d, m=_mode: _cross(spark, d, m))
+#: Spectra of two half-overlapping segments of 8 points each, 5 bins; beside them those of the channel A1.
+SEGMENTS = f"""WITH {S4}, p AS (SELECT epoch_id, channel, seg, point - 4 * seg AS i, value AS v FROM s, range(2) t(seg) WHERE point BETWEEN 4 * seg AND 4 * seg + 7),
+ l AS (SELECT epoch_id, channel, seg, regr_slope(v, i) AS a, regr_intercept(v, i) AS b FROM p GROUP BY ALL), w AS (SELECT epoch_id, channel, seg, i, (v - b - a * i) * (1 - pow((i + 1 - 4.5) / 4.5, 2)) AS v FROM p JOIN l USING (epoch_id, channel, seg)),
+ z AS (SELECT epoch_id, channel, seg, CAST(k AS INTEGER) AS k, sum(v * cos(2 * pi() * k * i / 8)) AS re, -sum(v * sin(2 * pi() * k * i / 8)) AS im FROM w, range(5) t(k) GROUP BY ALL),
+ c AS (SELECT z.epoch_id, z.channel, z.k, z.re * r.re + z.im * r.im AS re, z.im * r.re - z.re * r.im AS im, sqrt(r.re * r.re + r.im * r.im) AS m, z.re * z.re + z.im * z.im AS px, r.re * r.re + r.im * r.im AS pr FROM z JOIN z r ON r.epoch_id = z.epoch_id AND r.seg = z.seg AND r.k = z.k AND r.channel = 'A1')
+ SELECT epoch_id, 'A1' AS reference, channel, k AS bin, round({{re}}, 5) + 0.0 AS re, round({{im}}, 5) + 0.0 AS im FROM c GROUP BY epoch_id, channel, k"""
+for _mode, _form in (("cross", "avg({})"), ("phase", "avg({} / m)"), ("coherence", "sum({}) / sqrt(sum(px) * sum(pr))")):
+    register(f"spectra_{_mode}", lambda spark, d, m=_mode: _cross(spark, d, m), SEGMENTS.format(re=_form.format("re"), im=_form.format("im")))
 
 # ------------------------------------------------------------------ decompositions
 
@@ -109,7 +124,26 @@ def _dipoles(spark: SparkSession, d: str) -> DataFrame:
 
 
 register("dip_fit", _dipoles)
-register("dip_simulate", lambda spark, d: simulate.dip_simulate(spark, 100.0, 5, 100, 100).groupBy("epoch_id", "channel").agg(F.count("*").alias("n")), "SELECT CAST(e AS BIGINT) AS epoch_id, 'A' || CAST(c + 1 AS VARCHAR) AS channel, CAST(200 AS BIGINT) AS n FROM range(5) t(e), range(37) u(c)")
+
+
+
+def _field_rows() -> str:
+    """The sensors' responses to the simulated sources as SQL rows: the potential of a dipole at a sensor, by its definition."""
+    rows = []
+    for c, at in enumerate(simulate.sensors(37).tolist()):
+        gains = []
+        for place, moment, _, _ in simulate.SOURCES:
+            away = [a - b for a, b in zip(at, place, strict=True)]
+            gains.append(sum(a * m for a, m in zip(away, moment, strict=True)) / (4 * math.pi * sum(a * a for a in away) ** 1.5))
+        rows.append(f"({c}, {', '.join(f'{g!r}::DOUBLE' for g in gains)})")
+    return ", ".join(rows)
+
+
+register(
+    "dip_simulate",
+    lambda spark, d: simulate.dip_simulate(spark, 100.0, 5, 100, 100, noise=False).select("epoch_id", "channel", "point", plain(F.col("value") * 1e3, 6).alias("value")),
+    f"SELECT CAST(t // 200 AS BIGINT) AS epoch_id, 'A' || CAST(c + 1 AS VARCHAR) AS channel, CAST(t % 200 AS INTEGER) AS point, round(1000 * (g0 * cos(t * 0.5) + g1 * cos(3 + t * 0.2)), 6) + 0.0 AS value FROM range(1000) a(t), (VALUES {_field_rows()}) b(c, g0, g1, g2)",
+)
 register(
     "null_source",
     lambda spark, d: simulate.null_source(spark, 100.0, 4, 3, 5, 7).select("epoch_id", "channel", "point", plain(F.col("x"), 3).alias("x"), "value"),

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from ..functions import units
 from ..operators import joins
-from . import formats
+from . import formats, formats_sleep
 
-DECODERS: dict[str, Callable[..., formats.Recording]] = {"generic": formats.decode_generic, "edf": formats.decode_edf, "simple_binary": formats.decode_simple_binary, "wave": formats.decode_wave, "cnt": formats.decode_cnt}
-ENCODERS: dict[str, Callable[..., bytes]] = {"generic": formats.encode_generic, "edf": formats.encode_edf, "simple_binary": formats.encode_simple_binary, "wave": formats.encode_wave, "cnt": formats.encode_cnt}
-SUFFIXES = {"edf": "*.{edf,rec,bdf}", "wave": "*.wav", "simple_binary": "*.raw", "cnt": "*.cnt", "generic": "*"}
+DECODERS: dict[str, Callable[..., formats.Recording]] = {"generic": formats.decode_generic, "edf": formats.decode_edf, "simple_binary": formats.decode_simple_binary, "wave": formats.decode_wave, "cnt": formats.decode_cnt, "fields": formats_sleep.decode_fields}
+ENCODERS: dict[str, Callable[..., bytes]] = {"generic": formats.encode_generic, "edf": formats.encode_edf, "simple_binary": formats.encode_simple_binary, "wave": formats.encode_wave, "cnt": formats.encode_cnt, "fields": formats_sleep.encode_fields}
+SUFFIXES = {"edf": "*.{edf,rec,bdf}", "wave": "*.wav", "simple_binary": "*.raw", "cnt": "*.cnt", "fields": "*.dat", "generic": "*"}
 _ROWS = 1 << 18
 
 
@@ -67,15 +67,16 @@ def _pair(kind: str) -> tuple[str, str, str, Callable[[dict[str, bytes]], format
     return {
         "brainvision": ("vhdr,vmrk,eeg", "vhdr", "eeg", lambda by: formats.decode_brainvision(by["vhdr"], by["eeg"], by.get("vmrk", b""))),
         "parameter_pair": ("cdt,dpa", "dpa", "cdt", lambda by: formats.decode_parameter_pair(by["dpa"], by["cdt"])),
+        "words": ("co,coa", "co", "co", lambda by: formats_sleep.decode_co(by["co"], by.get("coa", b""))),
+        "differences": ("dsc,eeg", "dsc", "eeg", lambda by: formats_sleep.decode_differences(by["dsc"], by["eeg"])),
     }.get(kind)
 
 
 def samples_of(spark: SparkSession, path: str, kind: str, names: list[str] | None = None, pattern: str | None = None, /, **options) -> DataFrame:
     """Samples of recordings of any kind, single files or groups of files; of the channels ``names`` if given, as the decoder may have options of its own."""
-    if kind == "brainvision":
-        out = read_brainvision(spark, path)
-    elif kind == "parameter_pair":
-        out = read_parameter_pairs(spark, path)
+    group = _pair(kind)
+    if group:
+        out = _grouped(_parts(spark, path, group[0]), *group[1:])
     else:
         out = read_recordings(spark, path, kind, None, pattern, decoding=options)
     return out if names is None else out.where(F.col("channel").isin(names))
@@ -95,9 +96,7 @@ def triggers_of(spark: SparkSession, path: str, kind: str, pattern: str | None =
         found = decode(by).triggers if header in by and data in by else []
         return pd.DataFrame([(pdf["recording"].iloc[0], *t) for t in found], columns=["recording", "position", "code", "description"])
 
-    stem = F.regexp_replace("path", r"(\.cdt)?\.[^.]+$", "")
-    files = _files(spark, path, f"*.{{{suffixes}}}").select(stem.alias("recording"), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("kind"), "content")
-    return files.groupBy("recording").applyInPandas(run, "recording string, position long, code int, description string")
+    return _parts(spark, path, suffixes).groupBy("recording").applyInPandas(run, "recording string, position long, code int, description string")
 
 
 def triggers_in(spark: SparkSession, path: str, sfreq: float, recordings: DataFrame | None = None) -> DataFrame:
@@ -144,18 +143,18 @@ def transferred(spark: SparkSession, path: str, kind: str, before: str | int, af
 
 def read_brainvision(spark: SparkSession, path: str) -> DataFrame:
     """Recordings of header, data and marker files with equal names: the three meet by name, then each recording is decoded alone."""
-    stem = F.regexp_replace("path", r"\.[^.]+$", "")
-    suffix = F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))
-    files = _files(spark, path, "*.{vhdr,vmrk,eeg}").select(stem.alias("recording"), suffix.alias("kind"), "content")
-    return _grouped(files, "vhdr", "eeg", lambda by: formats.decode_brainvision(by["vhdr"], by["eeg"], by.get("vmrk", b"")))
+    return samples_of(spark, path, "brainvision")
 
 
 def read_parameter_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Recordings of a parameter header (.dpa, also .cdt.dpa) and its values (.cdt)."""
-    stem = F.regexp_replace("path", r"(\.cdt)?(\.dpa)?$", "")
-    suffix = F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))
-    files = _files(spark, path, "*.{cdt,dpa}").select(stem.alias("recording"), suffix.alias("kind"), "content")
-    return _grouped(files, "dpa", "cdt", lambda by: formats.decode_parameter_pair(by["dpa"], by["cdt"]))
+    return samples_of(spark, path, "parameter_pair")
+
+
+def _parts(spark: SparkSession, path: str, suffixes: str) -> DataFrame:
+    """(recording, kind, content) of files that belong together by name."""
+    stem = F.regexp_replace("path", r"(\.cdt)?\.[^.]+$", "")
+    return _files(spark, path, f"*.{{{suffixes}}}").select(stem.alias("recording"), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("kind"), "content")
 
 
 def _grouped(files: DataFrame, header: str, data: str, decode: Callable[[dict[str, bytes]], formats.Recording]) -> DataFrame:
@@ -204,6 +203,10 @@ def encoded(recordings: DataFrame, kind: str, triggers: DataFrame | None = None,
             parts = formats.encode_brainvision(r, file_name(key), **options)
         elif kind == "parameter_pair":
             parts = formats.encode_parameter_pair(r, **options)
+        elif kind == "words":
+            parts = formats_sleep.encode_co(r, **options)
+        elif kind == "differences":
+            parts = formats_sleep.encode_differences(r, **options)
         else:
             parts = {WRITTEN.get(kind, ""): ENCODERS[kind](r, **options)}
         return pd.DataFrame([(key, suffix, content) for suffix, content in parts.items()], columns=["recording", "suffix", "content"])
@@ -222,7 +225,7 @@ def encoded(recordings: DataFrame, kind: str, triggers: DataFrame | None = None,
     return recordings.groupBy("recording").cogroup(marks.groupBy("recording")).applyInPandas(together, schema)
 
 
-WRITTEN = {"edf": ".edf", "wave": ".wav", "simple_binary": ".raw", "cnt": ".cnt", "generic": ".dat"}
+WRITTEN = {"edf": ".edf", "wave": ".wav", "simple_binary": ".raw", "cnt": ".cnt", "generic": ".dat", "fields": ".dat"}
 
 
 def file_name(recording: str) -> str:

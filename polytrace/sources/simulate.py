@@ -40,14 +40,14 @@ def sensors(n: int) -> np.ndarray:
 SOURCES = [((1.0, 1.0, 9.0), (1.0, 0.0, 0.0), 0.0, 0.5), ((-3.0, -1.0, 8.0), (1.0, 0.0, 0.0), 3.0, 0.2), ((-3.0, -1.0, 9.0), (1.0, 0.0, 0.0), 3.0, None)]
 
 
-def dip_simulate(spark: SparkSession, sfreq: float, n_epochs: int, before: int, after: int, n_channels: int = 37, seed: int = 1, ramp: bool = False) -> DataFrame:
-    """Potentials of moving dipoles at channels A1, A2 ...: two oscillate with a fixed phase step from sample to sample, through all epochs, the third is noise; ``ramp`` lets them grow through each epoch. The lead field is a handful
+def dip_simulate(spark: SparkSession, sfreq: float, n_epochs: int, before: int, after: int, n_channels: int = 37, seed: int = 1, ramp: bool = False, noise: bool = True) -> DataFrame:
+    """Potentials of moving dipoles at channels A1, A2 ...: two oscillate with a fixed phase step from sample to sample, through all epochs, the third is noise (none without ``noise``); ``ramp`` lets them grow through each epoch. The lead field is a handful
     of constants and goes into the plan as literals."""
     n = before + after
     at = sensors(n_channels)
     gain = [lead_field(at, np.array(p)) @ np.array(m) for p, m, _, _ in SOURCES]
     times = spark.range(n_epochs * n).select(F.floor(F.col("id") / n).cast("long").alias("epoch_id"), (F.col("id") % n).cast("int").alias("point"), F.col("id").alias("_t"))
-    courses = [F.cos(F.lit(phase) + F.col("_t") * F.lit(step)) if step is not None else F.rand(seed) for _, _, phase, step in SOURCES]
+    courses = [F.cos(F.lit(phase) + F.col("_t") * F.lit(step)) if step is not None else F.rand(seed) if noise else F.lit(0.0) for _, _, phase, step in SOURCES]
     scale = (F.col("point") + 1) / F.lit(float(n)) if ramp else F.lit(1.0)
     times = times.select("epoch_id", "point", *[(c * scale).alias(f"_s{k}") for k, c in enumerate(courses)])
     rows = F.array(*[F.struct(F.lit(c).alias("c"), *[F.lit(float(g[c])).alias(f"g{k}") for k, g in enumerate(gain)]) for c in range(n_channels)])
