@@ -37,9 +37,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/polytrace-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    tables(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables(spark: SparkSession) -> list[str]:
+    """The tables that ``stored`` has written in this session and that are still there, in order."""
+    if not hasattr(spark, "_polytrace_tables"):
+        spark._polytrace_tables = []
+    return spark._polytrace_tables
+
+
+def discard(spark: SparkSession, keep: tuple[str, ...] = ()) -> int:
+    """Remove this session's stored tables but for ``keep``, once nothing is read from them any more: after a result is written. Returns how many went."""
+    gone = [t for t in tables(spark) if t not in keep]
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    for t in gone:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t).getParent()
+        folder.getFileSystem(configuration).delete(folder, True)
+        tables(spark).remove(t)
+    return len(gone)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def raw(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """A text column as UTF-8 bytes; null becomes empty."""
     return [b"" if x is None else x for x in batch.column(column).cast(pa.binary()).to_pylist()]

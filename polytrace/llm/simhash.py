@@ -72,10 +72,11 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """64 bit planes of uint64 words: bit i of plane b is bit b of fingerprint i."""
+    """Bit planes of uint64 words, 64 for each word of a fingerprint: bit i of plane b is bit b of fingerprint i."""
     n = len(fps)
-    bits = np.zeros((64, -(-n // 64) * 64), np.uint8)
-    bits[:, :n] = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(n, 8), axis=1, bitorder="little").T
+    own = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+    bits = np.zeros((own.shape[1], -(-n // 64) * 64), np.uint8)
+    bits[:, :n] = own.T
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
@@ -299,8 +300,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component the row with the smallest id stays, once. A row without an id stays."""
     found = common.stored(near_duplicates(df, id_col, text_col, radius, blocks), "components")
-    first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept_id")).distinct()
-    kept = df.join(first, F.col(id_col) == F.col("kept_id"), "left_semi")
+    first = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    kept = df.join(first, id_col, "left_semi")
     again = found.where(F.col(id_col).isNotNull()).groupBy(id_col, "fp").count().where("count > 1")
     if not again.isEmpty():
         kept = kept.dropDuplicates([id_col, text_col])

@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from polytrace.llm import shingles
+from polytrace.llm import shingles, simhash
 
 
 def brute(rows):
@@ -58,18 +58,68 @@ def test_awkward_rows(docs, empty):
     assert shingles.keep_one(empty).count() == 0
 
 
-def test_prefixes_and_bitmaps_drop_no_link():
+def test_prefixes_and_fingerprints_drop_no_link():
     rng = np.random.default_rng(2)
     for _ in range(300):
-        n = int(rng.integers(1, 400))
+        n = int(rng.integers(1, 2500))
         a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[: int(len(a) * rng.uniform(0.8, 1))], rng.integers(0, 1 << 63, int(n * rng.uniform(0, 0.2)), dtype=np.uint64)]))
         hot = np.sort(rng.choice(a, len(a) // 2, replace=False).view(np.int64))
         count = rng.integers(2, 9, len(hot))
         if shingles.linked(a, b):
             assert np.intersect1d(shingles.prefix(a, hot, count), shingles.prefix(b, hot, count)).size
-            maps = np.frombuffer(shingles.bitmap(a) + shingles.bitmap(b), np.uint64).reshape(2, -1)
-            assert shingles.forest(np.array([len(a), len(b)]), maps) == [(0, 1)]
+            assert shingles.forest(prints_of([a, b])) == [(0, 1)]
+
+
+def prints_of(sets):
+    each = [shingles.prints_of(x) for x in sets]
+    rows = [shingles.print_rows([p[k] for p in each], bits) for k, bits in enumerate((*shingles.PARITIES, shingles.BITS))]
+    return shingles.Prints(np.array([len(x) for x in sets]), rows)
+
+
+def test_bit_sliced_comparison_equals_a_plain_one():
+    """A group of many sets, small and large ones, some near to others: the vertical comparison keeps what distances say."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+    sets = []
+    for n in (60, 300, 530, 630, 900, 1300, 1590, 3000):
+        base = draw(n)
+        sets += [np.unique(np.concatenate([base[: int(n * rng.uniform(0.7, 1))], draw(int(n * rng.uniform(0, 0.3)))])) for _ in range(20)] + [draw(n) for _ in range(10)]
+    of, every = prints_of(sets), np.arange(len(sets))
+    assert of.planes is not None
+    for q in range(len(sets)):
+        want = []
+        for k, x in enumerate(sets):
+            a, b = len(sets[q]), len(x)
+            kind = int(max(a, b) > shingles.SMALL) + int(max(a, b) > shingles.MIDDLE)
+            d = int(np.bitwise_count(of.rows[kind][q] ^ of.rows[kind][k]).sum())
+            if 5 * b >= 4 * a and 4 * b <= 5 * a and (9 * d <= a + b if kind < 2 else d <= shingles.RADIUS):
+                want.append(k)
+        assert sorted(of.near(q, every).tolist()) == want
+        assert {k for k, x in enumerate(sets) if shingles.linked(sets[q], x)} <= set(want)
+
+
+def test_long_unrelated_texts_are_told_apart():
+    rng = np.random.default_rng(6)
+    shared = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, 5000, dtype=np.uint64)])) for _ in range(40)]
+    assert shingles.forest(prints_of(sets)) == []
+
+
+def test_needed_filter(spark):
+    keys = np.random.default_rng(7).integers(-(1 << 63), 1 << 63, 5000)
+    bits = shingles.filter_of(spark.createDataFrame([(int(k),) for k in keys], "_key long"), len(keys))
+    on = lambda k: bits[(at := shingles.positions(k, 8 * len(bits))) >> 3] >> (at & 7).astype(np.uint8) & 1
+    assert on(keys).all() and on(keys + 12345).mean() < 0.1
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b c d e f g", 1, 2, "x", 3), (2, "a b c d e f g", 1, 2, "y", 3), (3, "h i j", 1, 2, "z", 3), (3, "h i j", 1, 2, "z", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_id int, _key int, key string, least int")
+    got = shingles.keep_one(df)
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+    for part in (df, df.where("doc_id < 3")):
+        assert sorted(r.doc_id for r in simhash.keep_one(part).collect()) == sorted({r.doc_id for r in part.collect()} - {2})
 
 
 @pytest.mark.parametrize("ok", [True, False])
