@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..epochs import samples, traces
 from ..functions import maths as M
+from . import spectral, trace
 
 
 def trials(events: DataFrame, stimuli: list, responses: list, min_rt: float, max_rt: float, by: str = "recording") -> DataFrame:
@@ -131,6 +133,10 @@ def jump_scores(df: DataFrame) -> DataFrame:
     return scaled.groupBy("epoch_id", "point").agg(F.max("_s").alias("highest"), F.min("_s").alias("lowest"))
 
 
+def _collapsed(scores: DataFrame, column: str) -> DataFrame:
+    return scores.select("epoch_id", F.lit("collapsed").alias("channel"), "point", F.col(column).alias("value"))
+
+
 def artifacts(df: DataFrame, jump: float = 20.0, blocked: float = 0.003, min_points: int = 3) -> tuple[DataFrame, DataFrame]:
     """Jumps (epoch_id, point) and blocked stretches (epoch_id, start, end) of a recording."""
     scores = jump_scores(df)
@@ -139,6 +145,73 @@ def artifacts(df: DataFrame, jump: float = 20.0, blocked: float = 0.003, min_poi
     return jumps, true_ranges(still, ["epoch_id"], min_points, 0.0)
 
 
+def jump_peaks(df: DataFrame, jump: float = 20.0) -> DataFrame:
+    """(epoch_id, point) of jumps, each once: where the largest relative difference has a maximum of ``jump`` or more."""
+    return trace.extrema(_collapsed(jump_scores(df), "highest"), jump).where("code > 0").select("epoch_id", "point")
+
+
+def artifact_peaks(df: DataFrame, sfreq: float, threshold: float = 4.0, stop: tuple[float, float] = (30.0, 35.0)) -> DataFrame:
+    """(epoch_id, point) of phasic artefacts: maxima of ``threshold`` or more of the largest high-passed modulus over the channels, each divided by the median of its absolute differences.
+    What is below the first frequency of ``stop`` goes, what is above the second stays."""
+    w = Window.partitionBy("epoch_id", "channel").orderBy("point")
+    steps = df.withColumn("_d", F.abs(F.col("value") - F.lag("value").over(w))).where("_d is not null")
+    middle = steps.groupBy("epoch_id", "channel").agg(M.group_quantile(F.col("_d"), 0.5).alias("_m"))
+    half = sfreq / 2
+    passed = samples(spectral.fftfilter(traces(df), [(0.0, 0.0, stop[0] / half, stop[1] / half, 0.0)]))
+    scaled = passed.join(middle, ["epoch_id", "channel"]).withColumn("value", F.abs(M.ratio(F.col("value"), F.col("_m"))))
+    top = scaled.groupBy("epoch_id", "point").agg(F.max("value").alias("highest"))
+    return trace.extrema(_collapsed(top, "highest"), threshold).where("code > 0").select("epoch_id", "point")
+
+
+def shifted_epochs(recording: DataFrame, trials: DataFrame, before: int, after: int, baseline: bool = True) -> DataFrame:
+    """Epochs around a first event of each trial, moved so that a second one stands where it stands in the geometric mean over the trials of a condition: an average then shows both in place.
+
+    ``recording``: (recording, channel, pos, value); ``trials``: (recording, epoch_id, condition, at, second), positions of the two events. The result has before + after points and the column
+    shift, the mean distance in points. Each epoch has its baseline (the points before the first event) taken out; what lies before that is 0. A trial that would lie outside
+    altogether is left out. The second event must come later.
+    """
+    n = before + after
+    apart = F.col("second") - F.col("at")
+    shift = trials.groupBy("condition").agg(F.rint(F.exp(F.avg(F.log(apart)))).cast("int").alias("shift"))
+    placed = trials.join(shift, "condition").withColumn("_from", (apart - F.col("shift")).cast("int")).where(F.col("_from") + n > 0)
+    rows = placed.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_i", F.col("_from") + F.col("point"))
+    rows = rows.withColumn("pos", F.when(F.col("_i") >= 0, F.col("at") - before + F.col("_i")))
+    if baseline:
+        at = placed.withColumn("pos", F.explode(F.sequence(F.col("at") - before, F.col("at") - 1)))
+        means = at.join(recording, ["recording", "pos"]).groupBy("epoch_id", "channel").agg(F.avg("value").alias("_base"))
+    else:
+        means = placed.select("recording", "epoch_id").join(recording.select("recording", "channel").distinct(), "recording").select("epoch_id", "channel", F.lit(0.0).alias("_base"))
+    wide = rows.join(means, "epoch_id").join(recording.select("recording", "channel", "pos", "value"), ["recording", "channel", "pos"], "left")
+    value = F.when(F.col("_i") < 0, 0.0).otherwise(F.coalesce(F.col("value") - F.col("_base"), F.lit(0.0)))
+    return wide.select("epoch_id", "condition", "channel", "point", "shift", value.alias("value"))
+
+
+def z_crossings(averages: DataFrame, threshold: float, blocks: list[tuple[float, float, float, float, float]] | None = ((0.5, 0.55, 1.0, 1.0, 0.0),), raw: bool = False) -> DataFrame:
+    """Where z-scores of averages (epoch_id, channel, point, x, t, n: t over the root of n epochs) cross a threshold after the trigger. They are low-passed first (``blocks``, as ``fftfilter`` takes them; None: not)."""
+    held = averages.select("epoch_id", "channel", "point", F.col("t").alias("value"))
+    smooth = samples(spectral.fftfilter(traces(held), list(blocks))) if blocks else held
+    met = smooth.join(averages.select("epoch_id", "channel", "point", "x", "n"), ["epoch_id", "channel", "point"]).where("x >= 0")
+    scaled = met if raw else met.withColumn("value", F.col("value") / F.sqrt("n"))
+    found = trace.crossings(scaled, threshold)
+    return found.join(averages.select("epoch_id", "channel", "point", "x"), ["epoch_id", "channel", "point"]).select("epoch_id", "channel", "x", "code")
+
+
+def artifact_components(artifact: DataFrame, weights: DataFrame, cutoff: float) -> DataFrame:
+    """(k, importance) of components (k, channel, weight) that matter for an averaged artefact (channel, point, value): the mean modulus of each one's activation over that of the strongest, ``cutoff`` or more."""
+    activation = artifact.join(weights, "channel").groupBy("point", "k").agg(F.sum(F.col("value") * F.col("weight")).alias("_a"))
+    mean = activation.groupBy("k").agg(F.avg(F.abs("_a")).alias("_m"))
+    top = mean.agg(F.max("_m").alias("_top"))
+    return mean.join(F.broadcast(top)).select("k", M.ratio(F.col("_m"), F.col("_top")).alias("importance")).where(F.col("importance") >= cutoff)  # one row
+
+
+def without_components(df: DataFrame, weights: DataFrame, maps: DataFrame, components: DataFrame) -> DataFrame:
+    """Every map minus what the components (k) put into it: activations by ``weights`` (k, channel, weight) times ``maps`` (k, channel, weight)."""
+    gone = components.select("k")
+    activation = df.join(weights.join(gone, "k", "left_semi"), "channel").groupBy("epoch_id", "point", "k").agg(F.sum(F.col("value") * F.col("weight")).alias("_a"))
+    part = activation.join(maps, "k").groupBy("epoch_id", "point", "channel").agg(F.sum(F.col("_a") * F.col("weight")).alias("_p"))
+    return df.join(part, ["epoch_id", "point", "channel"], "left").withColumn("value", F.col("value") - F.coalesce("_p", F.lit(0.0))).select(*df.columns)
+
+
 def slow_waves(extrema: DataFrame, by: list[str]) -> DataFrame:
     """Between successive negative extrema the largest positive one, with times and amplitudes of the three. ``extrema``: (by, at, value, code)."""
     w = Window.partitionBy(*by).orderBy("at")

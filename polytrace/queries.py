@@ -613,6 +613,11 @@ JUMP = f"""WITH {S4}, d AS (SELECT epoch_id, channel, point, abs(value - lag(val
  m AS (SELECT epoch_id, channel, {SQL_Q.format(q=0.5)} AS m FROM k GROUP BY 1, 2), h AS (SELECT epoch_id, point, max(value / m) AS highest, min(value / m) AS lowest FROM k JOIN m USING (epoch_id, channel) GROUP BY 1, 2)"""
 register("jump_scores", lambda spark, d: paradigm.jump_scores(epochs4(spark, d)).select("epoch_id", "point", plain(F.col("highest"), 4).alias("highest"), plain(F.col("lowest"), 4).alias("lowest")), JUMP + " SELECT epoch_id, point, round(highest, 4) + 0.0 AS highest, round(lowest, 4) + 0.0 AS lowest FROM h")
 register("artifact_jumps", lambda spark, d: paradigm.artifacts(epochs4(spark, d), 3.0)[0], JUMP + " SELECT epoch_id, point FROM h WHERE highest >= 3")
+register(
+    "artifact_jump_peaks",
+    lambda spark, d: paradigm.jump_peaks(epochs4(spark, d), 3.0),
+    JUMP + ", n AS (SELECT *, lag(highest) OVER (PARTITION BY epoch_id ORDER BY point) AS before, lead(highest) OVER (PARTITION BY epoch_id ORDER BY point) AS after FROM h) SELECT epoch_id, point FROM n WHERE highest >= 3 AND before < highest AND after <= highest",
+)
 register(
     "sessions",
     lambda spark, d: recordings(spark, d).withColumn("_p", F.lag("at").over(Window.partitionBy("recording").orderBy("at", "tie"))).withColumn("_n", F.coalesce((F.col("at") - F.col("_p") > 43200).cast("int"), F.lit(1))).withColumn("session", F.sum("_n").over(Window.partitionBy("recording").orderBy("at", "tie"))).groupBy("recording", "session").agg(F.count("*").alias("n"), plain(F.sum("value"), 4).alias("value")),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.maths import plain
-from .operators import elementwise, joins, shape
+from .operators import collect, elementwise, joins, paradigm, shape
 from .plans.script import compile_script
 from .queries import POINTS, S4, epochs4, metadata, out, register
 from .sources import files, simulate
@@ -290,3 +290,62 @@ register(
     """WITH c AS (SELECT CAST(k AS BIGINT) AS k, factorial(9) / (factorial(CAST(k AS INTEGER)) * factorial(CAST(9 - k AS INTEGER))) AS n FROM range(10) t(k)), p AS (SELECT a.k, 2 * sum(c.n) / 512.0 AS p FROM range(10) a(k), c WHERE c.k >= greatest(a.k, 9 - a.k) GROUP BY a.k)
  SELECT vec_id AS epoch_id, round(p::DOUBLE, 8) + 0.0 AS p, round(CASE WHEN label > 4 THEN -log10(p) ELSE log10(p) END, 6) + 0.0 AS log, round((2 * label - 9) / 9.0, 6)::DOUBLE + 0.0 AS difference FROM embeddings JOIN p ON p.k = label""",
 )
+
+# ------------------------------------------------------------------ composites
+
+
+def _shifted(spark: SparkSession, d: str) -> DataFrame:
+    """Trials of two events each, one a vector: the second follows 1 to 5 points after the first."""
+    df = epochs4(spark, d)
+    order = df.select("epoch_id", "condition").distinct().withColumn("_no", F.row_number().over(Window.partitionBy("condition").orderBy("epoch_id")) - 1)
+    at = (F.col("_no") * POINTS + 4).cast("long")
+    trials = order.select(F.concat(F.lit("label"), F.col("condition").cast("string")).alias("recording"), "epoch_id", "condition", at.alias("at"), (at + 1 + F.col("_no") % 5).alias("second"))
+    made = paradigm.shifted_epochs(label_recordings(spark, d), trials, 3, 8)
+    return made.select("epoch_id", "channel", "point", "shift", plain(F.col("value"), 6).alias("value"))
+
+
+register(
+    "shifted_epochs",
+    _shifted,
+    f"""WITH {LR}, t AS (SELECT DISTINCT 'label' || CAST(condition AS VARCHAR) AS recording, epoch_id, condition, no * {POINTS} + 4 AS "at", 1 + no % 5 AS d FROM o), h AS (SELECT condition, CAST(round_even(exp(avg(ln(d))), 0) AS INTEGER) AS shift FROM t GROUP BY 1),
+ w AS (SELECT recording, epoch_id, shift, "at", CAST(k AS INTEGER) AS point, d - shift + k AS i FROM t JOIN h USING (condition), range(11) u(k) WHERE d - shift + 11 > 0), b AS (SELECT t.epoch_id, r.channel, avg(r.value) AS base FROM t JOIN r ON r.recording = t.recording AND r.pos BETWEEN t."at" - 3 AND t."at" - 1 GROUP BY 1, 2)
+ SELECT w.epoch_id, b.channel, w.point, w.shift, round(CASE WHEN i < 0 THEN 0 ELSE coalesce(r.value - b.base, 0) END, 6) + 0.0 AS value FROM w JOIN b USING (epoch_id) LEFT JOIN r ON r.recording = w.recording AND r.channel = b.channel AND r.pos = w."at" - 3 + i""",
+)
+
+
+def _z_crossings(spark: SparkSession, d: str) -> DataFrame:
+    means = collect.average(epochs4(spark, d), by=["condition"], t_test=True).withColumn("epoch_id", F.col("condition")).withColumn("x", (F.col("point") - 4) * 10.0)
+    return paradigm.z_crossings(means, 0.1, None).select("epoch_id", "channel", "x", "code")
+
+
+register(
+    "z_crossings",
+    _z_crossings,
+    f"""WITH {S4}, m AS (SELECT condition, channel, point, avg(value) / sqrt((sum(value * value) - sum(value) * sum(value) / count(*)) / (count(*) * (count(*) - 1))) / sqrt(count(*)) AS z FROM s WHERE point >= 4 GROUP BY 1, 2, 3 HAVING count(*) > 1),
+ l AS (SELECT *, z >= 0.1 AS above, lag(z >= 0.1) OVER (PARTITION BY condition, channel ORDER BY point) AS before FROM m) SELECT condition AS epoch_id, channel, ((point - 4) * 10.0)::DOUBLE AS x, CASE WHEN above THEN 1 ELSE -1 END AS code FROM l WHERE above <> before""",
+)
+
+
+def _components(spark: SparkSession, d: str) -> DataFrame:
+    mean = epochs4(spark, d).groupBy("channel", "point").agg(F.avg("value").alias("value"))
+    return paradigm.artifact_components(mean, _templates(spark, d, "channel"), 0.0).select("k", plain(F.col("importance"), 5).alias("importance"))
+
+
+WEIGHTS = ", t AS (SELECT epoch_id % 2 AS k, channel, avg(value) AS w FROM s GROUP BY 1, 2)"
+register(
+    "artifact_components",
+    _components,
+    f"WITH {S4}{WEIGHTS}, a AS (SELECT channel, point, avg(value) AS v FROM s GROUP BY 1, 2), c AS (SELECT point, k, sum(v * w) AS c FROM a JOIN t USING (channel) GROUP BY 1, 2), m AS (SELECT k, avg(abs(c)) AS m FROM c GROUP BY 1) SELECT k, round(m / max(m) OVER (), 5) + 0.0 AS importance FROM m",
+)
+
+
+def _without(spark: SparkSession, d: str) -> DataFrame:
+    weights = _templates(spark, d, "channel")
+    return out(paradigm.without_components(epochs4(spark, d), weights, weights, weights.where("k = 1").select("k").distinct()), digits=5)
+
+
+register(
+    "without_components",
+    _without,
+    f"WITH {S4}{WEIGHTS}, c AS (SELECT epoch_id, point, sum(value * w) AS c FROM s JOIN t USING (channel) WHERE k = 1 GROUP BY 1, 2) SELECT epoch_id, s.channel, point, round(value - c * w, 5) + 0.0 AS value FROM s JOIN c USING (epoch_id, point) JOIN t ON t.channel = s.channel AND t.k = 1",
+)

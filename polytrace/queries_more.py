@@ -258,6 +258,22 @@ register(
     "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type AS channel, count(*) AS n, round(sum(value), 4) + 0.0 AS sum, round(max(value), 6) + 0.0 AS max FROM events GROUP BY ALL",
 )
 register("stream_average", lambda spark, d: run.completed(stateful.running_average(_event_stream(spark, d), ["channel"])).select("channel", "n", plain(F.col("value"), 6).alias("value")), "SELECT event_type AS channel, count(*) AS n, round(avg(value), 6) + 0.0 AS value FROM events GROUP BY 1")
+register(
+    "stream_hopping",
+    lambda spark, d: run.completed(stateful.windowed(_event_stream(spark, d), "ts", "2 days", "1 day", by=["channel"])).select(F.unix_seconds("start").alias("start"), "channel", "n", plain(F.col("sum"), 4).alias("sum")),
+    "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) - 86400 * k AS start, event_type AS channel, count(*) AS n, round(sum(value), 4) + 0.0 AS sum FROM events, range(2) t(k) GROUP BY ALL",
+)
+register(
+    "stream_sessions",
+    lambda spark, d: run.completed(stateful.sessions(_event_stream(spark, d), "ts", "1 hour", ["channel"])).select("channel", F.unix_micros("start").alias("start"), "n"),
+    """WITH p AS (SELECT event_type AS channel, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS f FROM events), q AS (SELECT *, sum(f) OVER (PARTITION BY channel ORDER BY ts) AS g FROM p)
+ SELECT channel, CAST(epoch_us(min(ts)) AS BIGINT) AS start, count(*) AS n FROM q GROUP BY channel, g""",
+)
+register(
+    "stream_integrate",
+    lambda spark, d: run.finished(stateful.integrate(_event_stream(spark, d).drop("ts"))).select("channel", "pos", plain(F.col("value"), 4).alias("value")),
+    "SELECT event_type AS channel, event_id AS pos, round(sum(value) OVER (PARTITION BY event_type ORDER BY event_id), 4) + 0.0 AS value FROM events",
+)
 register(
     "stream_differentiate",
     lambda spark, d: run.finished(stateful.differentiate(_event_stream(spark, d).drop("ts"))).select("channel", "pos", plain(F.col("value"), 6).alias("value")),

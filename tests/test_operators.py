@@ -348,3 +348,33 @@ def test_pipeline_order(spark):
         Pipeline().branch("calc", "abs")
     with pytest.raises(KeyError):
         Pipeline().source(frame(spark, [{"A": [1]}])).then("no_such_thing")
+
+
+def test_artifact_peaks(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (2, 400))
+    x[1, 150] += 40
+    got = [r.point for r in paradigm.artifact_peaks(frame(spark, [{"A": x[0].tolist(), "B": x[1].tolist()}]), 100.0, threshold=8.0).collect()]
+    assert got == [150]
+
+
+def test_binomial_logarithms_stop(spark):
+    df = spark.createDataFrame([([5000.0, 1.0],), ([1.0, 5000.0],), ([3.0, 3.0],)], "items array<double>")
+    got = [r["items"][2:] for r in elementwise.binomial_items(df).collect()]
+    assert np.isclose(got[0][1], 126 * np.log10(2)) and np.isclose(got[1][1], -126 * np.log10(2)) and got[2][:2] == [1.0, 0.0]
+
+
+def test_largest_modulus_of_ties_is_the_first_channels(spark):
+    rows = [(0, c, f"C{c}", 0, v) for c, v in enumerate(([0.0, 1.0], [3.0, 4.0], [5.0, 0.0]))]
+    df = spark.createDataFrame(rows, "epoch_id long, channel_idx int, channel string, point int, items array<double>")
+    got = {r.channel: r["items"] for r in elementwise.zero_phase(df, "MAXAMP").collect()}
+    assert np.allclose(got["C1"], [5.0, 0.0]) and np.allclose(got["C2"], [3.0, -4.0])
+
+
+def test_votes_equal_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 5, 30).astype(float)
+    got = {r.point: r.value for r in collect.sign_votes(frame(spark, [{"A": x.tolist()}]), 8).collect()}
+    for p in range(30):
+        base = [x[k] for k in range(8) if k != p]
+        assert np.isclose(got[p], np.mean([1 if x[p] > b else -1 for b in base]))
