@@ -198,12 +198,27 @@ def subspace(df: DataFrame, vectors: DataFrame, across: str = "channel", remove:
 
 
 def overlapping(a: DataFrame, b: DataFrame, by: str, width: float) -> DataFrame:
-    """Pairs of intervals (start, end) that overlap, ends excluded. Both sides are spread over cells of ``width``, so that they meet by equality; a pair is reported in the first cell they share."""
-    spread = lambda df, x: df.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(f"{x}start") / width), F.floor(F.col(f"{x}end") / width))))
-    left = spread(a.select(by, F.col("start").alias("a_start"), F.col("end").alias("a_end")), "a_")
-    right = spread(b.select(by, F.col("start").alias("b_start"), F.col("end").alias("b_end")), "b_")
-    met = left.join(right, [by, "_cell"]).where((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")))
-    return met.where(F.col("_cell") == F.floor(F.greatest("a_start", "b_start") / width)).drop("_cell")
+    """Pairs of intervals (start, end) that overlap, ends excluded. Both sides are spread over cells, so that they meet by equality; a pair is reported in the first cell they share.
+
+    Cells have widths of ``width`` times powers of two. An interval has the level at which a cell is at least as long as it is, and stands in the cells (two at most) of that level and of the
+    coarser ones that occur; two meet at the coarser of their levels. So a long interval costs no more rows than a short one.
+    """
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        length = (F.col("end") - F.col("start")).cast("double")
+        level = F.when(length > width, F.ceil(F.log2(length / F.lit(float(width)))).cast("int")).otherwise(0)
+        return df.select(by, F.col("start").alias(f"{x}start"), F.col("end").alias(f"{x}end"), level.alias(f"_{x}level"))
+
+    def spread(df: DataFrame, x: str) -> DataFrame:
+        at = df.join(F.broadcast(levels)).withColumn("_level", F.explode("_levels")).where(F.col("_level") >= F.col(f"_{x}level")).drop("_levels")  # one row, a level for each doubling of lengths
+        cell = lambda c: F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(2.0), "_level")))
+        return at.withColumn("_cell", F.explode(F.sequence(cell(f"{x}start"), cell(f"{x}end"))))
+
+    left, right = side(a, "a_"), side(b, "b_")
+    levels = left.select(F.col("_a_level").alias("_l")).union(right.select("_b_level")).agg(F.collect_set("_l").alias("_levels"))
+    met = spread(left, "a_").join(spread(right, "b_"), [by, "_level", "_cell"]).where((F.col("_level") == F.greatest("_a_level", "_b_level")) & (F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")))
+    first = F.floor(F.greatest("a_start", "b_start") / (F.lit(float(width)) * F.pow(F.lit(2.0), "_level")))
+    return met.where(F.col("_cell") == first).select(by, "a_start", "a_end", "b_start", "b_end")
 
 
 def not_near(events: DataFrame, breaks: DataFrame, by: str, distance: float) -> DataFrame:

@@ -317,7 +317,7 @@ COLLECT: dict[str, Method] = {
     "null_sink": Method("", "", 0, 0, lambda o, f, b: (lambda df: df, (), {})),
 }
 #: Readers of recordings and the kind of file each reads.
-READERS = {"read_synamps": "cnt", "read_rec": "edf", "read_brainvision": "brainvision", "read_sound": "wave", "read_generic": "generic", "read_tucker": "simple_binary", "read_curry": "parameter_pair", "read_freiburg": "words", "read_neurofile": "differences", "read_sigma": "fields"}
+READERS = {"read_synamps": "cnt", "read_rec": "edf", "read_brainvision": "brainvision", "read_sound": "wave", "read_generic": "generic", "read_tucker": "simple_binary", "read_curry": "parameter_pair", "read_freiburg": "words", "read_neurofile": "differences", "read_sigma": "fields", "read_inomed": "volts", "read_labview": "blocks"}
 READ = Method("t f e o R s C", "c T", 3, 4, lambda o, f, b: None)
 
 

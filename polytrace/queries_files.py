@@ -71,7 +71,7 @@ def _quantised(kind: str, step: float):
     return query
 
 
-for _kind, _step in (("edf", 1e-3), ("wave", 1e-3), ("cnt", 0.01), ("words", 0.06), ("fields", 0.006)):
+for _kind, _step in (("edf", 1e-3), ("wave", 1e-3), ("cnt", 0.01), ("words", 0.06), ("fields", 0.006), ("volts", 1e-6)):
     register(f"files_{_kind}", _quantised(_kind, _step), f"WITH {LR} SELECT recording, channel_idx, count(*) AS n, count(*) AS near FROM r GROUP BY ALL")
 
 

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from ..functions import units
 from ..operators import joins
-from . import formats, formats_sleep
+from . import formats, formats_lab, formats_sleep
 
-DECODERS: dict[str, Callable[..., formats.Recording]] = {"generic": formats.decode_generic, "edf": formats.decode_edf, "simple_binary": formats.decode_simple_binary, "wave": formats.decode_wave, "cnt": formats.decode_cnt, "fields": formats_sleep.decode_fields}
-ENCODERS: dict[str, Callable[..., bytes]] = {"generic": formats.encode_generic, "edf": formats.encode_edf, "simple_binary": formats.encode_simple_binary, "wave": formats.encode_wave, "cnt": formats.encode_cnt, "fields": formats_sleep.encode_fields}
-SUFFIXES = {"edf": "*.{edf,rec,bdf}", "wave": "*.wav", "simple_binary": "*.raw", "cnt": "*.cnt", "fields": "*.dat", "generic": "*"}
+DECODERS: dict[str, Callable[..., formats.Recording]] = {"generic": formats.decode_generic, "edf": formats.decode_edf, "simple_binary": formats.decode_simple_binary, "wave": formats.decode_wave, "cnt": formats.decode_cnt, "fields": formats_sleep.decode_fields, "volts": formats_lab.decode_volts, "blocks": formats_lab.decode_blocks}
+ENCODERS: dict[str, Callable[..., bytes]] = {"generic": formats.encode_generic, "edf": formats.encode_edf, "simple_binary": formats.encode_simple_binary, "wave": formats.encode_wave, "cnt": formats.encode_cnt, "fields": formats_sleep.encode_fields, "volts": formats_lab.encode_volts, "blocks": formats_lab.encode_blocks}
+SUFFIXES = {"edf": "*.{edf,rec,bdf}", "wave": "*.wav", "simple_binary": "*.raw", "cnt": "*.cnt", "fields": "*.dat", "volts": "*.emg", "blocks": "*.lv", "generic": "*"}
 _ROWS = 1 << 18
 
 
@@ -225,7 +225,7 @@ def encoded(recordings: DataFrame, kind: str, triggers: DataFrame | None = None,
     return recordings.groupBy("recording").cogroup(marks.groupBy("recording")).applyInPandas(together, schema)
 
 
-WRITTEN = {"edf": ".edf", "wave": ".wav", "simple_binary": ".raw", "cnt": ".cnt", "generic": ".dat", "fields": ".dat"}
+WRITTEN = {"edf": ".edf", "wave": ".wav", "simple_binary": ".raw", "cnt": ".cnt", "generic": ".dat", "fields": ".dat", "volts": ".emg", "blocks": ".lv"}
 
 
 def file_name(recording: str) -> str:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from polytrace.plans.script import compile_script
-from polytrace.sources import files, formats, formats_sleep
+from polytrace.sources import files, formats, formats_lab, formats_sleep
 
 
 def plain_words(data, n):
@@ -68,6 +68,20 @@ def test_field_files():
     assert back.channels == r.channels and back.sfreq == 250.0 and np.allclose(back.values, r.values, atol=1e-9)
 
 
+def test_volt_files():
+    r = formats.Recording(2000.0, ["M. tib.", "", "x"], np.random.default_rng(4).normal(size=(3, 70)))
+    back = formats_lab.decode_volts(formats_lab.encode_volts(r))
+    assert back.channels == ["M. tib.", "2", "x"] and back.sfreq == 2000.0 and np.allclose(back.values, r.values, rtol=1e-6)
+    assert formats_lab.decode_volts(formats_lab.encode_volts(r)[:-5]).values.shape == (3, 69)
+
+
+@pytest.mark.parametrize("seconds", [0, 1, 128, 129, 300])
+def test_block_files(seconds):
+    r = formats.Recording(5.0, ["1", "2"], np.arange(2 * 5 * seconds, dtype=float).reshape(2, -1))
+    back = formats_lab.decode_blocks(formats_lab.encode_blocks(r))
+    assert back.values.shape == (2 if seconds else 0, 5 * seconds) and back.values.tolist() == (r.values.tolist() if seconds else [])
+
+
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("stored"))
@@ -140,3 +154,16 @@ def test_convolution_equals_plain_sums(size, step):
         first, last = max(m - left, 0), min(m + right - 1, 59)
         want = sum(x[i] * cut[i - first] for i in range(first, last + 1) if i - first < len(cut)) / len(cut)
         assert np.isclose(v, want)
+
+
+def test_overlaps_of_very_different_lengths(spark):
+    import random
+
+    from polytrace.operators import joins
+
+    rng = random.Random(6)
+    make = lambda n: [(rng.randrange(2), float(s := rng.uniform(-50, 500)), float(s + rng.choice((0.5, 3, 40, 900, 1e9)) * rng.random())) for _ in range(n)]
+    a, b = make(60), make(80)
+    frames = [spark.createDataFrame(x, "rec int, start double, end double") for x in (a, b)]
+    got = sorted((r.rec, r.a_start, r.a_end, r.b_start, r.b_end) for r in joins.overlapping(*frames, "rec", 2.0).collect())
+    assert got == sorted((x[0], x[1], x[2], y[1], y[2]) for x in a for y in b if x[0] == y[0] and x[1] < y[2] and y[1] < x[2])
