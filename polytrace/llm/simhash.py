@@ -15,7 +15,7 @@ spanning forest of their links, not all pairs.
 Components come from contracting the link graph round by round on the cluster, each round written to the shared folder.
 
 Defined results: null or empty text has fingerprint 0 and links like any other; fewer than
-three words are one shingle; rows with equal ids are separate rows of one component each by its own text;
+three words are one shingle; a bit set in exactly half the hashes is 0; very long texts are hashed whole, 65,536 shingles at a time; rows with equal ids are separate rows of one component each by its own text;
 a null id never names a component (one of null ids only has a null component_id); an empty table gives no rows; other columns are not read.
 """
 

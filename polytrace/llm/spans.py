@@ -12,7 +12,7 @@ all documents share lands in no single task. A hash of 64 bits makes
 one wrong link in N^2 / 2^65 for N different runs.
 
 Defined results: null text stays null, empty stays empty; a document without an id gives nobody's passage a first holder and
-loses only its own repeats; rows with equal ids count as one document; an empty table gives no rows; all other columns stay,
+loses only its own repeats; rows with equal ids count as one document, so of repeated rows each keeps its passages; very long texts are cut and hashed whole; an empty table gives no rows; all other columns stay,
 except that names of the four result columns are taken over.
 """
 
