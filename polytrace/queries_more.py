@@ -195,8 +195,22 @@ register(
  g AS (SELECT *, sum(CASE WHEN code < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY epoch_id ORDER BY point) AS g FROM c WHERE code IS NOT NULL), w AS (SELECT epoch_id, g, min(point) FILTER (code < 0) AS start, max(value) FILTER (code < 0) AS trough, max_by(point, value) FILTER (code > 0) AS peak_at, max(value) FILTER (code > 0) AS peak FROM g WHERE g > 0 GROUP BY 1, 2),
  e AS (SELECT *, lead(start) OVER (PARTITION BY epoch_id ORDER BY g) AS "end" FROM w) SELECT epoch_id, start, "end", peak_at, round(peak, 6) + 0.0 AS peak, round(trough, 6) + 0.0 AS trough FROM e WHERE "end" IS NOT NULL AND peak IS NOT NULL""",
 )
-register("code_sequences", lambda spark, d: paradigm.code_sequences(recordings(spark, d).select("recording", "at", "code", "tie"), {("view", "click"): "view>click", ("view", "click", "purchase"): "funnel"}, 86400.0).groupBy("recording", "code").count().withColumnRenamed("count", "n"))
-register("sleep_cycles", lambda spark, d: paradigm.sleep_cycles(recordings(spark, d).select("recording", F.col("pos").cast("double").alias("at"), F.pmod("tie", F.lit(6)).cast("int").alias("stage")), "recording", 5.0).groupBy("recording").agg(F.max("cycle").alias("cycles")))
+register(
+    "code_sequences",
+    lambda spark, d: paradigm.code_sequences(recordings(spark, d).select("recording", "at", "code", "tie"), {("view", "click"): "view>click", ("view", "click", "purchase"): "funnel"}, 86400.0).groupBy("recording", "code").count().withColumnRenamed("count", "n"),
+    f"""WITH RECURSIVE {EV}, l AS MATERIALIZED (SELECT recording, pos, code, lead(code) OVER w AS c1, lead(code, 2) OVER w AS c2, lead("at") OVER w - "at" AS a1, lead("at", 2) OVER w - "at" AS a2 FROM e WINDOW w AS (PARTITION BY recording ORDER BY pos)),
+ m AS MATERIALIZED (SELECT *, CASE WHEN code = 'view' AND c1 = 'click' AND c2 = 'purchase' AND a2 <= 86400 THEN 3 WHEN code = 'view' AND c1 = 'click' AND a1 <= 86400 THEN 2 ELSE 1 END AS len FROM l),
+ k(recording, pos) AS (SELECT DISTINCT recording, CAST(0 AS BIGINT) FROM m UNION ALL SELECT k.recording, k.pos + m.len FROM k JOIN m ON m.recording = k.recording AND m.pos = k.pos)
+ SELECT recording, CASE len WHEN 3 THEN 'funnel' WHEN 2 THEN 'view>click' ELSE code END AS code, count(*) AS n FROM k JOIN m USING (recording, pos) GROUP BY 1, 2""",
+)
+register(
+    "sleep_cycles",
+    lambda spark, d: paradigm.sleep_cycles(recordings(spark, d).select("recording", F.col("pos").cast("double").alias("at"), F.pmod("tie", F.lit(6)).cast("int").alias("stage")), "recording", 5.0).groupBy("recording").agg(F.max("cycle").alias("cycles")),
+    f"""WITH RECURSIVE {EV}, r AS MATERIALIZED (SELECT recording, CAST(pos AS BIGINT) AS pos, CAST(tie % 6 AS INTEGER) AS stage FROM e), w(recording, pos, cycle, onset, last) AS (SELECT DISTINCT recording, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), false, CAST(NULL AS BIGINT) FROM r
+ UNION ALL SELECT r.recording, r.pos, cycle + CASE WHEN NOT onset AND stage >= 2 OR onset AND last IS NOT NULL AND stage <> 5 AND r.pos - last >= 5 THEN 1 ELSE 0 END, onset OR stage >= 2, CASE WHEN stage = 5 THEN r.pos WHEN onset AND last IS NOT NULL AND r.pos - last >= 5 THEN NULL ELSE last END
+  FROM w JOIN r ON r.recording = w.recording AND r.pos = w.pos + 1)
+ SELECT recording, max(CASE WHEN onset THEN cycle ELSE 0 END) AS cycles FROM w WHERE pos >= 0 GROUP BY 1""",
+)
 register(
     "binomial_items",
     lambda spark, d: elementwise.binomial_items(metadata(spark, d).select("epoch_id", F.array(F.lit(0.5), (F.col("condition") + 1).cast("double"), F.lit(4.0)).alias("items"))).select("epoch_id", F.size("items").alias("n"), plain(F.col("items")[5], 6).alias("difference")),
