@@ -130,34 +130,36 @@ class GRU:
             np.clip(bias, -most, most, out=bias)
 
     def backward(self, x: np.ndarray, keep: np.ndarray, tape: list, dout: np.ndarray, grads: dict[str, np.ndarray]) -> None:
-        """Gradients of a window from those of its states."""
+        """Gradients of a window from those of its states. What does not follow the recursion is done for all steps at once."""
         hid, u = self.hidden, self["u"]
         dg = np.empty((*x.shape, 3 * hid), dout.dtype)
+        through, before = np.empty_like(dg), np.empty_like(dout)
         dh, back = np.zeros_like(dout[0]), np.ascontiguousarray(u.T)
         for t in range(len(x) - 1, -1, -1):
             h, zr, n, rn = tape[t]
+            before[t] = h
             dh += dout[t]
-            z, reset, g = zr[:, :hid], zr[:, hid:], dg[t]
+            z, reset, g, into = zr[:, :hid], zr[:, hid:], dg[t], through[t]
             dan = g[:, 2 * hid :]
             np.multiply(n, n, out=dan)
             np.subtract(1, dan, out=dan)
             dan *= dh
-            slope = zr * (1 - zr)
+            slope = 1 - zr
+            slope *= zr
             dz = g[:, :hid]
             np.subtract(h, n, out=dz)
             dz *= dh
             dan -= z * dan
-            dz *= slope[:, :hid]
             dr = g[:, hid : 2 * hid]
             np.multiply(dan, rn, out=dr)
-            dr *= slope[:, hid:]
-            through = g.copy()
-            through[:, 2 * hid :] *= reset
-            grads["u"] += h.T @ through
+            g[:, : 2 * hid] *= slope
+            into[:, : 2 * hid] = g[:, : 2 * hid]
+            np.multiply(dan, reset, out=into[:, 2 * hid :])
             dh *= z
-            dh += through @ back
+            dh += into @ back
             if not keep[t].all():
                 dh *= keep[t][:, None]
+        grads["u"] += before.reshape(-1, hid).T @ through.reshape(-1, 3 * hid)
         ids = x.ravel()
         order = np.argsort(ids.astype(np.int16), kind="stable")
         sorted_ids = ids[order]
@@ -166,17 +168,24 @@ class GRU:
 
 
 class Lanes:
-    """Whole documents dealt out to lanes, the longest first and each to the shortest lane; lanes by falling length."""
+    """Documents dealt out to lanes, the longest first and each to the shortest lane; lanes by falling length."""
 
-    def __init__(self, docs: list[np.ndarray], lanes: int):
-        """docs: symbols of each document without the end."""
+    def __init__(self, docs: list[np.ndarray], lanes: int, piece: int = 0):
+        """docs: symbols of each document without the end. With ``piece`` longer ones are cut, and each cut starts anew from the symbol before it: lanes
+        are then about equally long, whatever the documents."""
+        after, before = [1] * len(docs), [0] * len(docs)  # whether the end follows, and the symbol before
+        if piece and any(len(d) > piece for d in docs):
+            cuts = [(d, a) for d in docs for a in range(0, max(1, len(d)), piece)]
+            after = [int(a + piece >= len(d)) for d, a in cuts]
+            before = [int(d[a - 1]) if a else 0 for d, a in cuts]
+            docs = [d[a : a + piece] for d, a in cuts]
         lanes = max(1, min(lanes, len(docs)))
         load = [(0, k) for k in range(lanes)]
         dealt: list[list[int]] = [[] for _ in range(lanes)]
         for k in sorted(range(len(docs)), key=lambda k: -len(docs[k])):
             n, lane = heapq.heappop(load)
             dealt[lane].append(k)
-            heapq.heappush(load, (n + len(docs[k]) + 1, lane))
+            heapq.heappush(load, (n + len(docs[k]) + after[k], lane))
         length = {lane: n for n, lane in load}
         order = sorted(range(lanes), key=lambda lane: -length[lane])
         self.steps = length[order[0]] if order else 0
@@ -189,10 +198,12 @@ class Lanes:
             top = 0
             for k in dealt[lane]:
                 d = docs[k]
-                end = top + len(d) + 1
-                self.x[top + 1 : end, at] = d
-                self.y[top : end - 1, at] = d
-                self.y[end - 1, at] = 0
+                end = top + len(d) + after[k]
+                self.x[top, at] = before[k]
+                self.x[top + 1 : end, at] = d[: end - top - 1]
+                self.y[top : top + len(d), at] = d
+                if after[k]:
+                    self.y[end - 1, at] = 0
                 self.keep[top, at] = 0
                 self.place[k] = (at, top, end)
                 top = end
@@ -221,11 +232,11 @@ def score(model: GRU, docs: list[np.ndarray], lanes: int = 256, window: int = 32
     return np.array([lp[top:end, lane].sum(dtype=np.float64) for lane, top, end in line.place])
 
 
-def train(model: GRU, docs: list[np.ndarray], memory: np.ndarray, lanes: int = 128, window: int = 24, rate: float = 0.08) -> float:
+def train(model: GRU, docs: list[np.ndarray], memory: np.ndarray, lanes: int = 256, window: int = 32, rate: float = 0.1, piece: int = 768) -> float:
     """One pass of truncated backpropagation with Adagrad (``memory``: its sums of squares). Returns the summed log probability met on the way."""
     if not docs:
         return 0.0
-    line, met = Lanes(docs, lanes), 0.0
+    line, met = Lanes(docs, lanes, piece), 0.0
     share = np.float32(1 / max(1, min(window, line.steps) * line.x.shape[1]) ** 0.5)  # of a full window: the last lanes' tokens weigh no more than others
     flat = np.zeros_like(model.p)
     grads_of = GRU(model.classes, model.hidden, flat=flat)

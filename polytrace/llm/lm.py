@@ -8,11 +8,13 @@ the vocabulary may grow without bound.
 The network's symbols are the end, the most frequent words, and six groups for all other words (by final mark and by
 whether they leave ASCII). P(word) of a grouped word is P(group) times its add-one share of the group,
 with one place for words never seen, so that the probabilities of all words sum to at most 1. Output biases come from the
-counts. The weights are warmed up on ``WARM_DOCS`` documents on the driver; then every task trains its own copy
-on all of its training documents (one in ``TRAIN_ONE_IN``, for trials), and the copies are averaged by tokens. Documents are then scored whole,
+counts. The weights are warmed up on ``WARM_DOCS`` documents on the driver. Then all training documents are dealt to ``ROUNDS`` rounds by their texts' hashes: in each,
+every task trains its own copy on all of its documents of that round (one in ``TRAIN_ONE_IN``, for trials), from the last round's weights and the sums of squared gradients
+of the warm-up, and the copies are averaged by tokens. In training, documents longer than a piece are cut, so that all lanes are full. Documents are then scored whole,
 in lanes that carry their state from window to window.
 
-Defined results: null or empty text is the end alone; a null id counts as training; without training documents all counts are 0;
+Defined results: null or empty text is the end alone; a null id counts as training; without training documents all counts are 0; words of equal counts are
+numbered by the alphabet; very long texts are read whole;
 repeated rows are scored alike (and count each); an empty table gives no rows; other columns are not read.
 """
 
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from . import common, gru
 
 HEAD, CLASSES, GROUPS = 65_536, 64, 6
-WARM_DOCS, WARM_CHARS, WARM_PASSES = 300, 20_000, 2
-TRAIN_ONE_IN = 1
+WARM_DOCS, WARM_PASSES = 300, 2
+ROUNDS, TRAIN_ONE_IN = 2, 1
 #: Tokens that a task holds at once, and distinct words that it counts at once.
 BLOCK_TOKENS, BLOCK_WORDS = 3_000_000, 400_000
 CHUNKS = 128
@@ -127,32 +129,33 @@ def vocabulary(counts: DataFrame, head: int, classes: int) -> tuple[Vocabulary,
     return Vocabulary(rows, ends, total, distinct, groups, classes), min((n for _, n in rows), default=1 << 62)
 
 
-def warmed(rows: DataFrame, vocab: Vocabulary, classes: int, hidden: int) -> gru.GRU:
-    """The network after training on a bounded sample: the documents of moderate length whose hashes are smallest."""
+def warmed(rows: DataFrame, vocab: Vocabulary, classes: int, hidden: int) -> tuple[gru.GRU, np.ndarray]:
+    """The network after training on a bounded sample, the documents whose hashes are smallest; and its sums of squared gradients."""
     model = gru.GRU(classes, hidden)
     model.start_from(vocab.frequency)
-    fit = rows.where(~F.col("held_out") & (F.length("text") > 0) & (F.length("text") <= WARM_CHARS))
+    fit = rows.where(~F.col("held_out") & (F.length("text") > 0))
     docs = [vocab.read(r[0].encode())[0] for r in common.hash_sample(fit.select("text"), F.xxhash64("text"), WARM_DOCS, vocab.ends).collect()]
     memory = np.full_like(model.p, 0.1)
     for _ in range(WARM_PASSES):
         gru.train(model, docs, memory, lanes=32)
-    return model
+    return model, memory
 
 
-def averaged(rows: DataFrame, vocab, model: gru.GRU, one_in: int) -> gru.GRU:
+def averaged(rows: DataFrame, vocab, model: gru.GRU, one_in: int, memory: np.ndarray | None = None) -> gru.GRU:
     """The mean, weighted by tokens, of the copies that all tasks have trained."""
     weights = rows.sparkSession.sparkContext.broadcast(model.p)
+    met = rows.sparkSession.sparkContext.broadcast(np.full_like(model.p, 1.0) if memory is None else memory)
     classes, hidden = model.classes, model.hidden
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, docs, held, trained = gru.GRU(classes, hidden, flat=weights.value.copy()), [], 0, 0
-        memory = np.full_like(own.p, 1.0)
+        memory = met.value.copy()
         for b in common.sliced(batches, 500):
             for text in common.raw(b, "text"):
                 if xxhash.xxh64_intdigest(text, 1) % one_in == 0 and text:
                     docs.append(vocab.value.read(text)[0])
                     held += len(docs[-1]) + 1
-            if held >= BLOCK_TOKENS // 4:
+            if held >= BLOCK_TOKENS // 2:
                 gru.train(own, docs, memory)
                 docs, held, trained = [], 0, trained + held
         if docs:
@@ -189,7 +192,9 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = common.stored(counted(rows), "counts")
     words, least = vocabulary(counts, head, classes)
     vocab = spark.sparkContext.broadcast(words)
-    model = averaged(rows, vocab, warmed(rows, words, classes, hidden), train_one_in)
+    model, memory = warmed(rows, words, classes, hidden)
+    for k in range(ROUNDS):
+        model = averaged(rows.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k), vocab, model, train_one_in, memory)
     weights = spark.sparkContext.broadcast(model.p)
     tail_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 

@@ -37,6 +37,24 @@ def test_sparse_updates_equal_dense_ones():
         plain.backward(line.x, line.keep, tape, dout, grads)
         flat *= np.float32(1 / int(on.sum()) ** 0.5)
         sums += flat * flat
-        plain.p -= np.float32(0.08) * flat / np.sqrt(sums)
+        plain.p -= np.float32(0.1) * flat / np.sqrt(sums)
         plain.tame()
     assert np.allclose(model.p, plain.p, atol=1e-6) and np.allclose(memory, sums, atol=1e-6)
+
+
+def test_cut_documents_keep_every_token():
+    """Pieces hold each symbol once as a target, after the symbol before it; the end follows the last piece alone."""
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(1, 100, n).astype(np.int32) for n in (0, 1, 3, 4, 5, 8, 9, 40, 41)]
+    line = gru.Lanes(docs, 3, 4)
+    on = line.y >= 0
+    assert sorted(line.y[on].tolist()) == sorted([s for d in docs for s in [*d.tolist(), 0]])
+    pairs = sorted(zip(line.x[on].tolist(), line.y[on].tolist(), strict=True))
+    assert pairs == sorted([p for d in docs for p in zip([0, *d.tolist()], [*d.tolist(), 0], strict=True)])
+    assert line.lengths.max() - line.lengths.min() <= 5
+
+
+def test_training_helps_on_held_out_text(spark):
+    d = "/root/testdata/sf0.01"
+    got = lm.score_documents(spark.read.parquet(f"{d}/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert got[0] / got[2] > got[1] / got[2] + 0.2 and got[0] / got[2] > -3.87
