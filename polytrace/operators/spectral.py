@@ -232,19 +232,27 @@ def svdecomp(df: DataFrame, n: int, maps: bool = False) -> DataFrame:
     return map_epochs(df, kernel)
 
 
-def infomax(x: np.ndarray, n: int, steps: int = 200, rate: float = 0.1, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Independent components of channels x points by the extended infomax rule after whitening to n dimensions: (maps as columns, activations)."""
+def infomax(x: np.ndarray, n: int, steps: int = 2000, rate: float = 0.1, seed: int | None = None, every: int = 1, least: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Independent components of channels x points by the extended infomax rule after whitening to n dimensions: (maps as columns, activations).
+
+    It starts from the whitened axes, or from a rotation drawn by ``seed``; the kind of each component is looked at every so many steps, and it ends when a step changes the weights by
+    less than ``least`` of their size, or after ``steps``."""
     centred = x - x.mean(axis=1, keepdims=True)
     values, vectors = np.linalg.eigh(centred @ centred.T / x.shape[1])
     order = np.argsort(-values)[:n]
     scale = np.sqrt(np.maximum(values[order], 1e-300))
     white = (vectors[:, order] / scale).T @ centred
-    w, m = np.eye(n), white.shape[1]
+    w, m = np.eye(n) if seed is None else np.linalg.qr(np.random.default_rng(seed).normal(size=(n, n)))[0], white.shape[1]
+    k = np.ones(n)
     for step in range(steps):
         u = w @ white
-        kurtosis = (u**4).mean(axis=1) - 3 * (u**2).mean(axis=1) ** 2
-        k = np.where(kurtosis >= 0, 1.0, -1.0)
-        w = w + rate / (1 + step / 50) * (np.eye(n) - k[:, None] * (np.tanh(u) @ u.T) / m - u @ u.T / m) @ w
+        if step % every == 0:
+            kurtosis = (u**4).mean(axis=1) - 3 * (u**2).mean(axis=1) ** 2
+            k = np.where(kurtosis >= 0, 1.0, -1.0)
+        change = rate * (np.eye(n) - k[:, None] * (np.tanh(u) @ u.T) / m - u @ u.T / m) @ w
+        w = w + change
+        if np.linalg.norm(change) < least * np.linalg.norm(w):
+            break
     maps = (vectors[:, order] * scale) @ np.linalg.inv(w)
     size = np.linalg.norm(maps, axis=0)
     order = np.argsort(-size)
@@ -252,9 +260,9 @@ def infomax(x: np.ndarray, n: int, steps: int = 200, rate: float = 0.1, seed: in
     return maps[:, order] * sign, (w @ white)[order] * sign[:, None]
 
 
-def icadecomp(df: DataFrame, n: int, steps: int = 200, seed: int = 1) -> DataFrame:
-    """Maps of independent components, largest first: channels ``component k`` whose points are the epoch's channels."""
-    return map_epochs(df, lambda x, names: [(f"component{k + 1}", m) for k, m in enumerate(infomax(x, min(n, len(x)), steps, seed=seed)[0].T)])
+def icadecomp(df: DataFrame, n: int, steps: int = 2000, seed: int | None = None, rate: float = 0.1, every: int = 1) -> DataFrame:
+    """Maps of independent components, largest first: channels ``component k`` whose points are the epoch's channels. Options as of ``infomax``."""
+    return map_epochs(df, lambda x, names: [(f"component{k + 1}", m) for k, m in enumerate(infomax(x, min(n, len(x)), steps, rate, seed, every)[0].T)])
 
 
 def orthogonal(rows: np.ndarray) -> np.ndarray:

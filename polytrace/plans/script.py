@@ -305,7 +305,7 @@ METHODS: dict[str, Method] = {
     "write_crossings": Method("i R o", "E e x c", 2, 2, lambda o, f, b: _crossings(o, f)),
     "project": Method("N f e i p", "s S m c C n o x z", 1, 3, lambda o, f, b: _projected(o, "channel"), side=True),
     "correlate": Method("f e i", "s S m c n o", 1, 2, lambda o, f, b: _projected(o, "point"), side=True),
-    "icadecomp": Method("e l", "", 1, 1, lambda o, f, b: _kernel(spectral.icadecomp, int(o.args[0]))),
+    "icadecomp": Method("e l", "", 1, 1, lambda o, f, b: _kernel(spectral.icadecomp, int(o.args[0]), rate=float(o.text("l") or 0.1), every=o.whole("e") or 1)),
     "raw_fft": Method("", "", 0, 0, lambda o, f, b: (_kept(lambda df: spectral.raw_fft(traces(df))), (), {})),
     "reject_flor": Method("", "", 0, 0, lambda o, f, b: (reject.reject_overflow, (), {})),
 }

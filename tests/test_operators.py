@@ -378,3 +378,15 @@ def test_votes_equal_all_pairs(spark):
     for p in range(30):
         base = [x[k] for k in range(8) if k != p]
         assert np.isclose(got[p], np.mean([1 if x[p] > b else -1 for b in base]))
+
+
+def test_components_do_not_depend_on_the_start():
+    rng = np.random.default_rng(10)
+    sources = np.array([rng.laplace(size=4000), rng.uniform(-1, 1, 4000)])
+    mixed = np.array([[1.0, 0.5], [0.3, 1.0], [0.8, -0.4]]) @ sources
+    plain = spectral.infomax(mixed, 2, steps=4000)[0]
+    for seed in (1, 2):
+        turned = spectral.infomax(mixed, 2, steps=4000, seed=seed)[0]
+        assert np.allclose(np.abs(turned / np.linalg.norm(turned, axis=0)), np.abs(plain / np.linalg.norm(plain, axis=0)), atol=0.05)
+    early = spectral.infomax(mixed, 2, steps=4000, least=0.5)[0]  # ends at the first step
+    assert np.allclose(early, spectral.infomax(mixed, 2, steps=1)[0])
