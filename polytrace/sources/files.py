@@ -240,7 +240,8 @@ def store(contents: DataFrame, path: str) -> list[str]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"/{path}")
+        local = "/" + path.removeprefix("file:").lstrip("/")
+        system, base = fs.FileSystem.from_uri(path if "://" in path and not path.startswith("file:") else local)
         system.create_dir(base, recursive=True)
         for b in batches:
             names = []
