@@ -33,6 +33,9 @@ from . import common
 
 #: Chunks of text that one worker remembers, about 300 bytes each.
 CACHE = 500_000
+#: The bytes that occur in UTF-8 text up to U+00FF: no combining marks are among its characters.
+LATIN = bytes(range(0xC4))
+_LATIN_WORD = regex.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
 
 
 def byte_letters() -> list[str]:
@@ -151,7 +154,9 @@ class WordBPE:
                 return left[0] + right[0], left[1] + b" " + right[1]
             words = [chunk[:-1], chunk[-1:]]
         else:
-            words = self.split(chunk.decode())
+            text = chunk.decode()
+            latin = latin_words(text)
+            words = self.split(text) if latin is None else [w.encode() for w in latin]
         ids = [i for w in words for i in self.encode_word(w)]
         return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids).encode()
 
@@ -177,8 +182,18 @@ class WordBPE:
 
 
 def lowered(text: bytes) -> list[bytes]:
-    """The chunks of a text between ASCII white space, lower-case where they are ASCII: beyond, case and composition depend on each other."""
-    return text.lower().split() if text.isascii() else [c.lower() if c.isascii() else c for c in text.split()]
+    """The chunks of a text between ASCII white space, lower-case where they are ASCII. In a text beyond Latin-1 the others stay as they are: there case and composition may depend on each other."""
+    if text.isascii() or not text.translate(None, LATIN):
+        return text.lower().split()
+    return [c.lower() if c.isascii() else c for c in text.split()]
+
+
+def latin_words(chunk: str) -> list[str] | None:
+    """The lower-case words of a chunk of Latin-1 letters, with a full stop or a comma at the end or without; None for other chunks."""
+    if not _LATIN_WORD.fullmatch(chunk):
+        return None
+    chunk = chunk.lower()
+    return [chunk[:-1], chunk[-1]] if chunk[-1] in ".," else [chunk]
 
 
 _LOADED: dict[str, WordBPE] = {}

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import CACHE, lowered
+from .bpe import CACHE, byte_letters, latin_words, lowered
 
 CAPACITY = 4096
 END_ID = 2
@@ -59,6 +59,7 @@ class ChunkTokenizer:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
         self.marks = {t["content"][:2].encode() for t in spec["added_tokens"]}
+        self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
 
     def chunk(self, chunk: bytes) -> bytes:
@@ -69,10 +70,12 @@ class ChunkTokenizer:
             if left and right:
                 return left + right
             words = [chunk[:-1].decode(), chunk[-1:].decode()]
-        elif chunk.isascii() and (text := chunk.decode()).isprintable():
+        elif (text := chunk.decode()).isascii() and text.isprintable():
             words = self.words.findall(text)
+        elif (latin := latin_words(text)) is not None:
+            words = ["".join([self.letters[b] for b in w.encode()]) for w in latin]
         else:
-            words = [w for w, _ in self.cut(self.normalize(chunk.decode()))]
+            words = [w for w, _ in self.cut(self.normalize(text))]
         ids = [t.id for w in words for t in self.merge(w)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
