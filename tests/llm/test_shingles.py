@@ -130,3 +130,52 @@ def test_groups_end_where_a_group_ends(ok):
     batches = [pa.RecordBatch.from_arrays([pa.array(h[a : a + 2])], names=["h"]) for a in (0, 2, 4)]
     tables = [set(t.column("h").to_pylist()) for t in shingles.whole_groups(batches)]
     assert sum(map(len, tables)) == len(set(h))
+
+
+def test_near_misses_are_not_written_out_in_pairs(spark, monkeypatch):
+    """Texts of which any two nearly link, and some pairs that do: no table grows with the square of the group."""
+    base, rows = [f"b{k}" for k in range(500)], []
+    for i in range(120):
+        text = list(base)
+        for k in range(12):
+            text[20 + 40 * k] = f"x{i}-{k}"
+        rows.append((i, " ".join(text)))
+        if i % 12 == 5:
+            text[7] = "other"
+            rows.append((1000 - i, " ".join(text)))
+    sizes, stored = {}, shingles.common.stored
+
+    def counting(df, name):
+        out = stored(df, name)
+        sizes[name] = max(out.count(), sizes.get(name, 0))
+        return out
+
+    monkeypatch.setattr(shingles.common, "stored", counting)
+    monkeypatch.setattr(shingles, "SPREAD_SETS", 40, raising=False)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [r.doc_id for r in shingles.keep_one(df).collect()]
+    assert sorted(got) == sorted(brute(rows)) == list(range(120))
+    met = sizes.pop("met")  # dealt out by shingle: 101 times at most for each text
+    assert met <= 101 * len(rows) and max(sizes.values()) <= 8 * len(rows), sizes
+
+
+def test_tiles_find_every_link():
+    """Counts of shared shingles against plain comparisons, over chunks of any cut."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 108, replace=False), rng.integers(0, 1 << 63, 4, dtype=np.uint64)])) for _ in range(60)]
+    roots = rng.integers(0, 50, len(sets))
+    for parts in (1, 3):
+        label, chunk = roots.copy(), np.arange(len(sets)) % parts
+        want = roots.copy()
+        for i in range(parts):
+            for j in range(i, parts):
+                for a, b in shingles.joined(sets, roots, chunk == i, chunk == j):
+                    assert shingles.linked(sets[a], sets[b]) and roots[a] != roots[b]
+                    label[label == label[b]] = label[a]
+        for a in range(len(sets)):
+            for b in range(a):
+                if shingles.linked(sets[a], sets[b]):
+                    want[want == want[b]] = want[a]
+        assert 1 < len(set(want.tolist())) < len(set(roots.tolist()))
+        assert len(set(zip(label.tolist(), want.tolist(), strict=True))) == len(set(label.tolist())) == len(set(want.tolist()))
