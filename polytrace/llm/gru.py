@@ -16,6 +16,10 @@ import heapq
 import numpy as np
 
 HIDDEN, CLASS = 32, 64
+#: Rows whose logits are worked on at once, so that they stay near the processor.
+BLOCK = 1024
+#: The gradients of a symbol met so often in a window are added up by a product of their own.
+OFTEN = 24
 
 
 class GRU:
@@ -49,70 +53,83 @@ class GRU:
         self["bc"][:] = np.log(mass / mass.sum())
         self["bo"][:] = np.log(f / mass[:, None])
 
-    def forward(self, x: np.ndarray, h: np.ndarray, keep: np.ndarray, taped: bool = False) -> tuple[np.ndarray, list]:
-        """States after each step of a window: x and keep are steps x lanes; keep 0 clears the state first."""
+    def forward(self, x: np.ndarray, h: np.ndarray, keep: np.ndarray, taped: bool = False) -> tuple[np.ndarray, tuple]:
+        """States after each step of a window: x and keep are steps x lanes; keep 0 clears the state first. The tape holds, by steps, the states before, the gates, the candidates and what the reset gate scaled."""
         hid, u, e = self.hidden, self["u"], self["e"]
-        half, two = np.float32(0.5), 2 * hid
-        out, tape = np.empty((len(x), len(h), hid), u.dtype), []
+        half, two, steps, lanes = np.float32(0.5), 2 * hid, len(x) if taped else 1, len(h)
+        out, on = np.empty((len(x), lanes, hid), u.dtype), keep.all(axis=1).tolist()
+        before, zrs, ns, rs = (np.empty((steps, lanes, k), u.dtype) for k in (hid if taped else 0, two, hid, 3 * hid))
         for t in range(len(x)):
-            if not keep[t].all():
+            if not on[t]:
                 h = h * keep[t][:, None]
-            g, r = e[x[t]], h @ u
-            zr = g[:, :two] + r[:, :two]
+            at = t if taped else 0
+            g, zr, n, r = e[x[t]], zrs[at], ns[at], rs[at]
+            np.matmul(h, u, out=r)
+            np.add(g[:, :two], r[:, :two], out=zr)
             zr *= half
             np.tanh(zr, out=zr)
             zr += 1
             zr *= half
-            n = zr[:, hid:] * r[:, two:]
+            np.multiply(zr[:, hid:], r[:, two:], out=n)
             n += g[:, two:]
             np.tanh(n, out=n)
             if taped:
-                tape.append((h, zr, n, r[:, two:]))
+                before[t] = h
             new = out[t]
             np.subtract(h, n, out=new)
             new *= zr[:, :hid]
             new += n
             h = new
-        return out, tape
+        return out, (before, zrs, ns, rs[:, :, two:])
 
     def output(self, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of symbols y after states h; with ``grads``, also d loss / d h, and the weights' gradients are added there.
 
         States lie in [-1, 1], so a logit can't exceed its weights' absolute sum; only a model near the range of exp() needs more care.
         """
-        wc, wo, bo = self["wc"], self["wo"], self["bo"]
+        wc, wo, bc, bo = self["wc"], self["wo"], self["bc"], self["bo"]
         order = np.argsort((y // CLASS).astype(np.int16), kind="stable")
         ys, hs = y[order], h[order]
         c, w = ys // CLASS, ys % CLASS
-        bounds = np.searchsorted(c, np.arange(self.classes + 1))
-        rows, ones = np.arange(len(y)), np.ones(max(CLASS, self.classes), h.dtype)
-        logits = hs @ wc
-        logits += self["bc"]
-        lp = logits[rows, c]
-        np.exp(logits, out=logits)
-        total = logits @ ones[: self.classes]
-        dh = None
-        if grads is not None:
-            logits /= total[:, None]
-            logits[rows, c] -= 1
-            dh = logits @ wc.T
-            grads["wc"] += hs.T @ logits
-            grads["bc"] += logits.sum(axis=0)
-        for k in np.flatnonzero(np.diff(bounds)).tolist():
-            a, b = bounds[k], bounds[k + 1]
-            hk, wk, at = hs[a:b], w[a:b], rows[: b - a]
-            logits = hk @ wo[k]
-            logits += bo[k]
-            lp[a:b] += logits[at, wk]
+        bounds = np.searchsorted(c, np.arange(self.classes + 1)).tolist()
+        most = max(CLASS, self.classes)
+        rows, ones, room = np.arange(BLOCK), np.ones(max(BLOCK, most), h.dtype), np.empty(BLOCK * most, h.dtype)
+        lp, total = np.empty(len(y), h.dtype), np.empty(len(y), h.dtype)
+        dh, part = (None, None) if grads is None else (np.empty_like(hs), np.empty((BLOCK, self.hidden), h.dtype))
+
+        def softmax(a: int, b: int, weight: np.ndarray, bias: np.ndarray, at: np.ndarray, first: bool, gw: np.ndarray | None, gb: np.ndarray | None) -> None:
+            """Adds one factor of the probabilities of some rows, that of column ``at`` among a product's."""
+            hk, k, n = hs[a:b], rows[: b - a], weight.shape[1]
+            logits = np.matmul(hk, weight, out=room[: (b - a) * n].reshape(b - a, n))
+            logits += bias
+            if first:
+                lp[a:b] = logits[k, at]
+            else:
+                lp[a:b] += logits[k, at]
             np.exp(logits, out=logits)
-            inner = logits @ ones[:CLASS]
-            total[a:b] *= inner
-            if grads is not None:
-                logits /= inner[:, None]
-                logits[at, wk] -= 1
-                dh[a:b] += logits @ wo[k].T
-                grads["wo"][k] += hk.T @ logits
-                grads["bo"][k] += logits.sum(axis=0)
+            inner = logits @ ones[:n]
+            if first:
+                total[a:b] = inner
+            else:
+                total[a:b] *= inner
+            if gw is not None:
+                logits *= np.reciprocal(inner)[:, None]
+                logits[k, at] -= 1
+                if first:
+                    np.matmul(logits, weight.T, out=dh[a:b])
+                else:
+                    dh[a:b] += np.matmul(logits, weight.T, out=part[: b - a])
+                gw += hk.T @ logits
+                gb += ones[: b - a] @ logits
+
+        gwc, gbc, gwo, gbo = (None, None, None, None) if grads is None else (grads[k] for k in ("wc", "bc", "wo", "bo"))
+        for a in range(0, len(y), BLOCK):
+            b = min(a + BLOCK, len(y))
+            softmax(a, b, wc, bc, c[a:b], True, gwc, gbc)
+        for k in range(self.classes):
+            for a in range(bounds[k], bounds[k + 1], BLOCK):
+                b = min(a + BLOCK, bounds[k + 1])
+                softmax(a, b, wo[k], bo[k], w[a:b], False, None if gwo is None else gwo[k], None if gbo is None else gbo[k])
         lp -= np.log(total)
         back = np.empty_like(lp)
         back[order] = lp
@@ -129,42 +146,49 @@ class GRU:
             w *= np.expand_dims(np.minimum(1, most / np.maximum(reach, 1e-6)), axis)
             np.clip(bias, -most, most, out=bias)
 
-    def backward(self, x: np.ndarray, keep: np.ndarray, tape: list, dout: np.ndarray, grads: dict[str, np.ndarray]) -> None:
+    def backward(self, x: np.ndarray, keep: np.ndarray, tape: tuple, dout: np.ndarray, grads: dict[str, np.ndarray]) -> None:
         """Gradients of a window from those of its states. What does not follow the recursion is done for all steps at once."""
-        hid, u = self.hidden, self["u"]
-        dg = np.empty((*x.shape, 3 * hid), dout.dtype)
-        through, before = np.empty_like(dg), np.empty_like(dout)
-        dh, back = np.zeros_like(dout[0]), np.ascontiguousarray(u.T)
+        hid, on = self.hidden, keep.all(axis=1).tolist()
+        before, zrs, ns, rns = tape
+        z, reset = zrs[:, :, :hid], zrs[:, :, hid:]
+        dan = 1 - z  # slopes by which a state's gradient reaches the candidate, and below both gates and what the reset gate scaled
+        dgates = zrs * zrs
+        np.subtract(zrs, dgates, out=dgates)
+        rest = before - ns
+        dgates[:, :, :hid] *= rest
+        np.multiply(ns, ns, out=rest)
+        np.subtract(1, rest, out=rest)
+        dan *= rest
+        dgates[:, :, hid:] *= rns
+        dgates[:, :, hid:] *= dan
+        through, states = np.empty((*x.shape, 3 * hid), dout.dtype), np.empty_like(dout)
+        np.multiply(dan, reset, out=through[:, :, 2 * hid :])
+        through[:, :, : 2 * hid] = dgates
+        by_gate = through.reshape(*x.shape, 3, hid)
+        dh, back, more = np.zeros_like(dout[0]), np.ascontiguousarray(self["u"].T), np.empty_like(dout[0])
         for t in range(len(x) - 1, -1, -1):
-            h, zr, n, rn = tape[t]
-            before[t] = h
             dh += dout[t]
-            z, reset, g, into = zr[:, :hid], zr[:, hid:], dg[t], through[t]
-            dan = g[:, 2 * hid :]
-            np.multiply(n, n, out=dan)
-            np.subtract(1, dan, out=dan)
-            dan *= dh
-            slope = 1 - zr
-            slope *= zr
-            dz = g[:, :hid]
-            np.subtract(h, n, out=dz)
-            dz *= dh
-            dan -= z * dan
-            dr = g[:, hid : 2 * hid]
-            np.multiply(dan, rn, out=dr)
-            g[:, : 2 * hid] *= slope
-            into[:, : 2 * hid] = g[:, : 2 * hid]
-            np.multiply(dan, reset, out=into[:, 2 * hid :])
-            dh *= z
-            dh += into @ back
-            if not keep[t].all():
+            states[t] = dh
+            by_gate[t] *= dh[:, None]
+            dh *= z[t]
+            dh += np.matmul(through[t], back, out=more)
+            if not on[t]:
                 dh *= keep[t][:, None]
         grads["u"] += before.reshape(-1, hid).T @ through.reshape(-1, 3 * hid)
+        np.multiply(states, dan, out=through[:, :, 2 * hid :])  # of the embeddings' part of the candidate, which no gate scales
         ids = x.ravel()
         order = np.argsort(ids.astype(np.int16), kind="stable")
         sorted_ids = ids[order]
         heads = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
-        grads["e"][sorted_ids[heads]] += np.add.reduceat(dg.reshape(-1, 3 * hid)[order], heads, axis=0)
+        by_id, ends = through.reshape(-1, 3 * hid)[order], np.append(heads[1:], len(ids))
+        few = ends - heads < OFTEN  # long runs add up as products
+        sums, ones = np.empty((len(heads), 3 * hid), dout.dtype), np.ones(len(ids), dout.dtype)
+        for k in np.flatnonzero(~few).tolist():
+            np.matmul(ones[heads[k] : ends[k]], by_id[heads[k] : ends[k]], out=sums[k])
+        short = np.repeat(few, ends - heads)
+        if few.any():
+            sums[few] = np.add.reduceat(by_id[short], np.append(0, np.cumsum((ends - heads)[few])[:-1]), axis=0)
+        grads["e"][sorted_ids[heads]] += sums
 
 
 class Lanes:
@@ -244,7 +268,7 @@ def train(model: GRU, docs: list[np.ndarray], memory: np.ndarray, lanes: int = 2
     rest = model.at["e"][1]  # only the rows of "e" that a window reads have gradients: the others stay as they are
     own, had, got = model["e"], memory[:rest].reshape(model["e"].shape), grads["e"]
     dense, dense_memory, dense_own = flat[rest:], memory[rest:], model.p[rest:]
-    h = np.zeros((line.x.shape[1], model.hidden), np.float32)
+    h, room = np.zeros((line.x.shape[1], model.hidden), np.float32), np.empty_like(dense)
     for a, b, n in line.windows(window):
         x, keep, y = line.x[a:b, :n], line.keep[a:b, :n], line.y[a:b, :n]
         out, tape = model.forward(x, h[:n], keep, taped=True)
@@ -261,8 +285,12 @@ def train(model: GRU, docs: list[np.ndarray], memory: np.ndarray, lanes: int = 2
         own[rows] -= np.float32(rate) * g / np.sqrt(m)
         got[rows] = 0
         dense *= share
-        dense_memory += dense * dense
-        dense_own -= np.float32(rate) * dense / np.sqrt(dense_memory)
+        np.multiply(dense, dense, out=room)
+        dense_memory += room
+        np.sqrt(dense_memory, out=room)
+        np.divide(dense, room, out=room)
+        room *= np.float32(rate)
+        dense_own -= room
         dense[:] = 0
     model.tame()
     return met

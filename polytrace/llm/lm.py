@@ -218,7 +218,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 symbols, at, tail = v.read(text)
                 mine = at[at >= 0]
                 away = Counter(tail)
-                net_extra = float(v.extra[mine].sum()) - sum(n * v.group_log[group_of(w)] for w, n in away.items())
+                net_extra = float(v.extra[mine].sum()) - float(v.group_log[symbols[at < 0] - 1].sum())
                 docs.append(symbols)
                 out.append((rid, len(symbols) + 1, len(mine) + v.end_known, float(v.log[mine].sum()) + v.end_log, net_extra, [{"word": w.decode(), "n": n} for w, n in away.items()]))
                 rid += 1

@@ -58,3 +58,33 @@ def test_training_helps_on_held_out_text(spark):
     d = "/root/testdata/sf0.01"
     got = lm.score_documents(spark.read.parquet(f"{d}/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert got[0] / got[2] > got[1] / got[2] + 0.2 and got[0] / got[2] > -3.87
+
+
+def test_gradients_equal_differences():
+    """A window's gradients, of symbols met once and of those met often, against differences of its loss in double precision."""
+    rng = np.random.default_rng(6)
+    line = gru.Lanes([rng.choice([1, 1, 1, 2, 3, 70, 90, 127], rng.integers(1, 9)).astype(np.int32) for _ in range(90)], 30)
+    model = gru.GRU(2, flat=rng.normal(0, 0.3, gru.GRU(2).p.shape))
+    flat, on, start = np.zeros_like(model.p), line.y >= 0, np.zeros((line.x.shape[1], model.hidden))
+    assert (np.bincount(line.x.ravel()) >= gru.OFTEN).any() and (np.bincount(line.x.ravel(), minlength=128)[[70, 90]] > 0).all()
+
+    def loss() -> float:
+        out, _ = model.forward(line.x, start, line.keep)
+        return -model.output(out[on], line.y[on])[0].sum()
+
+    of = gru.GRU(2, flat=flat)
+    grads = {k: of[k] for k in model.at}
+    out, tape = model.forward(line.x, start, line.keep, taped=True)
+    dout = np.zeros_like(out)
+    dout[on] = model.output(out[on], line.y[on], grads)[1]
+    model.backward(line.x, line.keep, tape, dout, grads)
+    for name, (a, b, _) in model.at.items():
+        picked = a + np.argsort(-np.abs(flat[a:b]))[:4]
+        for k in [*picked.tolist(), *rng.integers(a, b, 12).tolist()]:
+            was = model.p[k]
+            model.p[k] = was + 1e-5
+            up = loss()
+            model.p[k] = was - 1e-5
+            down = loss()
+            model.p[k] = was
+            assert abs((up - down) / 2e-5 - flat[k]) < 1e-4 * max(1, abs(flat[k])), (name, k)
