@@ -54,89 +54,108 @@ class GRU:
         self["bo"][:] = np.log(f / mass[:, None])
 
     def forward(self, x: np.ndarray, h: np.ndarray, keep: np.ndarray, taped: bool = False) -> tuple[np.ndarray, tuple]:
-        """States after each step of a window: x and keep are steps x lanes; keep 0 clears the state first. The tape holds, by steps, the states before, the gates, the candidates and what the reset gate scaled."""
-        hid, u, e = self.hidden, self["u"], self["e"]
-        half, two, steps, lanes = np.float32(0.5), 2 * hid, len(x) if taped else 1, len(h)
-        out, on = np.empty((len(x), lanes, hid), u.dtype), keep.all(axis=1).tolist()
-        before, zrs, ns, rs = (np.empty((steps, lanes, k), u.dtype) for k in (hid if taped else 0, two, hid, 3 * hid))
-        for t in range(len(x)):
-            if not on[t]:
-                h = h * keep[t][:, None]
-            at = t if taped else 0
-            g, zr, n, r = e[x[t]], zrs[at], ns[at], rs[at]
-            np.matmul(h, u, out=r)
-            np.add(g[:, :two], r[:, :two], out=zr)
-            zr *= half
-            np.tanh(zr, out=zr)
-            zr += 1
-            zr *= half
-            np.multiply(zr[:, hid:], r[:, two:], out=n)
-            n += g[:, two:]
-            np.tanh(n, out=n)
-            if taped:
-                before[t] = h
-            new = out[t]
-            np.subtract(h, n, out=new)
-            new *= zr[:, :hid]
-            new += n
-            h = new
-        return out, (before, zrs, ns, rs[:, :, two:])
+        """States after each step of a window: x and keep are steps x lanes; keep 0 clears the state first. The tape holds, by steps, the states before, the gates, the candidates and what the reset gate scaled.
+
+        Each gate has an array of its own, so that passes run over whole arrays; the logistic function and tanh are taken by exp(), which is the faster one.
+        """
+        hid, (steps, lanes) = self.hidden, x.shape
+        u = np.ascontiguousarray(self["u"].reshape(hid, 3, hid).swapaxes(0, 1))
+        np.negative(u[:2], out=u[:2])
+        e, rows = self["e"].reshape(-1, hid), x[:, None, :].astype(np.intp) * 3 + np.arange(3)[:, None]
+        out, on = np.empty((steps, lanes, hid), u.dtype), keep.all(axis=1).tolist()
+        g, r = np.empty((3, lanes, hid), u.dtype), np.empty((3, lanes, hid), u.dtype)
+        length = steps if taped else 1
+        before, ns, rns = (np.empty((length, lanes, hid), u.dtype) for _ in range(3))
+        zrs = np.empty((2, length, lanes, hid), u.dtype)
+        with np.errstate(over="ignore"):  # infinity stands for a closed gate
+            for t in range(steps):
+                if not on[t]:
+                    h = h * keep[t][:, None]
+                at = t if taped else 0
+                zr, n = zrs[:, at], ns[at]
+                e.take(rows[t], axis=0, out=g, mode="clip")
+                np.matmul(h, u, out=r)
+                np.subtract(r[:2], g[:2], out=zr)
+                np.exp(zr, out=zr)
+                zr += 1
+                np.divide(1, zr, out=zr)
+                np.multiply(zr[1], r[2], out=n)
+                n += g[2]
+                n *= -2
+                np.exp(n, out=n)
+                n += 1
+                np.divide(2, n, out=n)
+                n -= 1
+                if taped:
+                    before[t] = h
+                    rns[t] = r[2]
+                new = out[t]
+                np.subtract(h, n, out=new)
+                new *= zr[0]
+                new += n
+                h = new
+        return out, (before, zrs, ns, rns)
 
     def output(self, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of symbols y after states h; with ``grads``, also d loss / d h, and the weights' gradients are added there.
 
         States lie in [-1, 1], so a logit can't exceed its weights' absolute sum; only a model near the range of exp() needs more care.
+        Biases enter as factors of the exponentials, in the products that follow, not as a pass over all logits.
         """
         wc, wo, bc, bo = self["wc"], self["wo"], self["bc"], self["bo"]
         order = np.argsort((y // CLASS).astype(np.int16), kind="stable")
-        ys, hs = y[order], h[order]
-        c, w = ys // CLASS, ys % CLASS
-        bounds = np.searchsorted(c, np.arange(self.classes + 1)).tolist()
-        most = max(CLASS, self.classes)
-        rows, ones, room = np.arange(BLOCK), np.ones(max(BLOCK, most), h.dtype), np.empty(BLOCK * most, h.dtype)
-        lp, total = np.empty(len(y), h.dtype), np.empty(len(y), h.dtype)
-        dh, part = (None, None) if grads is None else (np.empty_like(hs), np.empty((BLOCK, self.hidden), h.dtype))
+        ys, hs = y[order], h.take(order, axis=0)
+        c, n = ys // CLASS, len(y)
+        bounds = np.searchsorted(c, np.arange(self.classes + 1))
+        room, ones = np.empty(BLOCK * max(CLASS, self.classes), h.dtype), np.ones(BLOCK, h.dtype)
+        lp, total = np.empty((2, n), h.dtype), np.empty((2, n), h.dtype)
+        dh = None if grads is None else np.empty((2, *hs.shape), h.dtype)
 
-        def softmax(a: int, b: int, weight: np.ndarray, bias: np.ndarray, at: np.ndarray, first: bool, gw: np.ndarray | None, gb: np.ndarray | None) -> None:
-            """Adds one factor of the probabilities of some rows, that of column ``at`` among a product's."""
-            hk, k, n = hs[a:b], rows[: b - a], weight.shape[1]
-            logits = np.matmul(hk, weight, out=room[: (b - a) * n].reshape(b - a, n))
-            logits += bias
-            if first:
-                lp[a:b] = logits[k, at]
-            else:
-                lp[a:b] += logits[k, at]
+        def softmax(which: int, a: int, b: int, weight: np.ndarray, factor: np.ndarray, at: np.ndarray, less: np.ndarray | None, back: np.ndarray | None, gw: np.ndarray | None, gb: np.ndarray | None) -> None:
+            """One factor of the probabilities of some rows: ``at`` are the places of their own logits, ``less`` what a hit takes off there, ``back`` the weights times the factors, transposed."""
+            hk, flat, own = hs[a:b], room[: (b - a) * len(factor)], at[a:b]
+            logits, inner = flat.reshape(b - a, -1), total[which, a:b]
+            np.matmul(hk, weight, out=logits)
+            flat.take(own, out=lp[which, a:b], mode="clip")
             np.exp(logits, out=logits)
-            inner = logits @ ones[:n]
-            if first:
-                total[a:b] = inner
-            else:
-                total[a:b] *= inner
+            np.matmul(logits, factor, out=inner)
             if gw is not None:
                 logits *= np.reciprocal(inner)[:, None]
-                logits[k, at] -= 1
-                if first:
-                    np.matmul(logits, weight.T, out=dh[a:b])
-                else:
-                    dh[a:b] += np.matmul(logits, weight.T, out=part[: b - a])
-                gw += hk.T @ logits
+                flat[own] -= less[a:b]
+                np.matmul(logits, back, out=dh[which, a:b])
+                gw += logits.T @ hk
                 gb += ones[: b - a] @ logits
 
-        gwc, gbc, gwo, gbo = (None, None, None, None) if grads is None else (grads[k] for k in ("wc", "bc", "wo", "bo"))
-        for a in range(0, len(y), BLOCK):
-            b = min(a + BLOCK, len(y))
-            softmax(a, b, wc, bc, c[a:b], True, gwc, gbc)
-        for k in range(self.classes):
-            for a in range(bounds[k], bounds[k + 1], BLOCK):
-                b = min(a + BLOCK, bounds[k + 1])
-                softmax(a, b, wo[k], bo[k], w[a:b], False, None if gwo is None else gwo[k], None if gbo is None else gbo[k])
-        lp -= np.log(total)
-        back = np.empty_like(lp)
-        back[order] = lp
-        if dh is None:
+        fc, fo = np.exp(bc), np.exp(bo)
+        place = np.arange(n)
+        at_class, at_word = place % BLOCK * self.classes + c, (place - bounds[c]) % BLOCK * CLASS + ys % CLASS
+        less_class, less_word, bwc, bwo, gwc, gbc, gwo, gbo = [None] * 8
+        if grads is not None:
+            less_class, less_word = (1 / fc)[c], (1 / fo).ravel()[ys]
+            bwc, bwo = (wc * fc).T, (wo * fo[:, None]).swapaxes(1, 2)
+            gwc, gbc, gwo, gbo = (np.zeros(shape, h.dtype) for shape in (wc.T.shape, bc.shape, bwo.shape, bo.shape))
+        for a in range(0, n, BLOCK):
+            softmax(0, a, min(a + BLOCK, n), wc, fc, at_class, less_class, bwc, gwc, gbc)
+        for k, (first, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            own = (None, None, None) if grads is None else (bwo[k], gwo[k], gbo[k])
+            for a in range(first, end, BLOCK):
+                softmax(1, a, min(a + BLOCK, end), wo[k], fo[k], at_word, less_word, *own)
+        total[0] *= total[1]
+        lp[0] += lp[1]
+        lp[0] += bc[c]
+        lp[0] += bo.ravel()[ys]
+        lp[0] -= np.log(total[0])
+        back = np.empty(n, h.dtype)
+        back[order] = lp[0]
+        if grads is None:
             return back, None
-        unsorted = np.empty_like(dh)
-        unsorted[order] = dh
+        grads["wc"] += gwc.T * fc
+        grads["bc"] += gbc * fc
+        grads["wo"] += gwo.swapaxes(1, 2) * fo[:, None]
+        grads["bo"] += gbo * fo
+        dh[0] += dh[1]
+        unsorted = np.empty_like(hs)
+        unsorted[order] = dh[0]
         return back, unsorted
 
     def tame(self, most: float = 40.0) -> None:
@@ -149,46 +168,53 @@ class GRU:
     def backward(self, x: np.ndarray, keep: np.ndarray, tape: tuple, dout: np.ndarray, grads: dict[str, np.ndarray]) -> None:
         """Gradients of a window from those of its states. What does not follow the recursion is done for all steps at once."""
         hid, on = self.hidden, keep.all(axis=1).tolist()
-        before, zrs, ns, rns = tape
-        z, reset = zrs[:, :, :hid], zrs[:, :, hid:]
+        before, (z, reset), ns, rns = tape
         dan = 1 - z  # slopes by which a state's gradient reaches the candidate, and below both gates and what the reset gate scaled
-        dgates = zrs * zrs
-        np.subtract(zrs, dgates, out=dgates)
+        through, states = np.empty((3, *dout.shape), dout.dtype), np.empty_like(dout)
+        dz, dr, dn = through
         rest = before - ns
-        dgates[:, :, :hid] *= rest
+        np.multiply(dan, z, out=dz)
+        dz *= rest
         np.multiply(ns, ns, out=rest)
         np.subtract(1, rest, out=rest)
         dan *= rest
-        dgates[:, :, hid:] *= rns
-        dgates[:, :, hid:] *= dan
-        through, states = np.empty((*x.shape, 3 * hid), dout.dtype), np.empty_like(dout)
-        np.multiply(dan, reset, out=through[:, :, 2 * hid :])
-        through[:, :, : 2 * hid] = dgates
-        by_gate = through.reshape(*x.shape, 3, hid)
-        dh, back, more = np.zeros_like(dout[0]), np.ascontiguousarray(self["u"].T), np.empty_like(dout[0])
+        np.multiply(dan, reset, out=dn)
+        np.subtract(1, reset, out=dr)
+        dr *= dn
+        dr *= rns
+        dh, back, more = np.zeros_like(dout[0]), np.ascontiguousarray(self["u"].reshape(hid, 3, hid).transpose(1, 2, 0)), np.empty((3, *dout.shape[1:]), dout.dtype)
         for t in range(len(x) - 1, -1, -1):
             dh += dout[t]
             states[t] = dh
-            by_gate[t] *= dh[:, None]
+            to = through[:, t]
+            to *= dh
             dh *= z[t]
-            dh += np.matmul(through[t], back, out=more)
+            np.matmul(to, back, out=more)
+            for part in more:
+                dh += part
             if not on[t]:
                 dh *= keep[t][:, None]
-        grads["u"] += before.reshape(-1, hid).T @ through.reshape(-1, 3 * hid)
-        np.multiply(states, dan, out=through[:, :, 2 * hid :])  # of the embeddings' part of the candidate, which no gate scales
+        by_gate = through.reshape(3, -1, hid)
+        grads["u"].reshape(hid, 3, hid)[:] += (before.reshape(-1, hid).T @ by_gate).swapaxes(0, 1)
+        np.multiply(states, dan, out=dn)  # of the embeddings' part of the candidate, which no gate scales
         ids = x.ravel()
         order = np.argsort(ids.astype(np.int16), kind="stable")
         sorted_ids = ids[order]
         heads = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
-        by_id, ends = through.reshape(-1, 3 * hid)[order], np.append(heads[1:], len(ids))
-        few = ends - heads < OFTEN  # long runs add up as products
-        sums, ones = np.empty((len(heads), 3 * hid), dout.dtype), np.ones(len(ids), dout.dtype)
-        for k in np.flatnonzero(~few).tolist():
-            np.matmul(ones[heads[k] : ends[k]], by_id[heads[k] : ends[k]], out=sums[k])
-        short = np.repeat(few, ends - heads)
-        if few.any():
-            sums[few] = np.add.reduceat(by_id[short], np.append(0, np.cumsum((ends - heads)[few])[:-1]), axis=0)
-        grads["e"][sorted_ids[heads]] += sums
+        by_id, runs = by_gate.take(order, axis=1), np.diff(np.append(heads, len(ids)))
+        falling = np.argsort(-runs, kind="stable")
+        heads, runs = heads[falling], runs[falling]
+        long, ones = int((runs >= OFTEN).sum()), np.ones(len(ids), dout.dtype)  # long runs add up as products, the others place by place
+        sums = np.empty((3, len(heads), hid), dout.dtype)
+        for k, (a, n) in enumerate(zip(heads[:long].tolist(), runs[:long].tolist(), strict=True)):
+            np.matmul(ones[:n], by_id[:, a : a + n], out=sums[:, k])
+        few, left = heads[long:], runs[long:]
+        if len(few):
+            sums[:, long:] = by_id.take(few, axis=1)
+        for k in range(1, left[0] if len(few) else 0):
+            few = few[: int((left > k).sum())]
+            sums[:, long : long + len(few)] += by_id.take(few + k, axis=1)
+        grads["e"].reshape(-1, 3, hid)[sorted_ids[heads]] += sums.swapaxes(0, 1)
 
 
 class Lanes:
@@ -238,7 +264,7 @@ class Lanes:
             yield a, min(a + size, self.steps), int((self.lengths > a).sum())
 
 
-def score(model: GRU, docs: list[np.ndarray], lanes: int = 256, window: int = 32) -> np.ndarray:
+def score(model: GRU, docs: list[np.ndarray], lanes: int = 512, window: int = 32) -> np.ndarray:
     """The natural log probability of each whole document, its end included."""
     if not docs:
         return np.zeros(0)

@@ -21,12 +21,11 @@ repeated rows are scored alike (and count each); an empty table gives no rows; o
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -54,6 +53,32 @@ def group_column() -> F.Column:
     return F.when(word.endswith("."), 2).when(word.endswith(","), 4).otherwise(0) + F.when(F.octet_length(word) != F.length(word), 1).otherwise(0)
 
 
+def groups_of(words: pa.Array) -> np.ndarray:
+    """The same of an array of words."""
+    points, commas = (pc.ends_with(words, mark).to_numpy(zero_copy_only=False) for mark in (".", ","))
+    return np.where(points, 2, np.where(commas, 4, 0)) + ~pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts, one after another, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, number = parts.flatten(), np.diff(parts.offsets.to_numpy()).astype(np.int64)
+    filled = pc.binary_length(words).to_numpy() > 0  # white space at a text's ends, and a text without words, give empty parts
+    if not filled.all():
+        number = np.bincount(np.repeat(np.arange(len(number)), number)[filled], minlength=len(number))
+        words = words.filter(pa.array(filled))
+    return words, number
+
+
+def summed(values: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The sums of consecutive stretches of so many values each."""
+    out, starts = np.zeros(len(number)), np.cumsum(number) - number
+    some = number > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, starts[some])
+    return out
+
+
 class Vocabulary:
     """What every worker needs of the counts: the head words with their symbols and logarithms."""
 
@@ -61,7 +86,7 @@ class Vocabulary:
         """head: (word, count); groups: (sum of counts, number of words) over all words of each group."""
         head = sorted(head, key=lambda x: (-x[1], x[0]))
         known = head[: classes * gru.CLASS - 1 - GROUPS]
-        self.index = {w.encode(): k for k, (w, _) in enumerate(head)}
+        self.head = pa.array([w for w, _ in head], pa.string())
         count = np.array([n for _, n in head], np.int64)
         own = [group_of(w.encode()) for w, _ in head]
         mass, kinds = [groups.get(g, (0, 0))[0] for g in range(GROUPS)], [groups.get(g, (0, 0))[1] for g in range(GROUPS)]
@@ -69,44 +94,54 @@ class Vocabulary:
             mass[g] -= n
             kinds[g] -= 1
         self.group_log = np.array([math.log10(m + k + 1) for m, k in zip(mass, kinds, strict=True)])
-        self.symbol = np.array([1 + GROUPS + k if k < len(known) else 1 + own[k] for k in range(len(head))], np.int32)
-        self.log = np.log10(count + 1.0)
-        self.extra = np.array([0.0 if k < len(known) else self.log[k] - self.group_log[own[k]] for k in range(len(head))])
+        # of the head words, and in the last place of words that are none
+        self.symbol = np.array([*(1 + GROUPS + k if k < len(known) else 1 + own[k] for k in range(len(head))), 0], np.int32)
+        self.log = np.append(np.log10(count + 1.0), 0.0)
+        self.extra = np.array([*(0.0 if k < len(known) else self.log[k] - self.group_log[own[k]] for k in range(len(head))), 0.0])
         self.ends, self.end_log, self.end_known = ends, math.log10(ends + 1), int(ends > 0)
         self.total, self.base_log = total, math.log10(total + distinct + 1)
         self.frequency = np.zeros(classes * gru.CLASS)
         self.frequency[: 1 + GROUPS + len(known)] = [ends, *mass, *(n for _, n in known)]
 
-    def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Of a text: the network's symbols, the head index of each word (-1: none), and the words without one."""
-        words = text.lower().split()
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
-        away = np.flatnonzero(at < 0)
-        tail = [words[k] for k in away.tolist()]
-        symbols = self.symbol[at] if len(self.symbol) else np.zeros(len(at), np.int32)
-        symbols[away] = [1 + group_of(w) for w in tail]
-        return symbols, at, tail
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Of all texts together: the network's symbols, the head index of each word (-1: none), the words without one, and how many words each text has."""
+        words, number = words_of(texts)
+        found = pc.index_in(words, value_set=self.head.cast(words.type))
+        at = found.fill_null(-1).to_numpy()
+        tail = words.filter(found.is_null())
+        symbols = self.symbol[at]
+        symbols[at < 0] = 1 + groups_of(tail)
+        return symbols, at, tail, number
+
+    def symbols(self, texts: pa.Array) -> list[np.ndarray]:
+        """The network's symbols of each text."""
+        symbols, _, _, number = self.read(texts)
+        return np.split(symbols, np.cumsum(number)[:-1])
 
 
 def counted(rows: DataFrame) -> DataFrame:
     """(word, c) over the training rows; the empty word stands for ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        met, held = [], 0
 
-        def out() -> pa.RecordBatch:
-            names = pa.array(list(seen.keys()), pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([names, pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+        def merged() -> pa.Table:
+            return pa.concat_tables(met).group_by("word", use_threads=False).aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
 
         for b in common.sliced(batches, 500):
-            for text in common.raw(b, "text"):
-                seen.update(text.lower().split())
-            seen[b""] += b.num_rows
-            if len(seen) >= BLOCK_WORDS:
-                yield out()
-                seen.clear()
-        if seen:
-            yield out()
+            words, _ = words_of(b.column("text"))
+            each = words.value_counts()
+            names, ends = each.field("values").cast(pa.string()), pa.array([""], pa.string())
+            met.append(pa.table({"word": pa.chunked_array([names, ends]), "c": pa.chunked_array([each.field("counts"), pa.array([b.num_rows], pa.int64())])}))
+            held += len(each)
+            if held >= 2 * BLOCK_WORDS:
+                met = [merged()]
+                held = met[0].num_rows
+                if held >= BLOCK_WORDS:
+                    yield from met[0].combine_chunks().to_batches()
+                    met, held = [], 0
+        if met:
+            yield from merged().combine_chunks().to_batches()
 
     return rows.where(~F.col("held_out")).select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -134,7 +169,8 @@ def warmed(rows: DataFrame, vocab: Vocabulary, classes: int, hidden: int) -> tup
     model = gru.GRU(classes, hidden)
     model.start_from(vocab.frequency)
     fit = rows.where(~F.col("held_out") & (F.length("text") > 0))
-    docs = [vocab.read(r[0].encode())[0] for r in common.hash_sample(fit.select("text"), F.xxhash64("text"), WARM_DOCS, vocab.ends).collect()]
+    texts = [r[0] for r in common.hash_sample(fit.select("text"), F.xxhash64("text"), WARM_DOCS, vocab.ends).collect()]
+    docs = vocab.symbols(pa.array(texts, pa.string())) if texts else []
     memory = np.full_like(model.p, 0.1)
     for _ in range(WARM_PASSES):
         gru.train(model, docs, memory, lanes=32)
@@ -151,10 +187,14 @@ def averaged(rows: DataFrame, vocab, model: gru.GRU, one_in: int, memory: np.nda
         own, docs, held, trained = gru.GRU(classes, hidden, flat=weights.value.copy()), [], 0, 0
         memory = met.value.copy()
         for b in common.sliced(batches, 500):
-            for text in common.raw(b, "text"):
-                if xxhash.xxh64_intdigest(text, 1) % one_in == 0 and text:
-                    docs.append(vocab.value.read(text)[0])
-                    held += len(docs[-1]) + 1
+            texts = pc.fill_null(b.column("text"), "")
+            taken = pc.binary_length(texts).to_numpy() > 0
+            if one_in > 1:
+                taken &= np.array([xxhash.xxh64_intdigest(text, 1) % one_in == 0 for text in common.raw(b, "text")])
+            if taken.any():
+                more = vocab.value.symbols(texts if taken.all() else texts.filter(pa.array(taken)))
+                docs += more
+                held += sum(map(len, more)) + len(more)
             if held >= BLOCK_TOKENS // 2:
                 gru.train(own, docs, memory)
                 docs, held, trained = [], 0, trained + held
@@ -202,11 +242,21 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         v, net = vocab.value, gru.GRU(classes, hidden, flat=weights.value)
         rid, held, docs, out, kept = TaskContext.get().partitionId() << 36, 0, [], [], []
 
+        def tails(tail: pa.Array, number: np.ndarray) -> pa.Array:
+            """Of each text, its words without a head index, and how often each occurs."""
+            code = tail.dictionary_encode()
+            kinds = max(1, len(code.dictionary))
+            pairs, n = np.unique(np.repeat(np.arange(len(number)), number) * kinds + code.indices.to_numpy(), return_counts=True)
+            bounds = np.searchsorted(pairs, np.arange(len(number) + 1) * kinds).astype(np.int32)
+            words = code.dictionary.cast(pa.string()).take(pa.array(pairs % kinds))
+            return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([words, pa.array(n, pa.int64())], fields=list(tail_type.value_type)))
+
         def block() -> pa.RecordBatch:
             nonlocal docs, out, kept, held
             lp = gru.score(net, docs) / math.log(10)
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail_type), strict=True)]
-            columns[4] = pa.array(lp + np.array([x[4] for x in out]))
+            first, n_tokens, known, head_log, extra, tail = zip(*out, strict=True)
+            columns = [pa.array(np.concatenate(c)) for c in (first, n_tokens, known, head_log)]
+            columns += [pa.array(lp + np.concatenate(extra)), pa.concat_arrays(tail)]
             whole = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
             done = pa.RecordBatch.from_arrays([whole.column("id"), whole.column("held_out"), *columns], names=["id", "held_out", "rid", "n_tokens", "known", "head_log", "net_log", "tail"])
             docs, out, kept, held = [], [], [], 0
@@ -214,15 +264,15 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         for b in common.sliced(batches, 500):
             kept.append(b.select(["id", "held_out"]))
-            for text in common.raw(b, "text"):
-                symbols, at, tail = v.read(text)
-                mine = at[at >= 0]
-                away = Counter(tail)
-                net_extra = float(v.extra[mine].sum()) - float(v.group_log[symbols[at < 0] - 1].sum())
-                docs.append(symbols)
-                out.append((rid, len(symbols) + 1, len(mine) + v.end_known, float(v.log[mine].sum()) + v.end_log, net_extra, [{"word": w.decode(), "n": n} for w, n in away.items()]))
-                rid += 1
-                held += len(symbols) + 1
+            symbols, at, tail, number = v.read(b.column("text"))
+            ends, away = np.cumsum(number), at < 0
+            docs += np.split(symbols, ends[:-1])
+            extra = v.extra[at]
+            extra[away] = -v.group_log[symbols[away] - 1]
+            missing = np.diff(np.append(0, np.cumsum(away))[np.append(0, ends)])
+            out.append((rid + np.arange(len(number)), number + 1, number - missing + v.end_known, summed(v.log[at], number) + v.end_log, summed(extra, number), tails(tail, missing)))
+            rid += len(number)
+            held += len(symbols) + len(number)
             if held >= BLOCK_TOKENS:
                 yield block()
         if out:

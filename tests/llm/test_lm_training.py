@@ -1,6 +1,10 @@
 """The network learns from every training document."""
 
+import time
+from itertools import repeat
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -88,3 +92,75 @@ def test_gradients_equal_differences():
             down = loss()
             model.p[k] = was
             assert abs((up - down) / 2e-5 - flat[k]) < 1e-4 * max(1, abs(flat[k])), (name, k)
+
+
+def vocabulary_of(texts: list[str], head: int) -> lm.Vocabulary:
+    words = [w for t in texts for w in t.encode().lower().split()]
+    kinds, counts = np.unique(np.array(words, object), return_counts=True)
+    groups: dict[int, tuple[int, int]] = {}
+    for w, n in zip(kinds, counts.tolist(), strict=True):
+        mass, kind = groups.get(lm.group_of(w), (0, 0))
+        groups[lm.group_of(w)] = mass + n, kind + 1
+    ranked = sorted(((w.decode(), n) for w, n in zip(kinds, counts.tolist(), strict=True)), key=lambda x: (-x[1], x[0]))
+    return lm.Vocabulary(ranked[:head], len(texts), len(words) + len(texts), len(kinds) + 1, groups)
+
+
+def test_words_are_those_of_bytes():
+    """Words, symbols, head indices and groups of a whole batch are those that bytes.lower().split() gives text by text."""
+    texts = [f"{chr(c)}Ab{chr(c)}{chr(c)}\u00c9x,{chr(c)}" for c in [*range(300), 0x2003, 0x3000]] + ["", " \t\n", "one", None, "  Two  one. ", "\u0130 \u00df. K,"]
+    want = [(t or "").encode().lower().split() for t in texts]
+    vocab = vocabulary_of([t or "" for t in texts], 40)
+    for k in (0, 3):  # slices too
+        symbols, at, tail, number = vocab.read(pa.array(texts, pa.string()).slice(k))
+        words = [w for x in want[k:] for w in x]
+        index = {w.encode(): i for i, w in enumerate(vocab.head.to_pylist())}
+        assert number.tolist() == [len(x) for x in want[k:]]
+        assert at.tolist() == [index.get(w, -1) for w in words]
+        assert [w.encode() for w in tail.to_pylist()] == [w for w in words if w not in index]
+        assert symbols[at < 0].tolist() == [1 + lm.group_of(w) for w in words if w not in index]
+        assert [len(x) for x in vocab.symbols(pa.array(texts, pa.string()).slice(k))] == number.tolist()
+
+
+def test_reading_costs_less_than_a_lookup_for_each_word():
+    """Counting, training and scoring each read all words: that takes well under the CPU time of a loop over words."""
+    rng = np.random.default_rng(7)
+    kinds = np.array([f"word{k}" for k in range(60_000)], object)
+    texts = [" ".join(kinds[(rng.random(500) ** 4 * len(kinds)).astype(int)]) for _ in range(500)]
+    vocab, column = vocabulary_of(texts, 20_000), pa.array(texts, pa.string())
+    index = {w.encode(): i for i, w in enumerate(vocab.head.to_pylist())}
+
+    def loop() -> None:
+        for text in texts:
+            words = text.encode().lower().split()
+            at = np.fromiter(map(index.get, words, repeat(-1)), np.int32, len(words))
+            tail = [words[k] for k in np.flatnonzero(at < 0).tolist()]
+            vocab.symbol[at][at < 0] = [1 + lm.group_of(w) for w in tail]
+
+    def seconds(f) -> float:
+        start = time.process_time()
+        f()
+        return time.process_time() - start
+
+    assert min(seconds(lambda: vocab.read(column)) for _ in range(5)) < 0.7 * min(seconds(loop) for _ in range(5))
+
+
+def test_closed_gates_stay_finite():
+    """Weights that drive the exponentials of gates and candidates to infinity give the states that the definition gives."""
+    rng = np.random.default_rng(8)
+    model = gru.GRU(2, hidden=8)
+    model["e"][:] = rng.choice([-200, -3, 0, 3, 200], model["e"].shape)
+    x, keep = rng.integers(0, 128, (6, 5)), np.ones((6, 5), np.float32)
+    got, h = model.forward(x, np.zeros((5, 8), np.float32), keep)[0], np.zeros((5, 8))
+    for t in range(6):
+        g, r = model["e"][x[t]].astype(float), h @ model["u"].astype(float)
+        z, reset = ((1 + np.tanh((g[:, a : a + 8] + r[:, a : a + 8]) / 2)) / 2 for a in (0, 8))
+        n = np.tanh(g[:, 16:] + reset * r[:, 16:])
+        h = n + z * (h - n)
+        assert np.allclose(got[t], h, atol=1e-4)
+
+
+def test_texts_without_rare_words(spark):
+    """No word is outside the head; texts of no words count as their end."""
+    rows = [(k, t) for k, t in enumerate(["a b a", None, " \n", "B", ""])]
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(0, 4), (1, 1), (2, 1), (3, 2), (4, 1)] and all(np.isfinite(r.score) for r in got)
