@@ -159,7 +159,7 @@ def project(df: DataFrame, vectors: DataFrame, unit: bool = True, centred: bool
     from ..functions.channels import selected
 
     ready = prepared(vectors, "channel", unit, centred, orthogonal, selected(vectors, only) if only else None).where("_on").drop("_on")
-    out = df.join(ready, "channel").groupBy("epoch_id", "point", "k").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
+    out = df.repartition("epoch_id", "point").join(F.broadcast(ready), "channel").groupBy("epoch_id", "point", "k").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
     return _scalars(out, into, "point")
 
 
@@ -173,7 +173,7 @@ def _scalars(out: DataFrame, into: str, axis: str) -> DataFrame:
 
 def correlate(df: DataFrame, templates: DataFrame, unit: bool = True, centred: bool = False, orthogonal: bool = False) -> DataFrame:
     """Dot products of every trace with templates (k, point, weight): (epoch_id, channel, k, value)."""
-    met = df.join(prepared(templates, "point", unit, centred, orthogonal).drop("_on"), "point")
+    met = df.repartition(*axes(df, "point")).join(F.broadcast(prepared(templates, "point", unit, centred, orthogonal).drop("_on")), "point")
     return met.groupBy(*[c for c in axes(df, "point")], "k").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
 
 
@@ -189,10 +189,11 @@ def multiplied(weights: DataFrame, vectors: DataFrame, across: str = "channel",
 
 
 def subspace(df: DataFrame, vectors: DataFrame, across: str = "channel", remove: bool = False) -> DataFrame:
-    """Maps (or traces, ``across`` point) projected onto the space of orthonormal vectors (k, axis, weight), or with that part removed."""
+    """Maps (or traces, ``across`` point) projected onto the space of orthonormal vectors (k, axis, weight), or with that part removed.
+    The vectors, a handful, are sent to the samples: a join by so few keys would put the samples into as few tasks. Maps are dealt out before they are summed, so that a task's groups are those of its share of the samples and not of all that one file holds."""
     other = "point" if across == "channel" else "channel"
-    scores = df.join(vectors, across).groupBy("epoch_id", other, "k").agg(F.sum(F.col("value") * F.col("weight")).alias("_c"))
-    part = scores.join(vectors, "k").groupBy("epoch_id", other, across).agg(F.sum(F.col("_c") * F.col("weight")).alias("_p"))
+    scores = df.repartition("epoch_id", other).join(F.broadcast(vectors), across).groupBy("epoch_id", other, "k").agg(F.sum(F.col("value") * F.col("weight")).alias("_c"))
+    part = scores.join(F.broadcast(vectors), "k").groupBy("epoch_id", other, across).agg(F.sum(F.col("_c") * F.col("weight")).alias("_p"))
     met = df.join(part, ["epoch_id", other, across], "left").withColumn("_p", F.coalesce("_p", F.lit(0.0)))
     return met.withColumn("value", F.col("value") - F.col("_p") if remove else F.col("_p")).select(*df.columns)
 

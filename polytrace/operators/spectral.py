@@ -308,10 +308,11 @@ def laplacian_matrix(positions: np.ndarray, neighbours: int = 8) -> np.ndarray:
 
 
 def laplacian(df: DataFrame, matrix: np.ndarray, names: list[str]) -> DataFrame:
-    """Samples mapped across channels by a matrix (rows: new, columns: old), as a join with its few entries."""
+    """Samples mapped across channels by a matrix (rows: new, columns: old), as a join with its few entries. Whole maps are dealt out before they are summed, so that a task's groups
+    are those of its share of the samples and not of all that one file holds."""
     entries = [(names[j], names[i], float(matrix[i, j])) for i in range(len(names)) for j in range(len(names)) if matrix[i, j]]
     m = df.sparkSession.createDataFrame(entries, "channel string, _to string, _w double")
-    met = df.join(m, "channel")
+    met = df.repartition(*axes(df, "channel")).join(F.broadcast(m), "channel")
     return met.groupBy(*axes(df, "channel"), F.col("_to").alias("channel")).agg(F.sum(F.col("value") * F.col("_w")).alias("value"))
 
 

@@ -390,3 +390,24 @@ def test_components_do_not_depend_on_the_start():
         assert np.allclose(np.abs(turned / np.linalg.norm(turned, axis=0)), np.abs(plain / np.linalg.norm(plain, axis=0)), atol=0.05)
     early = spectral.infomax(mixed, 2, steps=4000, least=0.5)[0]  # ends at the first step
     assert np.allclose(early, spectral.infomax(mixed, 2, steps=1)[0])
+
+
+def test_vectors_are_sent_to_the_samples(spark):
+    """A join by channel would put all samples into as many tasks as there are channels, and sums before the samples are dealt out hold what a file holds."""
+    from pyspark.sql import functions as F
+
+    from polytrace.operators import joins, spectral
+
+    df = spark.range(4000).select(F.floor(F.col("id") / 8).alias("epoch_id"), F.concat(F.lit("A"), (F.col("id") % 4).cast("string")).alias("channel"), (F.floor(F.col("id") / 4) % 2).cast("int").alias("point"), F.sin("id").alias("value"))
+    vectors = spark.createDataFrame([(0, f"A{c}", 0.5) for c in range(4)], "k int, channel string, weight double")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for got in (joins.subspace(df, vectors), joins.project(df, vectors), spectral.laplacian(df, np.full((4, 4), 1.0), ["A0", "A1", "A2", "A3"])):
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(channel" not in plan and "REPARTITION_BY_COL" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    back = {(r.epoch_id, r.channel, r.point): r.value for r in joins.subspace(df, vectors, remove=True).collect()}
+    mean = np.sin(np.arange(8, 12)).mean()
+    assert len(back) == 4000 and np.isclose(back[1, "A2", 0], np.sin(10) - mean)
