@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,14 +31,23 @@ def running_average(df: DataFrame, by: list[str], value: str = "value") -> DataF
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(v).alias("sum"), F.sum(v * v).alias("sumsq"), F.avg(v).alias("value"))
 
 
-def _walk(step, state_names: list[str], start: tuple):
-    """A function for applyInPandasWithState: ``step(state, rows) -> (state, rows)`` on rows in the order of their positions."""
+#: Rows that leave a task's Python at once.
+ROWS = 1 << 16
+
+
+def _walk(step, start: tuple):
+    """A function for applyInPandasWithState: ``step(state, pos, value) -> (state, columns)`` on a channel's rows in the order of their positions. Of a batch's rows only the two numbers are held."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("pos", kind="stable").reset_index(drop=True)
-        now, out = step(state.get if state.exists else start, rows)
+        parts = [(b["pos"].to_numpy(copy=True), b["value"].to_numpy(copy=True)) for b in batches]
+        pos, value = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        parts.clear()
+        order = np.argsort(pos, kind="stable")
+        pos, value = pos[order], value[order]
+        now, out = step(state.get if state.exists else start, pos, value)
         state.update(now)
-        yield out
+        for at in range(0, len(out["pos"]), ROWS):
+            yield pd.DataFrame({"channel": key[0], **{c: x[at : at + ROWS] for c, x in out.items()}})
 
     return run
 
@@ -45,38 +55,37 @@ def _walk(step, state_names: list[str], start: tuple):
 def differentiate(df: DataFrame) -> DataFrame:
     """(channel, pos, value) -> value minus the channel's one before, over all batches."""
 
-    def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        v = rows["value"]
-        return (float(v.iloc[-1]),), rows.assign(value=v - v.shift(1, fill_value=state[0]))
+    def step(state: tuple, pos: np.ndarray, value: np.ndarray) -> tuple[tuple, dict]:
+        return (float(value[-1]),), {"pos": pos, "value": np.diff(value, prepend=state[0])}
 
-    return df.groupBy("channel").applyInPandasWithState(_walk(step, ["last"], (0.0,)), "channel string, pos long, value double", "last double", "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy("channel").applyInPandasWithState(_walk(step, (0.0,)), "channel string, pos long, value double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
 def integrate(df: DataFrame) -> DataFrame:
     """(channel, pos, value) -> the channel's running sum, over all batches."""
 
-    def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        total = rows["value"].cumsum() + state[0]
-        return (float(total.iloc[-1]),), rows.assign(value=total)
+    def step(state: tuple, pos: np.ndarray, value: np.ndarray) -> tuple[tuple, dict]:
+        total = pd.Series(value).cumsum().to_numpy() + state[0]
+        return (float(total[-1]),), {"pos": pos, "value": total}
 
-    return df.groupBy("channel").applyInPandasWithState(_walk(step, ["total"], (0.0,)), "channel string, pos long, value double", "total double", "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy("channel").applyInPandasWithState(_walk(step, (0.0,)), "channel string, pos long, value double", "total double", "append", GroupStateTimeout.NoTimeout)
 
 
 def crossings(df: DataFrame, threshold: float, refractory: int = 0) -> DataFrame:
     """(channel, pos, value) -> (channel, pos, code) where the sign of value - threshold changes, none within ``refractory`` positions of the last one; sign and last event are kept for each channel."""
 
-    def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    def step(state: tuple, pos: np.ndarray, value: np.ndarray) -> tuple[tuple, dict]:
         sign, last = state
-        out = []
-        for channel, pos, value in zip(rows["channel"], rows["pos"], rows["value"], strict=True):
-            new = 1 if value >= threshold else -1
-            if sign and new != sign and (last < 0 or pos - last >= refractory):
-                out.append((channel, pos, new))
-                last = int(pos)
-            sign = new
-        return (sign, last), pd.DataFrame(out, columns=["channel", "pos", "code"])
-
-    return df.groupBy("channel").applyInPandasWithState(_walk(step, ["sign", "last"], (0, -1)), "channel string, pos long, code int", "sign int, last long", "append", GroupStateTimeout.NoTimeout)
+        above = np.where(value >= threshold, 1, -1)
+        before = np.concatenate([[sign or above[0]], above[:-1]])
+        kept = []
+        for k in np.flatnonzero(above != before).tolist():
+            if last < 0 or pos[k] - last >= refractory:
+                kept.append(k)
+                last = int(pos[k])
+        return (int(above[-1]), last), {"pos": pos[kept], "code": above[kept]}
+
+    return df.groupBy("channel").applyInPandasWithState(_walk(step, (0, -1)), "channel string, pos long, code int", "sign int, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def trigger_windows(samples: DataFrame, triggers: DataFrame, before: str, after: str, late: str = "10 minutes") -> DataFrame:

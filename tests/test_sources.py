@@ -135,3 +135,24 @@ def test_stream_keeps_state_between_batches(spark, tmp_path):
     total = {r.pos: r.value for r in run.finished(stateful.integrate(stream())).collect()}
     assert total[8] == sum(k * k for k in range(9))
     assert run.completed(stateful.running_average(stream(), ["channel"])).first().n == 9
+
+
+def test_a_stream_s_rows_leave_in_parts():
+    """A channel's rows of a batch come out in frames of bounded size, in order, with the state of the last."""
+    import pandas as pd
+
+    from polytrace.streaming import stateful
+
+    class State:
+        exists, get = False, None
+
+        def update(self, now):
+            self.get = now
+
+    n, state = 3 * stateful.ROWS + 5, State()
+    rows = pd.DataFrame({"channel": "A", "pos": np.arange(n)[::-1], "value": np.arange(n, dtype=float)[::-1] ** 2})
+    step = lambda s, pos, value: ((float(value[-1]),), {"pos": pos, "value": np.diff(value, prepend=s[0])})
+    got = list(stateful._walk(step, (0.0,))(("A",), iter([rows[: n // 2], rows[n // 2 :]]), state))
+    assert max(map(len, got)) <= stateful.ROWS and state.get == (float((n - 1) ** 2),)
+    every = pd.concat(got)
+    assert (every["pos"].to_numpy() == np.arange(n)).all() and every["value"].iloc[-1] == 2 * n - 3
