@@ -179,3 +179,63 @@ def test_tiles_find_every_link():
                     want[want == want[b]] = want[a]
         assert 1 < len(set(want.tolist())) < len(set(roots.tolist()))
         assert len(set(zip(label.tolist(), want.tolist(), strict=True))) == len(set(label.tolist())) == len(set(want.tolist()))
+
+
+def test_long_texts_whose_simhashes_are_far_apart_still_link(spark):
+    """Two texts of over 1,600 shingles, 4/5 of them shared, whose other words are chosen to push the bits of a SimHash apart."""
+    rng = random.Random(9)
+    stem = [f"s{rng.randrange(10**6)}" for _ in range(1680)]
+
+    def bits(own):
+        """+1 or -1 for each shingle and bit of the SimHash."""
+        return np.array([np.unpackbits(np.frombuffer(shingles.majority(own[k : k + 1]), np.uint8)) for k in range(len(own))]).astype(int) * 2 - 1
+
+    def hashes(words):
+        return np.array([shingles.shingle_set(" ".join(words[k : k + 5]).encode())[0] for k in range(len(words) - 4)], np.uint64)
+
+    total = bits(hashes(stem)).sum(axis=0)
+    easy = np.argsort(np.abs(total))[:500]
+
+    def tail(sign):
+        words = stem[-4:]
+        for _ in range(180):
+            choice = [f"t{rng.randrange(10**6)}" for _ in range(60)]
+            push = bits(np.array([shingles.shingle_set(" ".join([*words[-4:], w]).encode())[0] for w in choice], np.uint64))
+            words.append(choice[int((sign * push[:, easy]).sum(axis=1).argmax())])
+        return words[4:]
+
+    texts = [" ".join(stem + tail(sign)) for sign in (1, -1)]
+    a, b = (shingles.shingle_set(t.encode()) for t in texts)
+    far = np.unpackbits(np.frombuffer(shingles.majority(a), np.uint8) ^ np.frombuffer(shingles.majority(b), np.uint8)).sum()
+    assert shingles.linked(a, b) and far > shingles.RADIUS
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in shingles.keep_one(df).collect()] == [0]
+
+
+def test_stage_on_long_texts(spark):
+    """Texts of 1,000 to 13,000 shingles, near to others and around the sizes at which sets are cut, against brute force."""
+    rng, rows = random.Random(10), []
+    for n in (1270, 1290, 1590, 1610, 2600, 3190, 3210, 6390, 6410, 12900):
+        text = [f"w{rng.randrange(10**5)}" for _ in range(n)]
+        for part in (0, 0.05, 0.1, 0.19, 0.21, 0.3):
+            rows.append((len(rows), " ".join(text[int(n * part) :])))  # 0.2 is where links end
+        more = list(text)
+        for k in range(0, n, 41):
+            more[k] = f"x{k}"
+        rows.append((len(rows), " ".join(more)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in shingles.keep_one(df).collect()) == sorted(brute(rows))
+
+
+def test_a_piece_of_linked_sets_links():
+    rng = np.random.default_rng(12)
+    for n in (1281, 1600, 1601, 2560, 2561, 3200, 3201, 9000):
+        for share in (0.79, 0.801, 0.9):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+            for b in (a[rng.random(len(a)) < share], np.unique(np.concatenate([a[rng.random(len(a)) < (1 + share) / 2], rng.integers(0, 1 << 63, n // 12, dtype=np.uint64) * np.uint64(2)]))):
+                one, two = dict(shingles.pieces(a)), dict(shingles.pieces(b))
+                assert all(sum(map(len, (x for k, x in cut.items() if k.bit_length() == level))) == len(own) for cut, own in ((one, a), (two, b)) for level in {k.bit_length() for k in cut})
+                if shingles.linked(a, b):
+                    like = [(one[k], two[k]) for k in one.keys() & two.keys() if shingles.linked(one[k], two[k])]
+                    each = [[shingles.parities_of(x) for x in pair] for pair in like]
+                    assert any(shingles.forest(shingles.Prints(np.array([len(x) for x in pair]), [shingles.print_rows([p[k] for p in prints], bits) for k, bits in enumerate(shingles.PARITIES)])) for pair, prints in zip(like, each, strict=True))
