@@ -46,8 +46,8 @@ def map_pairs(df: DataFrame, other: str, kernel: Callable[[np.ndarray, np.ndarra
     return df.mapInArrow(run, T.StructType([df.schema[c] for c in rest] + [T.StructField("values", T.ArrayType(T.DoubleType()))]))
 
 
-def map_epochs(df: DataFrame, kernel: Callable[[np.ndarray, list[str]], list[tuple[str, np.ndarray]]], by: str = "epoch_id") -> DataFrame:
-    """A kernel on each epoch: channels x points and their names in; (name, values) of new channels out."""
+def map_epochs(df: DataFrame, kernel: Callable[[np.ndarray, list[str]], list[tuple[str, np.ndarray]]] | None = None, by: str = "epoch_id", together: Callable | None = None) -> DataFrame:
+    """A kernel on each epoch: channels x points and their names in; (name, values) of new channels out. ``together`` in its place takes and returns lists, for the epochs of a batch."""
     order = "channel_idx" if "channel_idx" in df.columns else "channel"
     schema = T.StructType([df.schema[by], T.StructField("channel_idx", T.IntegerType()), T.StructField("channel", T.StringType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
     # epochs are small, so many of them travel in one batch
@@ -56,8 +56,9 @@ def map_epochs(df: DataFrame, kernel: Callable[[np.ndarray, list[str]], list[tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             index, numbers, names, values = [], [], [], []
-            for k, rows in enumerate(b.column("rows").to_pylist()):
-                made = kernel(np.array([r["values"] for r in rows], np.float64), [r["channel"] for r in rows])
+            held = b.column("rows").to_pylist()
+            each = ((np.array([r["values"] for r in rows], np.float64), [r["channel"] for r in rows]) for rows in held)
+            for k, made in enumerate(together(*map(list, zip(*each, strict=True))) if together and held else (kernel(*e) for e in each)):
                 index += [k] * len(made)
                 numbers += range(len(made))
                 names += [n for n, _ in made]
@@ -232,37 +233,77 @@ def svdecomp(df: DataFrame, n: int, maps: bool = False) -> DataFrame:
     return map_epochs(df, kernel)
 
 
+#: Values of the epochs that are decomposed together at most, so that they stay near the processor.
+TOGETHER = 1 << 15
+
+
 def infomax(x: np.ndarray, n: int, steps: int = 2000, rate: float = 0.1, seed: int | None = None, every: int = 1, least: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """Independent components of channels x points by the extended infomax rule after whitening to n dimensions: (maps as columns, activations).
 
     It starts from the whitened axes, or from a rotation drawn by ``seed``; the kind of each component is looked at every so many steps, and it ends when a step changes the weights by
     less than ``least`` of their size, or after ``steps``."""
-    centred = x - x.mean(axis=1, keepdims=True)
-    values, vectors = np.linalg.eigh(centred @ centred.T / x.shape[1])
-    order = np.argsort(-values)[:n]
-    scale = np.sqrt(np.maximum(values[order], 1e-300))
-    white = (vectors[:, order] / scale).T @ centred
-    w, m = np.eye(n) if seed is None else np.linalg.qr(np.random.default_rng(seed).normal(size=(n, n)))[0], white.shape[1]
-    k = np.ones(n)
+    return infomax_of([x], n, steps, rate, seed, every, least)[0]
+
+
+def infomax_of(xs: list[np.ndarray], n: int, steps: int = 2000, rate: float = 0.1, seed: int | None = None, every: int = 1, least: float = 1e-6) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``infomax`` of several epochs of one shape. They take their steps together, for a step of one is too short to be worth its calls; each ends by itself."""
+    bases, scales, whites = [], [], []
+    for x in xs:
+        centred = x - x.mean(axis=1, keepdims=True)
+        values, vectors = np.linalg.eigh(centred @ centred.T / x.shape[1])
+        order = np.argsort(-values)[:n]
+        bases.append(vectors[:, order])
+        scales.append(np.sqrt(np.maximum(values[order], 1e-300)))
+        whites.append((bases[-1] / scales[-1]).T @ centred)
+    start = np.eye(n) if seed is None else np.linalg.qr(np.random.default_rng(seed).normal(size=(n, n)))[0]
+    m, unit, ended = xs[0].shape[1], np.eye(n), np.repeat(start[None], len(xs), axis=0)
+    w, white, left, on = ended.copy(), np.array(whites), np.arange(len(xs)), np.ones(len(xs), bool)
+    k = np.ones((len(xs), n))
     for step in range(steps):
         u = w @ white
         if step % every == 0:
-            kurtosis = (u**4).mean(axis=1) - 3 * (u**2).mean(axis=1) ** 2
+            square = u * u
+            kurtosis = (square * square).mean(axis=2) - 3 * square.mean(axis=2) ** 2
             k = np.where(kurtosis >= 0, 1.0, -1.0)
-        change = rate * (np.eye(n) - k[:, None] * (np.tanh(u) @ u.T) / m - u @ u.T / m) @ w
+        turned = u.swapaxes(1, 2)
+        change = rate * (unit - k[:, :, None] * (np.tanh(u) @ turned) / m - u @ turned / m) @ w
         w = w + change
-        if np.linalg.norm(change) < least * np.linalg.norm(w):
-            break
-    maps = (vectors[:, order] * scale) @ np.linalg.inv(w)
-    size = np.linalg.norm(maps, axis=0)
-    order = np.argsort(-size)
-    sign = signed(maps.T[order])
-    return maps[:, order] * sign, (w @ white)[order] * sign[:, None]
+        done = on & (np.sqrt((change * change).sum(axis=(1, 2))) < least * np.sqrt((w * w).sum(axis=(1, 2))))
+        if done.any():
+            ended[left[done]] = w[done]
+            on &= ~done
+            if not on.any():
+                break
+            if 4 * on.sum() <= 3 * len(on):  # those that have ended are taken along until they are a quarter
+                w, white, left, k, on = w[on], white[on], left[on], k[on], on[on]
+    ended[left[on]] = w[on]
+    out = []
+    for basis, scale, w, white in zip(bases, scales, ended, whites, strict=True):
+        maps = (basis * scale) @ np.linalg.inv(w)
+        size = np.linalg.norm(maps, axis=0)
+        order = np.argsort(-size)
+        sign = signed(maps.T[order])
+        out.append((maps[:, order] * sign, (w @ white)[order] * sign[:, None]))
+    return out
 
 
 def icadecomp(df: DataFrame, n: int, steps: int = 2000, seed: int | None = None, rate: float = 0.1, every: int = 1) -> DataFrame:
     """Maps of independent components, largest first: channels ``component k`` whose points are the epoch's channels. Options as of ``infomax``."""
-    return map_epochs(df, lambda x, names: [(f"component{k + 1}", m) for k, m in enumerate(infomax(x, min(n, len(x)), steps, rate, seed, every)[0].T)])
+
+    def together(xs: list[np.ndarray], names: list[list[str]]) -> list[list[tuple[str, np.ndarray]]]:
+        out: list[list[tuple[str, np.ndarray]]] = [[] for _ in xs]
+        alike: dict[tuple[int, ...], list[int]] = {}
+        for i, x in enumerate(xs):
+            alike.setdefault(x.shape, []).append(i)
+        for shape, at in alike.items():
+            size = max(1, TOGETHER // max(1, shape[0] * shape[1]))
+            for a in range(0, len(at), size):
+                own = at[a : a + size]
+                for i, (maps, _) in zip(own, infomax_of([xs[j] for j in own], min(n, shape[0]), steps, rate, seed, every), strict=True):
+                    out[i] = [(f"component{k + 1}", v) for k, v in enumerate(maps.T)]
+        return out
+
+    return map_epochs(df, together=together)
 
 
 def orthogonal(rows: np.ndarray) -> np.ndarray:

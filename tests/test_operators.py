@@ -411,3 +411,25 @@ def test_vectors_are_sent_to_the_samples(spark):
     back = {(r.epoch_id, r.channel, r.point): r.value for r in joins.subspace(df, vectors, remove=True).collect()}
     mean = np.sin(np.arange(8, 12)).mean()
     assert len(back) == 4000 and np.isclose(back[1, "A2", 0], np.sin(10) - mean)
+
+
+def test_epochs_are_decomposed_together(spark, monkeypatch):
+    """Epochs take their steps in common calls, and each gets what it gets by itself, whenever the others end and whatever their shapes."""
+    from polytrace.operators import spectral
+
+    rng = np.random.default_rng(11)
+    xs = [rng.normal(size=(3, 4)) @ rng.laplace(size=(4, 40)) for _ in range(30)] + [np.zeros((3, 40))]
+    alone, calls, tanh = [spectral.infomax(x, 2, steps=300) for x in xs], [], np.tanh
+    monkeypatch.setattr(np, "tanh", lambda u: (calls.append(1), tanh(u))[1])
+    met = spectral.infomax_of(xs, 2, steps=300)
+    assert len(calls) <= 300
+    assert all(np.allclose(a, b, atol=1e-9, equal_nan=True) for one, other in zip(alone, met, strict=True) for a, b in zip(one, other, strict=True))
+    monkeypatch.undo()
+    xs += [rng.normal(size=(c, 3)) @ rng.laplace(size=(3, 25)) for c in (2, 4, 4)]
+    rows = [(e, c, f"A{c}", v.tolist()) for e, x in enumerate(xs) for c, v in enumerate(x)]
+    got = spectral.icadecomp(spark.createDataFrame(rows, "epoch_id long, channel_idx int, channel string, values array<double>"), 2, steps=300)
+    found = {(r.epoch_id, r.channel_idx): r["values"] for r in got.collect()}
+    assert len(found) == 2 * len(xs)
+    for e, x in enumerate(xs):
+        for k, v in enumerate(spectral.infomax(x, 2, steps=300)[0].T):
+            assert np.allclose(found[e, k], v, atol=1e-9, equal_nan=True)
