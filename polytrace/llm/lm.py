@@ -143,19 +143,24 @@ def counted(rows: DataFrame) -> DataFrame:
         if met:
             yield from merged().combine_chunks().to_batches()
 
-    return rows.where(~F.col("held_out")).select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    # tasks hand over words already summed: they are dealt out before Spark sums them, not summed once more where they are
+    return rows.where(~F.col("held_out")).select("text").mapInArrow(run, "word string, c long").repartition("word").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def vocabulary(counts: DataFrame, head: int, classes: int) -> tuple[Vocabulary, int]:
     """The vocabulary and the least count of a head word."""
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = (counts.where("word = ''").select("c").first() or [0])[0]
     words = counts.where("word != ''")
-    groups = {g: (n, k) for g, n, k in words.groupBy(group_column().alias("g")).agg(F.sum("c"), F.count("*")).collect()}
-    # words by the eighth of a doubling their count lies in: a few hundred rows at any size
-    steps = sorted(((k, n) for k, n in words.groupBy(F.floor(F.log2("c") * 8).cast("int").alias("k")).count().collect()), reverse=True)
+    # words by group and the eighth of a doubling their count lies in: a few hundred rows at any size, and one pass for all that follows from them
+    met = counts.groupBy((F.col("word") == "").alias("end"), group_column().alias("g"), F.floor(F.log2("c") * 8).cast("int").alias("k")).agg(F.sum("c"), F.count("*")).collect()
+    total, distinct, ends = sum(c for *_, c, _ in met), sum(n for *_, n in met), sum(c for end, _, _, c, _ in met if end)
+    groups: dict[int, tuple[int, int]] = {}
+    steps: dict[int, int] = {}
+    for end, g, k, c, n in met:
+        if not end:
+            mass, kinds = groups.get(g, (0, 0))
+            groups[g], steps[k] = (mass + c, kinds + n), steps.get(k, 0) + n
     least, held = 1 << 62, 0
-    for k, n in steps:
+    for k, n in sorted(steps.items(), reverse=True):
         held += n
         if held > head:
             break

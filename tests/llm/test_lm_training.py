@@ -1,6 +1,7 @@
 """The network learns from every training document."""
 
 import time
+import tracemalloc
 from itertools import repeat
 
 import numpy as np
@@ -164,3 +165,22 @@ def test_texts_without_rare_words(spark):
     rows = [(k, t) for k, t in enumerate(["a b a", None, " \n", "B", ""])]
     got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_tokens) for r in got) == [(0, 4), (1, 1), (2, 1), (3, 2), (4, 1)] and all(np.isfinite(r.score) for r in got)
+
+
+def test_products_are_small_and_memory_is_taken_again():
+    """Blocks of logits stay in the range of the library's kernel for small products, and a second window's gradients take little fresh memory."""
+    assert gru.BLOCK * gru.HIDDEN * gru.CLASS <= 1_000_000
+    rng = np.random.default_rng(9)
+    model = gru.GRU(4)
+    line = gru.Lanes([rng.integers(1, 256, 31).astype(np.int32) for _ in range(256)], 256)
+    flat = np.zeros_like(model.p)
+    of = gru.GRU(4, flat=flat)
+    grads = {k: of[k] for k in model.at}
+    for _ in range(2):
+        out, tape = model.forward(line.x, np.zeros((256, model.hidden), np.float32), line.keep, taped=True)
+        dout = model.output(out.reshape(-1, model.hidden), line.y.ravel(), grads)[1].reshape(out.shape)
+        tracemalloc.start()
+        model.backward(line.x, line.keep, tape, dout, grads)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert most < 3 * dout.nbytes
